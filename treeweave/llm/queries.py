@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, topk, urls
+from . import ann, bpe, packing, topk, urls
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 ALLOW = ["org/", "com/fr/"]
 BLOCK = ["example.org/es/", "example.org/en/1", "com/de/"]
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_two_fit": op1_best_two_fit,
     "op2_bpe_automaton": op2_bpe_automaton,
     "op3_threshold_topk": op3_threshold_topk,
+    "op7_hilbert_neighbours": op7_hilbert_neighbours,
     "op10_bloom_cascade": op10_bloom_cascade,
 }
 
