@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, packing, topk, urls
-from .shared import table
+from . import ann, bpe, langid, packing, topk, toxicity, urls
+from .shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,22 @@ def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.training_texts(docs, ~held_out(F.col("doc_id")))
+    return langid.identify(docs.select("doc_id", "text"), learned).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Network | float:
+    return toxicity.train(*toxicity.labelled_sample(docs, labels, ~held_out(F.col("doc_id"))))
+
+
+def op9_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -54,7 +70,9 @@ QUERIES: dict[str, Query] = {
     "op1_best_two_fit": op1_best_two_fit,
     "op2_bpe_automaton": op2_bpe_automaton,
     "op3_threshold_topk": op3_threshold_topk,
+    "op6_cross_parsing": op6_cross_parsing,
     "op7_hilbert_neighbours": op7_hilbert_neighbours,
+    "op9_gated_recurrent": op9_gated_recurrent,
     "op10_bloom_cascade": op10_bloom_cascade,
 }
 
