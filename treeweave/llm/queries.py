@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, packing, topk, toxicity, urls
+from . import ann, bpe, langid, packing, substrings, topk, toxicity, urls
 from .shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op9_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
+
+
 def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_threshold_topk": op3_threshold_topk,
     "op6_cross_parsing": op6_cross_parsing,
     "op7_hilbert_neighbours": op7_hilbert_neighbours,
+    "op8_sentence_spans": op8_sentence_spans,
     "op9_gated_recurrent": op9_gated_recurrent,
     "op10_bloom_cascade": op10_bloom_cascade,
 }
