@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, packing, substrings, topk, toxicity, urls
+from . import ann, bpe, langid, neardup, packing, substrings, topk, toxicity, urls
 from .shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op4_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: the smallest id of its class, the class's rows, and whether it is the one that stays."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("_id").alias("doc_id"), "class_id", "copies", "kept")
+
+
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = langid.training_texts(docs, ~held_out(F.col("doc_id")))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_two_fit": op1_best_two_fit,
     "op2_bpe_automaton": op2_bpe_automaton,
     "op3_threshold_topk": op3_threshold_topk,
+    "op4_weighted_minhash": op4_weighted_minhash,
     "op6_cross_parsing": op6_cross_parsing,
     "op7_hilbert_neighbours": op7_hilbert_neighbours,
     "op8_sentence_spans": op8_sentence_spans,
