@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a block of candidates and of a block of queries.
 CANDIDATES, QUERIES = 8192, 2048
+#: Share of a block from which on meeting the rest list by list isn't worth it.
+MOST = 0.1
 
 
 def usable(vector: Column) -> Column:
@@ -24,56 +26,68 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~odd, F.lit(False))
 
 
+def best_of(rows: np.ndarray, scores: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores and their rows; equal scores go to the smaller place."""
+    if len(rows) > k:
+        kept = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]  # and what ties with the last of them
+        rows, scores = rows[kept], scores[kept]
+        if len(rows) > k:
+            kept = np.lexsort((place[rows], -scores))[:k]
+            rows, scores = rows[kept], scores[kept]
+    return rows, scores
+
+
 def threshold_topk(queries: np.ndarray, candidates: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (query number, id, score) of each query's k best in a block; equal scores go to the smaller id.
 
-    ``own``: each query's id, which is no candidate of it. Integers; scores are exact.
+    ``own``: each query's id, which is no candidate of it. Integers; scores are exact. Queries whose lists have met MOST of
+    the block without the bound falling under their k-th best get the rest of it scored together, as one product.
     """
     n, d = candidates.shape
-    order = np.argsort(candidates, axis=0, kind="stable")  # one list a dimension, ascending
-    values = np.take_along_axis(candidates, order, axis=0)
-    exact = candidates.astype(np.float64)  # sums of integers, exact below 2**53
-    by_id = np.argsort(ids, kind="stable")
+    order = np.argsort(candidates, axis=0, kind="stable").T.copy()  # one list a dimension, ascending
+    values = np.take_along_axis(candidates.T, order, axis=1)
+    most = np.abs(candidates).max(initial=0) * np.abs(queries).max(initial=0) * d
+    exact = candidates.astype(np.float32 if most < 2**24 else np.float64)  # either holds every sum exactly
+    asked = queries.astype(exact.dtype)
     place = np.empty(n, np.int64)
-    place[by_id] = np.arange(n)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i, q in enumerate(queries):
+    place[np.argsort(ids, kind="stable")] = np.arange(n)
+    best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, exact.dtype))] * len(queries)
+    unmet: dict[int, np.ndarray] = {}
+    for i, q in enumerate(asked):
         use = np.flatnonzero(q)
-        up = q[use] > 0
-        best, scores = np.empty(0, np.int64), np.empty(0)
+        up, down = use[q[use] > 0], use[q[use] < 0]
         seen = np.zeros(n, bool)
-        depth, step = 0, max(4, n // (4 * max(1, len(use))))
-        weight = q[use].astype(np.float64)
-        while depth < n:
+        depth, step = 0, max(1, n // (8 * max(1, len(use))))
+        while depth < n and len(use):
             to = min(n, depth + step)
-            met = np.concatenate([order[n - to : n - depth, use[up]].ravel(), order[depth:to, use[~up]].ravel()]) if len(use) else np.arange(n)
             fresh = np.zeros(n, bool)
-            fresh[met] = True
+            fresh[order[up, n - to : n - depth]] = True
+            fresh[order[down, depth:to]] = True
             fresh &= ~seen
             seen |= fresh
             new = np.flatnonzero(fresh)
             new = new[ids[new] != own[i]]
-            all_scores = np.concatenate([scores, exact[new] @ q])
-            best = np.concatenate([best, new])
-            if len(best) > k:  # the k best, and what ties with the last of them
-                last = np.partition(all_scores, len(best) - k)[len(best) - k]
-                kept = all_scores >= last
-                best, all_scores = best[kept], all_scores[kept]
-                if len(best) > k:
-                    kept = np.lexsort((place[best], -all_scores))[:k]
-                    best, all_scores = best[kept], all_scores[kept]
-            scores = all_scores
-            depth = to
-            if not len(use):
+            best[i] = best_of(np.concatenate([best[i][0], new]), np.concatenate([best[i][1], exact[new] @ q]), place, k)
+            bound = values[up, n - to] @ q[up] + values[down, to - 1] @ q[down]
+            if len(best[i][0]) >= k and bound < best[i][1].min():
                 break
-            bound = np.where(up, values[n - to, use], values[to - 1, use]) @ weight
-            if len(best) >= k and bound < scores.min():
+            depth, step = to, 2 * step
+            if seen.mean() > MOST:
+                unmet[i] = ~seen
                 break
-            step *= 2
-        out.append((np.full(len(best), i), ids[best], scores.astype(np.int64)))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        if not len(use):
+            unmet[i] = ~seen
+    left = [*unmet]
+    for at in range(0, len(left), 256):
+        scores = asked[left[at : at + 256]] @ exact.T
+        for i, row in zip(left[at : at + 256], scores, strict=True):
+            low = best[i][1].min() if len(best[i][0]) >= k else -np.inf
+            new = np.flatnonzero(unmet[i] & (row >= low))
+            new = new[ids[new] != own[i]]
+            best[i] = best_of(np.concatenate([best[i][0], new]), np.concatenate([best[i][1], row[new]]), place, k)
+    rows = np.concatenate([b[0] for b in best]) if best else np.empty(0, np.int64)
+    scores = np.concatenate([b[1] for b in best]) if best else np.empty(0)
+    return np.repeat(np.arange(len(best)), [len(b[0]) for b in best]), ids[rows], scores.astype(np.int64)
 
 
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
