@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, neardup, packing, substrings, topk, toxicity, urls
+from . import ann, bpe, html, langid, neardup, packing, substrings, topk, toxicity, urls
 from .shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op4_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "class_id", "copies", "kept")
 
 
+def op5_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = langid.training_texts(docs, ~held_out(F.col("doc_id")))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op2_bpe_automaton": op2_bpe_automaton,
     "op3_threshold_topk": op3_threshold_topk,
     "op4_weighted_minhash": op4_weighted_minhash,
+    "op5_minimum_cut": op5_minimum_cut,
     "op6_cross_parsing": op6_cross_parsing,
     "op7_hilbert_neighbours": op7_hilbert_neighbours,
     "op8_sentence_spans": op8_sentence_spans,
