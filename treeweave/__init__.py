@@ -1,0 +1 @@
+"""Code indexing over many repositories as Spark jobs: sources, symbols, call edges, comments, graph questions and streams."""
