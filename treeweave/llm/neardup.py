@@ -15,12 +15,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,36 +35,85 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
 COUNTER_BITS, CHUNKS = 20, 64
 #: Nodes of a block in step 4.
 BLOCK = 256
-WORDS = re.compile(r"\w+")
 
 
-class WordHashes(dict):
-    """Hashes of words, remembered."""
+MULTIPLIER = 0x9E3779B97F4A7C15
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = h
-        return h
 
+def word_characters() -> np.ndarray:
+    """Which code points belong to words: letters, digits and the underscore."""
+    return np.array([chr(c).isalnum() or c == 95 for c in range(0x110000)], bool)
 
-_HASHES = WordHashes()
+
+class Powers:
+    """Powers of the multiplier and of its inverse modulo 2**64, as far as they were needed."""
+
+    up = np.ones(1, np.uint64)
+    down = np.ones(1, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            for name, x in (("up", MULTIPLIER), ("down", pow(MULTIPLIER, -1, 1 << 64))):
+                steps = np.full(n, x, np.uint64)
+                steps[0] = 1
+                setattr(cls, name, np.cumprod(steps, dtype=np.uint64))
+        return cls.up[:n], cls.down
+
+
+_WORD: list[np.ndarray] = []
+
+
+def shingle_batch(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """For each text a digest of its words; and the sorted shingles of all, text number << 32 | 32-bit hash, repeats included.
+
+    Words are runs of letters, digits and underscores, in lower case. A text of fewer words than SHINGLE is one shingle. All words are hashed at once: a
+    word's hash is a difference of the running sum of characters times powers, divided by the power where it begins.
+    """
+    if not _WORD:
+        _WORD.append(word_characters())
+    low = [t.lower() if t else "" for t in texts]
+    codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.cumsum([0, *(len(t) + 1 for t in low)])[:-1]
+    edge = np.diff(np.concatenate([[False], _WORD[0][codes], [False]]).view(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = Powers.upto(len(codes) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)])
+    w = (total[end] - total[start]) * down[start]
+    w = (w ^ (w >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    text = np.searchsorted(begins, start, "right") - 1
+    cut = np.searchsorted(text, np.arange(len(texts) + 1))
+    digests = [xxhash.xxh3_128_digest(w[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
+    keys = np.empty(0, np.uint64)
+    if len(w) >= SHINGLE:
+        h = np.zeros(len(w) - SHINGLE + 1, np.uint64)
+        for k in range(SHINGLE):
+            h = h * np.uint64(MULTIPLIER) + w[k : k + len(h)]
+        whole = text[: len(h)] == text[SHINGLE - 1 :]
+        keys = text[: len(h)][whole].astype(np.uint64) << np.uint64(32) | mixed(h[whole])
+    short = [(i, np.uint64(0)) for i in np.flatnonzero((np.diff(cut) > 0) & (np.diff(cut) < SHINGLE))]
+    if short:
+        few = np.array([int(i) << 32 | xxhash.xxh32_intdigest(w[cut[i] : cut[i + 1]].tobytes()) for i, _ in short], np.uint64)
+        keys = np.concatenate([keys, few])
+    return digests, np.sort(keys)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(32)
 
 
 def shingles(text: str | None) -> tuple[bytes, np.ndarray]:
-    """A digest of a text's words, and the sorted 32-bit hashes of its shingles, repeats included; a shorter text is one shingle."""
-    words = WORDS.findall(text.lower()) if text else []
-    digest = xxhash.xxh3_128_digest("\n".join(words).encode("utf-8", "replace"))
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    if not len(w):
-        return digest, np.empty(0, np.uint32)
-    width = min(SHINGLE, len(w))
-    h = np.zeros(len(w) - width + 1, np.uint64)
-    for k in range(width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + len(h)]
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return digest, np.sort((h >> np.uint64(32)).astype(np.uint32))
+    """One text's digest and its sorted 32-bit shingles."""
+    digests, keys = shingle_batch([text])
+    return digests[0], keys.astype(np.uint32)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 48, characters: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of so many rows, fewer where texts are long."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy()
+    piece = np.maximum(np.arange(len(sizes)) // rows, np.cumsum(sizes) // characters)
+    for first, last in zip(*(lambda f: (f, [*f[1:], len(sizes)]))(np.flatnonzero(np.diff(piece, prepend=-1))), strict=True):
+        yield batch.slice(int(first), int(last - first))
 
 
 def document_frequencies(texts: DataFrame) -> np.ndarray:
@@ -74,9 +123,10 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                own = [np.unique(shingles(t)[1]) for t in batch.column("text").slice(lo, 256).to_pylist()]
-                table += np.bincount(np.concatenate(own) >> np.uint32(32 - COUNTER_BITS), minlength=len(table)).astype(np.uint32)
+            for part in slices(batch):
+                keys = shingle_batch(part.column("text").to_pylist())[1]
+                counters = (keys[np.diff(keys, prepend=np.uint64(2**64 - 1)) != 0] & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - COUNTER_BITS)
+                np.add.at(table, counters, np.uint32(1))
         if table.any():
             parts = [c.astype(np.min_scalar_type(c.max())) for c in table.reshape(CHUNKS, width)]
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
@@ -143,23 +193,24 @@ def sketches(keyed: DataFrame, idf) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = np.random.default_rng(44).integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                found = [shingles(t) for t in part.column("text").to_pylist()]
-                bands = np.zeros((len(found), BANDS), np.uint64)
-                some = [i for i, f in enumerate(found) if len(f[1])]
-                if some:
-                    own = [np.unique(found[i][1], return_counts=True) for i in some]
-                    flat = np.concatenate([o[0] for o in own])
-                    log_weight = np.log(weights_of(flat, idf.value) * np.concatenate([o[1] for o in own])).astype(np.float32)
-                    first = np.cumsum([0, *(len(o[0]) for o in own[:-1])])
+            for part in slices(batch):
+                digests, keys = shingle_batch(part.column("text").to_pylist())
+                bands = np.zeros((len(digests), BANDS), np.uint64)
+                some: np.ndarray = np.empty(0, np.int64)
+                if len(keys):
+                    at = np.flatnonzero(np.diff(keys, prepend=np.uint64(2**64 - 1)))
+                    flat, text = keys[at].astype(np.uint32), (keys[at] >> np.uint64(32)).astype(np.int64)
+                    log_weight = np.log(weights_of(flat, idf.value) * np.diff(at, append=len(keys))).astype(np.float32)
+                    first = np.flatnonzero(np.diff(text, prepend=-1))
+                    some = text[first]
                     drawn = consistent_samples(flat, log_weight, first, BANDS * ROWS).reshape(len(some), BANDS, ROWS)
                     drawn = (drawn ^ (drawn >> np.uint64(29))) * mix
                     bands[some] = np.bitwise_xor.reduce(drawn ^ (drawn >> np.uint64(32)), axis=2)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64).ravel()))
-                empty = pa.array([not len(f[1]) for f in found])
-                lists = pa.array([None if e else x for e, x in zip(empty.to_pylist(), lists, strict=True)], pa.list_(pa.int64())) if any(empty.to_pylist()) else lists
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_text"), pa.array([f[0] for f in found], pa.binary()), lists], names=SKETCH.names)
+                none = np.ones(len(digests), bool)
+                none[some] = False
+                ends = pa.array(np.arange(len(digests) + 1) * BANDS, pa.int32(), mask=np.append(none, False))
+                lists = pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_text"), pa.array(digests, pa.binary()), lists], names=SKETCH.names)
 
     return keyed.select("_id", "_text", "text").mapInArrow(run, SKETCH)
 
@@ -169,9 +220,11 @@ def shingle_table(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                found = [shingles(t) for t in batch.column("text").slice(lo, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["c", "s"])
+            for part in slices(batch):
+                digests, keys = shingle_batch(part.column("text").to_pylist())
+                cut = np.searchsorted(keys >> np.uint64(32), np.arange(len(digests) + 1))
+                own = [keys[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(own, pa.binary())], names=["c", "s"])
 
     return texts.select("text").mapInArrow(run, "c binary, s binary")
 
@@ -194,6 +247,9 @@ def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
 
 def block_links(sets: list[np.ndarray], component: list[bytes], outer: np.ndarray, idf: np.ndarray) -> list[tuple[int, int]]:
     """Links that join different components, as few as join them: between ``outer`` rows and all."""
+    rows = np.flatnonzero(outer)
+    if len(sets) <= 12:
+        return forest(((i, j) for i in rows for j in range(len(sets)) if j != i and not (outer[j] and j < i)), sets, component, idf)
     items = [occurrences(s) for s in sets]
     flat = np.concatenate(items)
     owner = np.repeat(np.arange(len(sets)), [len(i) for i in items])
@@ -201,8 +257,7 @@ def block_links(sets: list[np.ndarray], component: list[bytes], outer: np.ndarra
     values, column, count = np.unique(flat, return_inverse=True, return_counts=True)
     number = np.cumsum(count > 1) - 1
     use = count[column] > 1
-    shared = np.zeros((int(outer.sum()), len(sets)))
-    rows = np.flatnonzero(outer)
+    shared = np.zeros((len(rows), len(sets)))
     w = np.sqrt(weights_of((values[count > 1] >> np.uint64(24)).astype(np.uint32), idf))
     o, c = owner[use], number[column[use]]
     for lo in range(0, len(w), 8192):  # columns in slices, so that the matrix stays small
@@ -211,6 +266,11 @@ def block_links(sets: list[np.ndarray], component: list[bytes], outer: np.ndarra
         m[o[part], c[part] - lo] = w[c[part]]
         shared += m[rows] @ m.T
     similar = shared >= (SIMILAR - 1e-4) * (weight[rows][:, None] + weight - shared)
+    return forest(((rows[i], j) for i, j in zip(*np.nonzero(similar), strict=True)), sets, component, idf)
+
+
+def forest(pairs: Iterable[tuple[int, int]], sets: list[np.ndarray], component: list[bytes], idf: np.ndarray) -> list[tuple[int, int]]:
+    """Those of ``pairs`` that are similar and connect what wasn't connected by then."""
     root = {c: c for c in component}
 
     def find(c: bytes) -> bytes:
@@ -220,11 +280,11 @@ def block_links(sets: list[np.ndarray], component: list[bytes], outer: np.ndarra
         return c
 
     out = []
-    for i, j in zip(*np.nonzero(similar), strict=True):
-        a, b = find(component[rows[i]]), find(component[j])
-        if a != b and similarity(sets[rows[i]], sets[j], idf) >= SIMILAR:
+    for i, j in pairs:
+        a, b = find(component[i]), find(component[j])
+        if a != b and similarity(sets[i], sets[j], idf) >= SIMILAR:
             root[max(a, b)] = min(a, b)
-            out.append((int(rows[i]), int(j)))
+            out.append((int(i), int(j)))
     return out
 
 
@@ -278,10 +338,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def missing_comparisons(shared: DataFrame, joined: DataFrame, sets: DataFrame, idf) -> DataFrame:
     """Links (a, b) between the components that meet in a bucket: nodes outside its largest component against all."""
-    placed = staged(shared.select("c", "band", "key").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "placed")
-    sizes = staged(placed.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    split = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
-    split = split.filter("parts > 1").select("band", "key", F.col("most.root").alias("most"), F.col("most.n").alias("n_in"), (F.col("all") - F.col("most.n")).alias("n_out"))
+    rest = shared.filter(F.col("c") != F.col("leader")).select("c", "band", "key")  # leaders have met all others
+    placed = staged(rest.join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "placed")
+    sizes = placed.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"))
+    split = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.bit_xor("x").alias("x"))
+    split = split.filter("parts > 1").groupBy("x", "all").agg(F.min_by(F.struct("band", "key", "most"), F.struct("band", "key")).alias("b"))  # bands with the same nodes: once
+    split = split.select("b.band", "b.key", F.col("b.most.root").alias("most"), F.col("b.most.n").alias("n_in"), (F.col("all") - F.col("b.most.n")).alias("n_out"))
     split = staged(split, "split")
     some = placed.join(split, ["band", "key"]).withColumn("outer", F.col("root") != F.col("most"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
