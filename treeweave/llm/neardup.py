@@ -3,7 +3,9 @@
 1. Shingles of five words are counted by the documents that hold them, over all documents, in a table of 2**20 counters
    (a shingle's counter is its hash's top bits: its frequency is never counted too low, and too high by the
    others of its counter, which for rare shingles is about the same for all). The table's size is fixed, whatever the input's.
-2. A shingle weighs its frequency in the document times ln((n + 1) / (count + 1)). Improved consistent weighted sampling draws
+2. A shingle weighs its frequency in the document times its damped inverse document frequency, 1 + RARE * ln((n + 1) / (count + 1)) / ln(n + 2).
+   Undamped, a text that thousands copy would have cheap shingles and its copies' edits dear ones: the more copies, the
+   less alike. Improved consistent weighted sampling draws
    BANDS * ROWS samples from a document's weights; two documents' samples are equal with the probability of
    their weighted Jaccard similarity. ROWS samples hashed together are a band's key.
 3. Texts with the same words are one node. In each band, nodes of one key are compared with one leader, chosen by a hash
@@ -33,6 +35,8 @@ from .substrings import keys
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
 COUNTER_BITS, CHUNKS = 20, 64
+#: How much more than the commonest shingle the rarest weighs.
+RARE = 0.25
 #: Nodes of a block in step 4.
 BLOCK = 256
 
@@ -180,6 +184,12 @@ def consistent_samples(shingle: np.ndarray, log_weight: np.ndarray, first: np.nd
     return out
 
 
+def shingle_weights(counts: np.ndarray, n: float) -> np.ndarray:
+    """The weight that one occurrence of a shingle has, by counter: 1 for one that all documents hold, up to 1 + RARE."""
+    rare = np.log((n + 1) / (np.minimum(counts, n) + 1.0)) / np.log(n + 2)
+    return (1 + RARE * rare).astype(np.float32)
+
+
 def weights_of(shingle: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return idf[shingle >> np.uint32(32 - COUNTER_BITS)]
 
@@ -300,7 +310,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     keyed = keyed.withColumns(keys(F.col("text"), F.col("doc_id"))).select("_id", "_text", "text")
     counts = document_frequencies(keyed)
     n = float(keyed.count())
-    idf = spark.sparkContext.broadcast(np.maximum(np.log((n + 1) / (counts + 1.0)), 0.05).astype(np.float32))
+    idf = spark.sparkContext.broadcast(shingle_weights(counts, n))
     rows = staged(sketches(keyed, idf), "sketches")
     nodes = staged(rows.groupBy("c").agg(F.min(F.struct("_id", "_text")).alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "nodes")
 
