@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Words of a window and between the starts of two.
 WINDOW, STRIDE = 32, 24
 #: Most labelled documents that training takes of each label.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 8
 WORD_BITS, CHAR_BITS = 17, 18
 NGRAMS = (3, 4, 5)
@@ -68,8 +68,8 @@ def ngram_buckets(words: list[str], sizes: tuple[int, ...] = NGRAMS, bits: int =
                     inside &= ~edge[j : j + len(h)]
             h, owner = h[inside], number[: len(inside)][inside]
         h = (h ^ (h >> np.uint32(15))) * np.uint32(2246822519)
-        owners.append(owner)
-        buckets.append((h >> np.uint32(32 - bits)).astype(np.int64))
+        owners.append(owner.astype(np.int32))
+        buckets.append((h >> np.uint32(32 - bits)).astype(np.int32))
     return np.concatenate(owners), np.concatenate(buckets)
 
 
@@ -193,17 +193,17 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 9) -
     if not len(y) or y.min() == y.max():
         return float(y.max()) if len(y) else 0.0
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-    if not vocabulary:
+    vocabulary = Numbers()
+    numbered = [np.array([*map(vocabulary.__getitem__, words_of(t))], np.int32) for t in texts]  # words as strings are kept once
+    words = vocabulary.new
+    if not words:
         return 0.0
-    words = list(vocabulary)
-    numbered = [[vocabulary[w] for w in d] for d in docs]
     net = Network(seed)
     # how much likelier than in clean documents each word and n-gram is in toxic ones, shrunk where seldom seen
     owner, bucket = ngram_buckets(words)
     order = np.argsort(owner, kind="stable")
-    owner, bucket = owner[order], bucket[order]
+    owner, bucket = owner[order].astype(np.int32), bucket[order].astype(np.int32)
+    del order
     first = np.searchsorted(owner, np.arange(len(words) + 1))
     by_word = word_buckets(words)
     seen = {k: np.zeros((2, 1 << b)) for k, b in (("word", WORD_BITS), ("char", CHAR_BITS))}
@@ -222,10 +222,10 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 9) -
     picked, targets = [], []
     for d, label in zip([numbered[i] for i in np.flatnonzero(~held)], y[~held], strict=True):
         starts = window_starts(len(d))
-        worst = np.array([likely[d[s : s + WINDOW]].max() if d else 0 for s in starts])
+        worst = np.array([likely[d[s : s + WINDOW]].max() if len(d) else 0 for s in starts])
         chosen = {*np.argsort(-worst, kind="stable")[:2]} | ({int(rng.integers(len(starts)))} if not label else set())
         for s in starts[sorted(chosen)]:
-            picked.append(d[s : s + WINDOW])
+            picked.append(d[s : s + WINDOW].tolist())
             targets.append(label)
     target = np.array(targets, np.float32)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -246,7 +246,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 9) -
                 net.p[k][rows] -= 0.01 * (m[0][rows] / (1 - 0.9**count)) / (np.sqrt(m[1][rows] / (1 - 0.99**count)) + 1e-6)
     checked = np.flatnonzero(held) if len({*y[held]}) == 2 else np.arange(len(y))
     scorer = Scorer(net)
-    z = scorer.logits([docs[i] for i in checked])
+    z = np.concatenate([scorer.logits([words_of(texts[i]) for i in checked[at : at + 100]]) for at in range(0, len(checked), 100)])
     # where the labels part best, halfway to the next document on either side
     rising = np.argsort(z)
     cut, true = z[rising], y[checked][rising]
