@@ -218,6 +218,7 @@ def test_html(spark):
     assert got[1] == "Head line First é part Second. One Two"
     assert got[2] == "A title & more First long paragraph of the story, with some commas, and an end. It goes on for a while. Second paragraph x < y with a link inside and more words to read here."
     assert [got[i] for i in (3, 4, 5)] == [""] * 3
+    assert html.main_text("only  text, no &amp; markup", html.PRIOR) == "only text, no & markup"
     assert html.extract_text(pages.limit(0)).count() == 0
 
 

@@ -245,7 +245,7 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     elements, blocks = parse(page)
     if not blocks:
         return ""
-    around = surroundings(elements)
+    around = surroundings(elements) if len(elements) > 1 else [3.0]  # text without markup is all there is
     looks = np.array([features(b, elements[b.element].tag) for b in blocks]) @ weights
     score = [around[b.element] + max(-2.0, min(2.0, x)) for b, x in zip(blocks, looks, strict=True)]
     edges: list[tuple[int, int, float]] = [(i, i + 1, NEIGHBOUR) for i in range(len(blocks) - 1)]
