@@ -33,14 +33,18 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import held
+
 #: Fixed values of the tokenizer format: the white space it replaces, and its word pattern.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: The same for lower-cased text of ASCII or Latin-1 alone, where plain ranges say it.
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+LATIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 #: Stands for the end-of-word mark while a word is spelt.
 END = "\n"
 #: Words whose paths one Python worker remembers: some 200 bytes each.
-REMEMBERED = 900_000
+REMEMBERED = 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -59,9 +63,7 @@ class Automaton:
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         vocab = model["vocab"]
-        self.labels: dict[int, str] = {i: t for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels |= {i: t for t, i in self.special.items()}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self._compile(vocab, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
@@ -152,24 +154,28 @@ class Automaton:
         return self._cut[state]
 
     def word(self, symbols: str) -> list[int]:
-        """The arc labels of the one path that spells a word, given in byte symbols."""
+        """The arc labels of the one path that spells a word, given in byte symbols.
+
+        At each place the arcs that spell what follows are tried, the longest first; a blocked one is passed over, and
+        where none is left the last step is taken back.
+        """
         n, spelt = len(symbols), symbols + END if self.end else symbols
         split = n if self.end else -1  # the last symbol and its end mark are one
         trie, order, enters, cut = self.trie, self.order, self.enters, self._cut
         out: list[int] = []
-        path: list[list[tuple[int, int]]] = []  # what else could have come at each place
-        at, state = 0, 0
+        path: list[list[int]] = []  # what else could have come at each place: tokens and where they end, in turn
+        at = state = 0
         while True:
-            options: list[tuple[int, int]] = []
+            options: list[int] = []
             node, i = trie, at
-            for c in spelt[at:]:
+            for c in spelt[at:] if at else spelt:
                 branch = node.get(c)
                 if branch is None:
                     break
                 t, node = branch
                 i += 1
                 if t >= 0 and i != split:
-                    options.append((t, i))
+                    options += (i, t)
             while True:
                 while not options:
                     if not path:
@@ -177,13 +183,13 @@ class Automaton:
                     options = path.pop()
                     out.pop()
                     state = enters[out[-1]] if out else 0
-                t, i = options.pop()  # the longest first
+                t, i = options.pop(), options.pop()
                 if not state:
                     break
                 lows, highs = cut.get(state) or self._blocked(state)
                 x = order[t]
-                k = bisect_right(lows, x) - 1
-                if k < 0 or x >= highs[k]:
+                k = bisect_right(lows, x)
+                if not k or x >= highs[k - 1]:
                     break
             out.append(t)
             if i >= n:
@@ -209,7 +215,8 @@ class Encoder:
         if text.isascii():
             words = ASCII_WORD.findall(text.lower())
         else:
-            words = WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            words = (LATIN_WORD if max(text) <= "ÿ" else WORD).findall(text)
         return b"".join(map(self.paths.__getitem__, words))
 
     def encode(self, text: str | None) -> bytes:
@@ -243,14 +250,9 @@ class Paths(dict):
         return path
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This Python worker's encoder for a vocabulary file; compiled once, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("bpe", path), lambda: Encoder(path))
 
 
 def token_batches(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -288,6 +290,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     return rest.mapInArrow(run, rest.withColumn(ids, F.lit(None).cast("array<int>")).schema)
 
 
+def labels_of(path: str) -> dict[int, str]:
+    """The label of each id in a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with ``decoded``: the labels of the arcs that ``ids`` name, joined by a space.
 
@@ -298,7 +307,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     rest = docs.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = encoder(path).automaton.labels
+        labels = held(("labels", path), lambda: labels_of(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

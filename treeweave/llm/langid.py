@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import held
+
 #: Characters of labelled text that each language's automaton holds, at most, and from a document.
 PER_LANGUAGE, PER_DOCUMENT = 40_000, 1_000
 #: Texts are parsed in runs of so many characters; a phrase ends with its run.
@@ -97,12 +99,13 @@ class Parser:
         self.code[self.letter_ranges] = UNKNOWN
         for i, c in enumerate(letters):
             self.code[ord(c)] = i + 2
-        tables, self.roots, first = [], [], 0
+        tables, self.roots, self.rootless, first = [], [], [], 0
         for lang in self.languages:
             codes = self.codes(texts[lang])
             t = suffix_automaton(codes.tolist(), self.symbols)
             goes = t >= 0
-            again = np.where(goes[0], t[0], 0)  # a symbol without an arc at the root is a phrase of its own
+            again = np.where(goes[0], t[0], 0)
+            self.rootless.append(~goes[0])  # symbols that are phrases of their own
             t = np.where(goes, (t + first) * self.symbols, -1 - (again + first) * self.symbols)
             self.roots.append(first * self.symbols)
             tables.append(t)
@@ -132,10 +135,11 @@ class Parser:
         flat = np.concatenate(coded).astype(np.int32)
         live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # runs that are at least so long
         for k, root in enumerate(self.roots):
-            state = np.full(len(owner), -1 - root, np.int32)
-            found = np.zeros(len(owner), np.int64)
-            state[:] = root
-            found += 1
+            state = np.full(len(owner), root, np.int32)
+            # a phrase begins at a run's start, where no arc goes on, and after a symbol that no phrase goes on from
+            alone = self.rootless[k][flat]
+            after = np.concatenate([[0], np.cumsum(alone[:-1] & ~alone[1:])])
+            found = 1 - alone[starts] + after[starts + size - 1] - after[starts]
             for step, n in enumerate(live):
                 to = self.table[state[:n] + flat[starts[:n] + step]]
                 new = to < 0
@@ -145,16 +149,9 @@ class Parser:
         return counts, lengths, letter
 
 
-_PARSERS: dict[int, Parser] = {}
-
-
 def parser(texts: dict[str, str]) -> Parser:
     """This Python worker's automata for these texts, built once."""
-    key = hash(tuple(sorted(texts.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(texts)
-    return _PARSERS[key]
+    return held(("langid", hash(tuple(sorted(texts.items())))), lambda: Parser(texts))
 
 
 def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataFrame:

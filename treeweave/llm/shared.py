@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +48,16 @@ def fold_of(doc_id: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True where the id's remainder is 2; a null id has no remainder and is not held out."""
     return F.coalesce(fold_of(doc_id) == 2, F.lit(False))
+
+
+_HELD: dict[str, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` made for ``key`` in this Python worker. Workers outlive operators, so only the last one asked for is kept."""
+    if _HELD.get("key") != key:
+        _HELD.clear()
+        gc.collect()
+        _HELD["value"] = make()
+        _HELD["key"] = key
+    return _HELD["value"]

@@ -12,6 +12,7 @@ at random, as counterexamples.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import held
+
 #: Words of a window and between the starts of two.
 WINDOW, STRIDE = 32, 24
 #: Most labelled documents that training takes of each label.
@@ -30,7 +33,7 @@ NGRAMS = (3, 4, 5)
 #: Scores from here on count as toxic; training sets the scale so that this is where the two labels part best.
 THRESHOLD = 0.3
 #: Words that one Python worker remembers the input of.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 WORDS = re.compile(r"\w+")
 
 
@@ -308,7 +311,7 @@ class Scorer:
 
     def scores(self, docs: list[list[str]]) -> np.ndarray:
         z = (self.logits(docs) - self.net.shift) * self.net.scale + np.log(THRESHOLD / (1 - THRESHOLD))
-        return sigmoid(np.clip(z, -60, 60))
+        return np.where(np.isneginf(z), 0.0, sigmoid(np.clip(z, -60, 60)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[list[str], list[int]]:
@@ -332,11 +335,12 @@ def score(docs: DataFrame, model: Network | float, text: str = "text") -> DataFr
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     rest = docs.select(*(F.col(f"`{c}`") for c in kept))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    model_ = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = held.value
-        scorer = Scorer(net) if isinstance(net, Network) else None
+        net = model_.value
+        scorer = held(("toxicity", name), lambda: Scorer(net)) if isinstance(net, Network) else None
         for batch in batches:
             found = np.full(batch.num_rows, float(net) if scorer is None else 0.0)
             pending: list[list[str]] = []
@@ -345,7 +349,7 @@ def score(docs: DataFrame, model: Network | float, text: str = "text") -> DataFr
                 for i, t in enumerate(batch.column(text).to_pylist()):
                     pending.append(words_of(t))
                     size += len(pending[-1])
-                    if size >= 100_000 or i + 1 == batch.num_rows:
+                    if size >= 50_000 or i + 1 == batch.num_rows:
                         found[i + 1 - len(pending) : i + 1] = scorer.scores(pending)
                         pending, size = [], 0
             predicted = (found >= THRESHOLD).astype(np.int32)
