@@ -263,3 +263,33 @@ def test_cascade_is_exact(spark, monkeypatch):
     assert len(levels) >= 3
     found = keys.filter(urls.listed_in(F.col("key"), levels)).collect()
     assert {r["key"] for r in found} == {*listed}
+
+
+def test_parts_depend_on_nearby_words_only():
+    rng = np.random.default_rng(12)
+    run_on = words(rng, 400, 0, 60)
+    for n in (*range(1, 40), 400):
+        text = " ".join(run_on[:n]) + ". "
+        head, parts, sizes = substrings.sentences(text)
+        assert head + "".join(parts) == text and sum(sizes) == n and max(sizes) <= substrings.WINDOW
+
+    def share_found(passage):  # of the passage's words, in a second document
+        first, second = (" ".join([*words(rng, 50), *passage, *words(rng, 50)]) for _ in range(2))
+        known = {*substrings.spans(*substrings.sentences(first)[1:])[2]}
+        _, parts, sizes = substrings.sentences(second)
+        gone = np.zeros(len(parts), bool)
+        for at, n, h in zip(*substrings.spans(parts, sizes), strict=True):
+            gone[at : at + n] |= h in known
+        return np.repeat(gone, sizes)[50 : 50 + len(passage)].mean()
+
+    shares = [share_found(words(rng, 51)) for _ in range(300)]
+    assert min(shares) > 0 and np.mean(shares) > 0.8
+    assert share_found(["again"] * 51) > 0.8
+
+
+def test_the_24_word_limit_does_not_matter(spark):
+    rng = np.random.default_rng(13)
+    body = words(rng, 24)
+    docs = spark.createDataFrame([(1, " ".join(body) + ". ", "x"), (2, "more " + " ".join(body) + ". ", "x")], DOCS)
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(docs).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] > 0 and len(got[2]["text"].split()) < 15

@@ -1,9 +1,10 @@
-"""Substring dedup: sliding spans of consecutive sentences.
+"""Substring dedup: sliding spans of consecutive parts of sentences.
 
-From every sentence a span runs over at least SENTENCES sentences and on until it has WORDS words. Spans are hashed and
-joined over the whole corpus; sentences that any occurrence but a span's first covers are removed. A sentence of more
-than LONG words, as text without punctuation is, is parted after words that a hash picks, so that a
-passage is parted alike wherever it stands.
+A sentence of more than WINDOW words is parted after each word whose hash is the least of some WINDOW consecutive words
+of it (of equals, the last). So a part has at most WINDOW words, and where a passage is parted depends on the words
+within WINDOW of the place only, not on the sentence around it. From every part a span runs over at least PARTS
+parts and on until it has WORDS words. Spans are hashed and joined over the whole corpus; parts that any occurrence
+but a span's first covers are removed.
 """
 
 from __future__ import annotations
@@ -20,46 +21,68 @@ from pyspark.sql import types as T
 
 from .shared import staged
 
-SENTENCES, WORDS, LONG, EVERY = 3, 15, 24, 6
+PARTS, WORDS, WINDOW = 2, 15, 8
 #: A sentence with the white space after it: up to end marks before white space, or a line's end.
 SENTENCE = re.compile(r"\S(?:[^.!?\n]|[.!?]+(?!\s|$|[.!?]))*(?:[.!?]+)?\s*")
 TOKEN = re.compile(r"\S+\s*")
 
 
+def least_of_windows(hashes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Places of the least hashes (of equals, the last) of each WINDOW consecutive words that are of one sentence."""
+    if len(hashes) < WINDOW:
+        return np.empty(0, np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    least, width = hashes << np.uint64(32) | (low - np.arange(len(hashes), dtype=np.uint64)), 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    least = least[sentence[: len(least)] == sentence[WINDOW - 1 :]]
+    return np.unique((low - (least & low)).astype(np.int64))
+
+
 def sentences(text: str) -> tuple[str, list[str], list[int]]:
-    """What stands before the first sentence; the sentences, which joined give the rest; the words of each."""
+    """What stands before the first sentence; the sentences or their parts, which joined give the rest; the words of each."""
     at = len(text) - len(text.lstrip())
+    found = SENTENCE.findall(text, at)
+    sizes = [len(s.split()) for s in found]
+    # all words of the longer sentences but each one's last, after which a part ends anyway
+    longer = [i for i, n in enumerate(sizes) if n > WINDOW]
+    if not longer:
+        return text[:at], found, sizes
+    words = [w for i in longer for w in found[i].lower().split()[:-1]]
+    sentence = np.repeat(longer, [sizes[i] - 1 for i in longer])
+    hashes = np.array([xxhash.xxh32_intdigest(w.encode("utf-8", "replace")) for w in words], np.uint64)
+    ends = least_of_windows(hashes, sentence)
+    begins = dict(zip(longer, np.cumsum([0, *(sizes[i] - 1 for i in longer)]).tolist(), strict=False))
+    cuts: dict[int, list[int]] = {i: [] for i in longer}
+    for i, e in zip(sentence[ends].tolist(), ends.tolist(), strict=True):
+        cuts[i].append(e - begins[i] + 1)
     parts: list[str] = []
-    sizes: list[int] = []
-    for s in SENTENCE.findall(text, at):
-        n = len(s.split())
-        if n <= LONG:
+    counts: list[int] = []
+    for i, s in enumerate(found):
+        if i not in cuts:
             parts.append(s)
-            sizes.append(n)
+            counts.append(sizes[i])
             continue
-        run: list[str] = []
-        for w in TOKEN.findall(s):
-            run.append(w)
-            if xxhash.xxh32_intdigest(w.strip().lower().encode("utf-8", "replace")) % EVERY == 0:
-                parts.append("".join(run))
-                sizes.append(len(run))
-                run = []
-        if run:
-            parts.append("".join(run))
-            sizes.append(len(run))
-    return text[:at], parts, sizes
+        tokens, lo = TOKEN.findall(s), 0
+        for hi in (*cuts[i], sizes[i]):
+            parts.append("".join(tokens[lo:hi]))
+            counts.append(hi - lo)
+            lo = hi
+    return text[:at], parts, counts
 
 
 def spans(parts: list[str], sizes: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """First sentence, number of sentences and 64-bit hash of each span; case and the width of white space don't count."""
+    """First part, number of parts and 64-bit hash of each span; case and the width of white space don't count."""
     plain = [" ".join(p.lower().split()) for p in parts]
     firsts, counts, hashes = [], [], []
     end, words, n = 0, 0, len(parts)
     for i in range(n):
-        while end < n and (end - i < SENTENCES or words < WORDS):
+        while end < n and (end - i < PARTS or words < WORDS):
             words += sizes[end]
             end += 1
-        if end - i < SENTENCES or words < WORDS:
+        if end - i < PARTS or words < WORDS:
             break
         firsts.append(i)
         counts.append(end - i)
@@ -70,7 +93,7 @@ def spans(parts: list[str], sizes: list[int]) -> tuple[list[int], list[int], lis
 
 
 SPANS = T.StructType([T.StructField("_id", T.LongType()), T.StructField("place", T.LongType()), T.StructField("h", T.LongType())])
-#: A place is a text's 32-bit hash, the first sentence (28 bits) and the number of sentences (at most WORDS, 4 bits).
+#: A place is a text's 32-bit hash, the first part (28 bits) and the number of parts (at most WORDS, 4 bits).
 AT_BITS, N_BITS = 28, 4
 
 
@@ -97,23 +120,24 @@ def keys(text: Column, doc_id: Column) -> dict[str, Column]:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeats taken out of ``text``, and ``n_removed``, the sentences taken.
+    """``docs`` with repeats taken out of ``text``, and ``n_removed``, the parts taken.
 
     The first occurrence of a span is the one in the smallest id (null first), then text hash, then place; within a document
-    too. Sentences outside repeated spans stay as they are, white space included; a text whose sentences all
+    too. Parts outside repeated spans stay as they are, white space included; a text whose parts all
     go is empty, a null one stays null. Rows with equal id and text are one document: they are treated alike, and don't count
     as repeats of each other. A column named ``n_removed`` is replaced; others stay.
     """
     kept = [c for c in docs.columns if c != "n_removed"]
     keyed = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumns(keys(F.col(f"`{text}`"), F.col(f"`{doc_id}`")))
     found = staged(span_table(keyed.select("_id", "_text", F.col(f"`{text}`").alias("text"))), "spans")
-    # counts and firsts are gathered before the shuffle, so a span that a third of the documents share is a row for each task;
-    # the join back is to one row a span, so Spark can split the rows of such a span
-    where = F.struct("_id", "place")
-    repeated = found.groupBy("h").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeated = staged(repeated.select("h", F.col("first._id").alias("_first"), F.col("first.place").alias("_place")), "repeated")
+    # hashes alone are counted, before the shuffle, so a span that a third of the documents share is a row for each task; the
+    # join back is to one row a span, so Spark can split the rows of such a span; places are shuffled with repeated spans only
+    repeated = staged(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated")
+    several = staged(found.join(repeated, "h"), "several")
+    first = several.groupBy("h").agg(F.min(F.struct("_id", "place")).alias("first"))
+    first = staged(first.select("h", F.col("first._id").alias("_first"), F.col("first.place").alias("_place")), "firsts")
     again = (F.col("_id") != F.col("_first")) | (F.col("place") != F.col("_place"))
-    covered = found.join(repeated, "h").filter(again).select("_id", F.shiftright("place", AT_BITS + N_BITS).cast("int").alias("_text"), "place")
+    covered = several.join(first, "h").filter(again).select("_id", F.shiftright("place", AT_BITS + N_BITS).cast("int").alias("_text"), "place")
     covered = covered.groupBy("_id", "_text").agg(F.collect_set("place").alias("_spans"))
     joined = keyed.join(covered, ["_id", "_text"], "left").drop("_id", "_text")
     schema = T.StructType([*(f for f in joined.schema.fields if f.name != "_spans"), T.StructField("n_removed", T.LongType())])
