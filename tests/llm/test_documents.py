@@ -1,5 +1,6 @@
 """Dedup, language, toxicity, extraction and URL operators on small tables, with nulls, repeats, ties and empty input."""
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -293,3 +294,14 @@ def test_the_24_word_limit_does_not_matter(spark):
     docs = spark.createDataFrame([(1, " ".join(body) + ". ", "x"), (2, "more " + " ".join(body) + ". ", "x")], DOCS)
     got = {r["doc_id"]: r for r in substrings.remove_repeats(docs).collect()}
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] > 0 and len(got[2]["text"].split()) < 15
+
+
+def test_texts_of_one_id_with_one_32_bit_hash_are_different_documents(spark):
+    digests = [F.md5(F.concat_ws(" ", "id", F.lit(k))) for k in range(20)]
+    texts = spark.range(300000).select(F.concat_ws(" ", *digests).alias("text"))
+    a, b = texts.groupBy(F.hash("text")).agg(F.sort_array(F.collect_list("text")).alias("t")).filter("size(t) > 1").first()["t"][:2]
+    docs = spark.createDataFrame([(5, a, "x"), (5, b, "x"), (1, a, "x")], DOCS)
+    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in substrings.remove_repeats(docs).collect()}
+    assert (1, a, 0) in got and (5, b, 0) in got and len(got) == 3
+    nulls = spark.createDataFrame([(None, a, "x"), (None, b, "x")], DOCS)
+    assert {r["text"] for r in corpus_pipeline.near_dedup(spark, nulls, "").collect()} == {a, b}

@@ -194,7 +194,7 @@ def weights_of(shingle: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return idf[shingle >> np.uint32(32 - COUNTER_BITS)]
 
 
-SKETCH = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_text", T.IntegerType()), T.StructField("c", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_text", T.LongType()), T.StructField("c", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def sketches(keyed: DataFrame, idf) -> DataFrame:

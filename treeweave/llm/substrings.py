@@ -92,9 +92,9 @@ def spans(parts: list[str], sizes: list[int]) -> tuple[list[int], list[int], lis
     return firsts, counts, hashes
 
 
-SPANS = T.StructType([T.StructField("_id", T.LongType()), T.StructField("place", T.LongType()), T.StructField("h", T.LongType())])
-#: A place is a text's 32-bit hash, the first part (28 bits) and the number of parts (at most WORDS, 4 bits).
-AT_BITS, N_BITS = 28, 4
+SPANS = T.StructType([T.StructField(c, T.LongType()) for c in ("_id", "_text", "place", "h")])
+#: A place is the first part and the number of parts (at most WORDS, 4 bits).
+N_BITS = 4
 
 
 def span_table(docs: DataFrame) -> DataFrame:
@@ -107,16 +107,19 @@ def span_table(docs: DataFrame) -> DataFrame:
                 found = [spans(*sentences(t)[1:]) if t else ([], [], []) for t in part.column("text").to_pylist()]
                 of = np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found])
                 first, n, h = (np.array([x for f in found for x in f[k]], np.int64) for k in range(3))
-                text = part.column("_text").to_numpy(zero_copy_only=False).astype(np.int64)
-                place = text[of] << (AT_BITS + N_BITS) | first << N_BITS | n
-                yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(of)), pa.array(place), pa.array(h)], names=SPANS.names)
+                place = first << N_BITS | n
+                rows = pa.array(of)
+                yield pa.RecordBatch.from_arrays([part.column("_id").take(rows), part.column("_text").take(rows), pa.array(place), pa.array(h)], names=SPANS.names)
 
     return docs.select("_id", "_text", "text").mapInArrow(run, SPANS)
 
 
 def keys(text: Column, doc_id: Column) -> dict[str, Column]:
-    """A document's identity: its id (null: the smallest number) and a hash of its text."""
-    return {"_id": F.coalesce(doc_id.cast("long"), F.lit(-(2**63))), "_text": F.hash(text)}
+    """A document's identity: its id (null: the smallest number) and a 64-bit hash of its text.
+
+    Among n texts of one id about n * n / 2**65 pairs have one hash: for five million, one in a million such tables has one.
+    """
+    return {"_id": F.coalesce(doc_id.cast("long"), F.lit(-(2**63))), "_text": F.xxhash64(text)}
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,10 +137,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # join back is to one row a span, so Spark can split the rows of such a span; places are shuffled with repeated spans only
     repeated = staged(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated")
     several = staged(found.join(repeated, "h"), "several")
-    first = several.groupBy("h").agg(F.min(F.struct("_id", "place")).alias("first"))
-    first = staged(first.select("h", F.col("first._id").alias("_first"), F.col("first.place").alias("_place")), "firsts")
-    again = (F.col("_id") != F.col("_first")) | (F.col("place") != F.col("_place"))
-    covered = several.join(first, "h").filter(again).select("_id", F.shiftright("place", AT_BITS + N_BITS).cast("int").alias("_text"), "place")
+    first = several.groupBy("h").agg(F.min(F.struct("_id", "_text", "place")).alias("first"))
+    first = staged(first.select("h", "first"), "firsts")
+    again = F.struct("_id", "_text", "place") != F.col("first")
+    covered = several.join(first, "h").filter(again).select("_id", "_text", "place")
     covered = covered.groupBy("_id", "_text").agg(F.collect_set("place").alias("_spans"))
     joined = keyed.join(covered, ["_id", "_text"], "left").drop("_id", "_text")
     schema = T.StructType([*(f for f in joined.schema.fields if f.name != "_spans"), T.StructField("n_removed", T.LongType())])
@@ -148,7 +151,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         head, parts, _ = sentences(t)
         gone = np.zeros(len(parts) + 1, np.int64)
         for m in marked:
-            at = m >> N_BITS & ((1 << AT_BITS) - 1)
+            at = m >> N_BITS
             gone[at] += 1
             gone[at + (m & ((1 << N_BITS) - 1))] -= 1
         gone = gone.cumsum()[:-1] > 0
