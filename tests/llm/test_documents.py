@@ -305,3 +305,17 @@ def test_texts_of_one_id_with_one_32_bit_hash_are_different_documents(spark):
     assert (1, a, 0) in got and (5, b, 0) in got and len(got) == 3
     nulls = spark.createDataFrame([(None, a, "x"), (None, b, "x")], DOCS)
     assert {r["text"] for r in corpus_pipeline.near_dedup(spark, nulls, "").collect()} == {a, b}
+
+
+def test_comments_that_outweigh_the_article():
+    readers = "".join(f"<p>Reader {i} says, quite plainly, that this was a good thing to read, and more.</p>" for i in range(40))
+    story = "<p>The story, in short, is told here in one paragraph, with commas, and it ends.</p>"
+    text = "The story, in short, is told here in one paragraph, with commas, and it ends."
+    for beside in ('<section class="comments">', '<div id="comments">', '<div class="cookie-notice">', '<div class="ad-slot">', '<div class="sidebar">'):
+        end = "</section>" if "section" in beside else "</div>"
+        for page in (f"<article>{story}</article>", f"<main>{story}</main>", f'<div class="post">{story}</div>'):
+            assert html.main_text(f"<body>{page}{beside}{readers}{end}</body>", html.PRIOR) == text, (beside, page)
+            around = f'<body><form><div class="page sidebar-right">{page}{beside}{readers}{end}</div></form></body>'
+            assert html.main_text(around, html.PRIOR) == text, (beside, page, "around")
+        if "sidebar" not in beside:
+            assert "Reader" not in html.main_text(f"<body>{story}{beside}{readers}{end}</body>", html.PRIOR)

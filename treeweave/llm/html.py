@@ -40,6 +40,12 @@ OUTSIDE = re.compile(
     r"comments?|commentlist|replies|reply|disqus|discussion|responses|skip|copyright|legal|disclaimer)(?:$|[-_])|^(?:comment|advert|sidebar|footer|cookie|navi|related|sponsor)",
     re.IGNORECASE,
 )
+#: Names of what is never the page's text, however much of it there is.
+NEVER = re.compile(
+    r"(?:^|[-_])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|"
+    r"comments?|commentlist|replies|reply|disqus|discussion|responses|copyright|legal|disclaimer)(?:$|[-_])|^(?:comment|advert|cookie|sponsor)",
+    re.IGNORECASE,
+)
 INSIDE = re.compile(r"(?:^|[-_])(?:article|articlebody|post|entry|story|content|main|body|text|prose)(?:$|[-_])", re.IGNORECASE)
 LAYOUT = re.compile(r"^(?:has|with|no|without|is)[-_]", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -137,16 +143,49 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
     return elements, [b for b in blocks if b.text]
 
 
+def enclosing(elements: list[Element]) -> list[bool]:
+    """Which elements, whatever their names say, are around the page's text and not beside it.
+
+    Those around a main; else those around the largest article (else element by a name of INSIDE), if none stands outside
+    of names of OUTSIDE and it is longer than all text that does; on pages with none of these, those around most of the
+    text. Nothing by a name of NEVER is looked into, nor lifted but for a main.
+    """
+    n = len(elements)
+    never, beside, main, text = [False] * n, [False] * n, [False] * n, [e.size for e in elements]
+    for i, e in enumerate(elements):
+        named = e.names if e.tag not in ("html", "body") else []
+        never[i] = (e.parent >= 0 and never[e.parent]) or e.hidden or e.tag in AROUND or e.role in ROLES or any(NEVER.search(x) for x in named)
+        beside[i] = (e.parent >= 0 and beside[e.parent]) or never[i] or e.tag in ("form", "header") or any(OUTSIDE.search(x) for x in named)
+        main[i] = e.tag == "main" or e.role == "main"
+        if e.parent >= 0:
+            text[e.parent] -= e.size
+    free = sum(x for x, b in zip(text, beside, strict=True) if not b)
+    around = [x and e.size > 0 for x, e in zip(main, elements, strict=True)]
+    found = any(around)
+    for tier in () if found else ([e.tag == "article" or e.role == "article" for e in elements], [any(INSIDE.search(x) for x in e.names) for e in elements]):
+        some = [i for i in range(1, n) if tier[i] and not never[i] and elements[i].size and elements[i].tag not in ("html", "body")]
+        if some:
+            largest = max(some, key=lambda i: elements[i].size)
+            around[largest] = all(beside[i] for i in some) and elements[largest].size > free
+            found = True
+            break
+    text = [0 if x else k for x, k in zip(never, text, strict=True)]
+    for i in reversed(range(1, n)):  # children come after parents
+        around[elements[i].parent] |= around[i]
+        text[elements[i].parent] += text[i]
+    return around if found else [2 * k > text[0] and not x for k, x in zip(text, never, strict=True)]
+
+
 def surroundings(elements: list[Element]) -> list[float]:
     """What each element's position says about text in it: over 0 for content."""
-    total = max(1, elements[0].size)
     articles = any(e.tag in ("article", "main") or e.role in ("main", "article") for e in elements)
     out = [0.0] * len(elements)
     inside = [False] * len(elements)
+    around = enclosing(elements)
     for i, e in enumerate(elements):
         up = out[e.parent] if e.parent >= 0 else (-2.0 if articles else 0.0)
         inside[i] = e.parent >= 0 and inside[e.parent]
-        wide = e.size > 0.6 * total  # an element around most of the text isn't what its name says
+        wide = around[i]  # an element around the page's text isn't what its name says
         if up <= -6:
             out[i] = up
         elif e.hidden or e.tag in AROUND or e.role in ROLES or (e.tag not in ("html", "body") and not wide and any(OUTSIDE.search(n) for n in e.names)):
