@@ -23,8 +23,8 @@ import re
 import struct
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +41,13 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}
 #: The same for lower-cased text of ASCII or Latin-1 alone, where plain ranges say it.
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 LATIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
-#: Stands for the end-of-word mark while a word is spelt.
-END = "\n"
-#: Words whose paths one Python worker remembers: some 200 bytes each.
-REMEMBERED = 1_000_000
+SEPARATOR = re.compile("[\x1c-\x1f]")
+#: Stands for the end-of-word mark while a word is spelt: the symbol after the bytes.
+END = 256
+#: Bytes that one Python worker spends on remembered words at most, some 190 for each; transitions it keeps at hand (a power of two).
+REMEMBERED, ARCS = 100_000_000, 1 << 20
+#: Bytes of a word from which on it is read alone.
+LONG = 200
 
 
 def byte_symbols() -> list[str]:
@@ -55,7 +58,7 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton:
-    """Compiled from a tokenizer's JSON: states, arcs and the trie that spells the arcs' labels."""
+    """Compiled from a tokenizer's JSON: states, arcs and the tables that spell the arcs' labels."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -69,6 +72,7 @@ class Automaton:
         self._compile(vocab, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self._spell(vocab)
         self._cut: dict[int, tuple[list[int], list[int]]] = {}
+        self.met, self.free = np.full(ARCS, -1, np.int64), np.zeros(ARCS, bool)
 
     def _compile(self, vocab: dict[str, int], merges: list[tuple[int, int, int]]) -> None:
         parts = {t: (u, v, k) for k, (u, v, t) in enumerate(merges)}
@@ -123,19 +127,41 @@ class Automaton:
             self.enters[t] = target
 
     def _spell(self, vocab: dict[str, int]) -> None:
-        """A trie of the labels, in byte symbols and END; a branch is the token that ends there (-1: none) and its own branches."""
-        tree: dict = {}
+        """Tables that spell the labels by bytes and END: the next node by node and symbol, and the token that ends at a node (-1: none)."""
+        number = {c: b for b, c in enumerate(byte_symbols())}
+        labels = []
         for label, t in vocab.items():
-            if t not in self.enters:
-                continue
-            marked = self.end and label.endswith(self.end) and len(label) > len(self.end)
-            node: list = [-1, tree]
-            for c in label[: -len(self.end)] + END if marked else label:
-                node = node[1].setdefault(c, [-1, {}])
-            node[0] = t
-        self.trie = tree
-
-    def _blocked(self, state: int) -> tuple[list[int], list[int]]:
+            if t in self.enters:
+                marked = self.end and label.endswith(self.end) and len(label) > len(self.end)
+                labels.append(([number[c] for c in (label[: -len(self.end)] if marked else label)] + [END] * bool(marked), t))
+        rows: dict[tuple[int, int], int] = {}
+        self.ends: dict[int, int] = {}  # how many symbols each label spells
+        last = {}
+        for symbols, t in labels:
+            node = 0
+            for c in symbols:
+                node = rows.setdefault((node, c), len(rows) + 1)
+            last[node] = t
+            self.ends[t] = len(symbols)
+        # nodes with branches come first, so that only they have a row of the table; the others share an empty one
+        branching = {k[0] for k in rows} | {0}
+        order = [0, *sorted(branching - {0}), *sorted({*rows.values()} - branching)]
+        place = np.empty(len(rows) + 1, np.int32)
+        place[order] = np.arange(len(order))
+        self.rows = len(branching)
+        self.next = np.zeros((self.rows + 1, END + 2), np.int32)
+        for (node, c), to in rows.items():
+            self.next[place[node], c] = place[to]
+        self.token = np.full(len(order), -1, np.int32)
+        for node, t in last.items():
+            self.token[place[node]] = t
+        self.longest = max(self.ends.values(), default=1)
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int32)
+        self.width[[*self.ends]] = [*self.ends.values()]
+        self.state_of = np.zeros(len(self.width), np.int64)
+        self.state_of[[*self.enters]] = [*self.enters.values()]
+
+    def blocked(self, state: int) -> tuple[list[int], list[int]]:
         """The state's blocked intervals, merged and sorted; worked out when first needed."""
         if state not in self._cut:
             spans, at = [], state
@@ -153,101 +179,201 @@ class Automaton:
             self._cut[state] = lows, highs
         return self._cut[state]
 
-    def word(self, symbols: str) -> list[int]:
-        """The arc labels of the one path that spells a word, given in byte symbols.
+    def word(self, symbols: bytes) -> list[int]:
+        """The arc labels of the one path that spells a word, given in bytes.
 
-        At each place the arcs that spell what follows are tried, the longest first; a blocked one is passed over, and
-        where none is left the last step is taken back.
+        At each place the arcs that spell what follows are tried, the longest first. Where none is left the last step is
+        taken back and remembered as dead, so each token is tried once at each place: time grows with the word's length.
         """
-        n, spelt = len(symbols), symbols + END if self.end else symbols
+        n = len(symbols)
+        spelt = [*symbols, END] if self.end else [*symbols]
         split = n if self.end else -1  # the last symbol and its end mark are one
-        trie, order, enters, cut = self.trie, self.order, self.enters, self._cut
         out: list[int] = []
-        path: list[list[int]] = []  # what else could have come at each place: tokens and where they end, in turn
+        path: list[tuple[int, list[int]]] = []  # each place and what else could have come there
+        dead: set[tuple[int, int]] = set()
         at = state = 0
         while True:
             options: list[int] = []
-            node, i = trie, at
-            for c in spelt[at:] if at else spelt:
-                branch = node.get(c)
-                if branch is None:
+            node = 0
+            for i in range(at, min(at + self.longest, len(spelt))):
+                node = int(self.next[min(node, self.rows), spelt[i]])
+                if not node:
                     break
-                t, node = branch
-                i += 1
-                if t >= 0 and i != split:
-                    options += (i, t)
+                if self.token[node] >= 0 and i + 1 != split:
+                    options.append(int(self.token[node]))
             while True:
                 while not options:
                     if not path:
                         raise ValueError(f"no path spells {symbols!r}")
-                    options = path.pop()
-                    out.pop()
-                    state = enters[out[-1]] if out else 0
-                t, i = options.pop(), options.pop()
-                if not state:
-                    break
-                lows, highs = cut.get(state) or self._blocked(state)
-                x = order[t]
-                k = bisect_right(lows, x)
-                if not k or x >= highs[k - 1]:
+                    dead.add((at, out.pop()))
+                    at, options = path.pop()
+                    state = self.enters[out[-1]] if out else 0
+                t = options.pop()
+                if (at + self.ends[t], t) not in dead and (not state or self.arc(state << 20 | t)):
                     break
             out.append(t)
-            if i >= n:
+            path.append((at, options))
+            at += self.ends[t]
+            if at >= n:
                 return out
-            path.append(options)
-            at, state = i, enters[t]
+            state = self.enters[t]
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The paths of many words as little-endian unsigned 32-bit labels, by table, all words at once.
+
+        As each beginning of a word has one path too, every place is entered by one arc: the longest label ending there
+        that the state at its start has an arc for. Words of more than LONG bytes are left to ``word``.
+        """
+        out = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG]
+        for at in range(0, len(short), 8192):
+            part = sorted(short[at : at + 8192], key=lambda i: -len(words[i]))
+            for i, path in zip(part, self._paths([words[i] for i in part]), strict=True):
+                out[i] = path
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = np.array(self.word(w), "<u4").tobytes()
+        return out
+
+    def _paths(self, words: list[bytes]) -> list[bytes]:
+        """The same for words of 1 to LONG bytes, the longest first."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer(b"".join(words), np.uint8)
+        start = np.arange(len(words)) * 2 + np.cumsum(size) - size
+        own = np.arange(len(text)) + np.repeat(np.arange(len(words)) * 2, size)
+        spelt = np.full(len(text) + 2 * len(words) + 1, END + 1, np.int32)  # END + 1 has no branch
+        spelt[own] = text
+        if self.end:
+            spelt[start + size] = END
+        # the label of each length that ends at each place, whatever comes before
+        ending: list[np.ndarray] = []
+        node, at = np.zeros(len(own), np.int32), own
+        while len(at):
+            node = self.next[np.minimum(node, self.rows), spelt[at]]
+            on = node > 0
+            node, at = node[on], at[on] + 1
+            found = np.full(len(spelt), -1, np.int32)
+            found[at] = self.token[node]
+            ending.append(found)
+        state, entered = np.full(len(spelt), -1, np.int64), np.full(len(spelt), -1, np.int32)
+        state[start] = 0
+        last = size + 1 if self.end else size
+        for step in range(1, int(last[0]) + 1):
+            lanes = int(np.searchsorted(-last, -step, "right"))
+            place = start[:lanes] + step
+            if self.end:
+                place = place[step != size[:lanes]]  # the last symbol and its end mark are one
+            option = np.array([found[place] for found in ending[:step][::-1]])  # longest first
+            open_ = np.arange(len(place))
+            while len(open_):
+                k = (option[:, open_] >= 0).argmax(0)
+                t = option[k, open_]
+                some = t >= 0
+                open_, k, t = open_[some], k[some], t[some]
+                before = state[place[open_] - (len(option) - k)]
+                free = before == 0
+                asked = np.flatnonzero(before > 0)
+                free[asked] = self._has(before[asked] << 20 | t[asked])
+                here = place[open_[free]]
+                entered[here] = t[free]
+                state[here] = self.state_of[t[free]]
+                option[k, open_] = -1
+                open_ = open_[~free]
+        lane, at = np.arange(len(words)), start + last
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(lane):
+            t = entered[at]
+            if (t < 0).any():
+                raise ValueError(f"no path spells {words[int(lane[t < 0][0])]!r}")
+            steps.append((lane, t))
+            at = at - self.width[t]
+            on = at > start[lane]
+            lane, at = lane[on], at[on]
+        lanes = np.concatenate([s[0] for s in reversed(steps)])
+        order = np.argsort(lanes, kind="stable")
+        packed = np.concatenate([s[1] for s in reversed(steps)])[order].astype("<u4").tobytes()
+        cut = (np.searchsorted(lanes[order], np.arange(len(words) + 1)) * 4).tolist()
+        return [packed[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def _has(self, arcs: np.ndarray) -> np.ndarray:
+        """Whether the states have these arcs (state << 20 | token), by a table of those met before."""
+        place = (arcs * 0x9E3779B1 >> 7) & (len(self.met) - 1)
+        new = np.flatnonzero(self.met[place] != arcs)
+        if len(new):
+            found, inverse = np.unique(arcs[new], return_inverse=True)
+            free = np.fromiter(map(self.arc, found.tolist()), bool, len(found))
+            out = self.free[place]
+            out[new] = free[inverse]
+            self.met[place[new]], self.free[place[new]] = arcs[new], out[new]
+            return out
+        return self.free[place]
+
+    def arc(self, arc: int) -> bool:
+        """Whether a state has an arc: its label, by number, isn't in one of the blocked intervals."""
+        lows, highs = self.blocked(arc >> 20)
+        x = self.order[arc & 0xFFFFF]
+        k = bisect_right(lows, x)
+        return not k or x >= highs[k - 1]
 
 
 class Encoder:
-    """Texts to ids (little-endian unsigned 32-bit numbers), remembering the paths of words."""
+    """Texts to ids (little-endian unsigned 32-bit numbers), remembering the paths of what stands between white space.
+
+    There are two generations of half of REMEMBERED each: when the young one is full it becomes the old one, whose entries come
+    back when they are met again, so frequent words stay.
+    """
 
     def __init__(self, path: str):
         self.automaton = Automaton(path)
-        self.bytes = {chr(b): s for b, s in enumerate(byte_symbols())}
-        self.paths = Paths(self._path)
-
-    def _path(self, word: str) -> bytes:
-        spelt = word if word.isascii() and word.isalnum() else "".join([self.bytes[b] for b in word.encode().decode("latin-1")])
-        path = self.automaton.word(spelt)
-        return struct.pack(f"<{len(path)}I", *path)
-
-    def _plain(self, text: str) -> bytes:
-        if text.isascii():
-            words = ASCII_WORD.findall(text.lower())
-        else:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            words = (LATIN_WORD if max(text) <= "ÿ" else WORD).findall(text)
-        return b"".join(map(self.paths.__getitem__, words))
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, chunks: list[list[str]]) -> None:
+        """Paths of all chunks into ``young``."""
+        if len(self.young) * 190 > REMEMBERED // 2:
+            self.young, self.old = {}, self.young
+        new = {*filterfalse(self.young.__contains__, chain.from_iterable(chunks))}
+        back = new.intersection(self.old)
+        self.young |= {c: self.old[c] for c in back}
+        new -= back
+        plain = [c for c in new if c.isalpha()]
+        mixed = [(c, [c[:-1], c[-1]] if c[-1] in ".,;:" and c[:-1].isalpha() else words_of(c)) for c in new.difference(plain)]
+        words = [*{w for _, found in mixed for w in found}.union(plain).difference(self.young)]
+        for at in range(0, len(words), 16384):
+            part = words[at : at + 16384]
+            self.young |= zip(part, self.automaton.words([w.encode() for w in part]), strict=True)
+        self.young |= {c: b"".join([self.young[w] for w in found]) for c, found in mixed if found != [c]}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; nulls and empty texts have none."""
         special = self.automaton.special_pattern
-        if special is None or not special.search(text):
-            return self._plain(text)
-        out: list[bytes] = []
-        at = 0
-        for m in special.finditer(text):
-            out += [self._plain(text[at : m.start()]), struct.pack("<I", self.automaton.special[m[0]])]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        chunks: list[list[str]] = []
+        marks: dict[int, list[str | bytes]] = {}  # of texts with special tokens: these tokens' ids in their places
+        for i, text in enumerate(texts):
+            if not text or special is None or not special.search(text):
+                chunks.append(chunks_of(text) if text else [])
+                continue
+            at, whole = 0, []
+            for m in special.finditer(text):
+                whole += [*chunks_of(text[at : m.start()]), struct.pack("<I", self.automaton.special[m[0]])]
+                at = m.end()
+            marks[i] = whole + chunks_of(text[at:])
+            chunks.append([c for c in marks[i] if isinstance(c, str)])
+        self._learn(chunks)
+        path = self.young.__getitem__
+        return [b"".join(map(path, found) if i not in marks else [path(c) if isinstance(c, str) else c for c in marks[i]]) for i, found in enumerate(chunks)]
 
 
-class Paths(dict):
-    """Remembers the paths of words; when full, the half that came first goes."""
+def chunks_of(text: str) -> list[str]:
+    """What stands between white space in the normalised text."""
+    low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    if SEPARATOR.search(low):  # split() takes these for white space, the tokenizer doesn't
+        return words_of(low)
+    return low.split()
 
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
 
-    def __missing__(self, word: str) -> bytes:
-        path = self.make(word)
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                for old in [*islice(self, REMEMBERED // 2)]:
-                    del self[old]
-            self[word] = path
-        return path
+def words_of(low: str) -> list[str]:
+    return (ASCII_WORD if low.isascii() else LATIN_WORD if max(low) <= "ÿ" else WORD).findall(low)
 
 
 def encoder(path: str) -> Encoder:
@@ -265,7 +391,7 @@ def token_batches(batches: Iterator[pa.RecordBatch], path: str, text: str) -> It
         at = 0
         for n in np.bincount(slices)[np.unique(slices)]:
             part = batch.slice(at, int(n))
-            yield part, [encoder(path).encode(x) for x in part.column(text).to_pylist()]
+            yield part, encoder(path).encode(part.column(text).to_pylist())
             at += int(n)
 
 

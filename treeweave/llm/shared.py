@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder every executor can read: ``spark.checkpoint.dir``; a local one only where it is unset and Spark runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="treeweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,6 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of our own that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -57,7 +72,16 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     """What ``make`` made for ``key`` in this Python worker. Workers outlive operators, so only the last one asked for is kept."""
     if _HELD.get("key") != key:
         _HELD.clear()
-        gc.collect()
+        release()
         _HELD["value"] = make()
         _HELD["key"] = key
     return _HELD["value"]
+
+
+def release() -> None:
+    """Give memory that Python no longer uses back to the system, where its C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
