@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from treeweave.llm import langid, neardup, packing, substrings, toxicity
 from treeweave.llm.queries import tokenizer, toxicity_model
-from treeweave.llm.shared import held_out, staged, table
+from treeweave.llm.shared import fresh, held_out, staged, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the smallest id."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("_id", "_text").distinct()
-    keyed = docs.withColumns(neardup.keys(F.col("text"), F.col("doc_id")))
-    return keyed.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(docs.columns)
+    key, digest = fresh(docs.columns, "_id", "_text")
+    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("_id").alias(key), F.col("_text").alias(digest)).distinct()
+    found_id, found_digest = substrings.identity(F.col("text"), F.col("doc_id"))
+    keyed = docs.select("*", found_id.alias(key), found_digest.alias(digest))
+    return substrings.same(keyed, kept, [key, digest], "left_semi").dropDuplicates([key, digest]).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

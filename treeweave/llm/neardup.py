@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .shared import shuffle_partitions, staged
-from .substrings import keys
+from .substrings import identity, same
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
 COUNTER_BITS, CHUNKS = 20, 64
@@ -194,7 +194,7 @@ def weights_of(shingle: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return idf[shingle >> np.uint32(32 - COUNTER_BITS)]
 
 
-SKETCH = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_text", T.LongType()), T.StructField("c", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_text", T.BinaryType()), T.StructField("c", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def sketches(keyed: DataFrame, idf) -> DataFrame:
@@ -299,15 +299,16 @@ def forest(pairs: Iterable[tuple[int, int]], sets: list[np.ndarray], component:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's class: _id, _text (see ``keys``), class_id (the class's smallest id), copies (rows of the class), kept.
+    """Each row's class: _id, _text (see ``identity``), class_id (the class's smallest id), copies (rows of the class), kept.
 
     Documents are linked from a weighted Jaccard similarity of SIMILAR on; a class is what links connect. Texts with the
     same words in the same order are always in one class; null texts and texts without words count as equal. ``kept``
-    marks one id and text of each class, the smallest; rows repeated whole are all marked alike. A null id is the smallest number.
+    marks one id and text of each class, the smallest; rows repeated whole are all marked alike. A null id stays null and comes before all others.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
-    keyed = keyed.withColumns(keys(F.col("text"), F.col("doc_id"))).select("_id", "_text", "text")
+    key, digest = identity(F.col("text"), F.col("doc_id"))
+    keyed = keyed.select(key.alias("_id"), digest.alias("_text"), "text")
     counts = document_frequencies(keyed)
     n = float(keyed.count())
     idf = spark.sparkContext.broadcast(shingle_weights(counts, n))
@@ -321,7 +322,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pairs = staged(shared.filter(F.col("c") != F.col("leader")).select("c", "leader").distinct(), "pairs")
 
     ids = nodes.join(shared.select("c").distinct(), "c", "left_semi").select("rep.*")
-    sets = staged(shingle_table(keyed.join(ids, ["_id", "_text"], "left_semi")).groupBy("c").agg(F.first("s").alias("s")), "sets")
+    sets = staged(shingle_table(same(keyed, ids, ["_id", "_text"], "left_semi")).groupBy("c").agg(F.first("s").alias("s")), "sets")
     compared = pairs.join(sets.select(F.col("c").alias("leader"), F.col("s").alias("sl")), "leader").join(sets, "c")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +343,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = staged(classes.groupBy("root").agg(F.min("rep").alias("first"), F.sum("n").alias("copies")), "named")
     classes = staged(classes.select("c", "root").join(named, "root").select("c", "first", "copies"), "classes")
     out = rows.select("_id", "_text", "c").join(classes, "c")
-    kept = (F.col("_id") == F.col("first._id")) & (F.col("_text") == F.col("first._text"))
+    kept = F.struct("_id", "_text").eqNullSafe(F.col("first"))
     return out.select("_id", "_text", F.col("first._id").alias("class_id"), "copies", kept.alias("kept"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import staged
+from .shared import fresh, staged
 
 PARTS, WORDS, WINDOW = 2, 15, 8
 #: A sentence with the white space after it: up to end marks before white space, or a line's end.
@@ -73,8 +73,8 @@ def sentences(text: str) -> tuple[str, list[str], list[int]]:
     return text[:at], parts, counts
 
 
-def spans(parts: list[str], sizes: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """First part, number of parts and 64-bit hash of each span; case and the width of white space don't count."""
+def spans(parts: list[str], sizes: list[int]) -> tuple[list[int], list[int], list[bytes]]:
+    """First part, number of parts and 128-bit hash of each span; case and the width of white space don't count."""
     plain = [" ".join(p.lower().split()) for p in parts]
     firsts, counts, hashes = [], [], []
     end, words, n = 0, 0, len(parts)
@@ -86,19 +86,19 @@ def spans(parts: list[str], sizes: list[int]) -> tuple[list[int], list[int], lis
             break
         firsts.append(i)
         counts.append(end - i)
-        h = xxhash.xxh64_intdigest(" ".join(plain[i:end]).encode("utf-8", "replace"))
-        hashes.append(h - (1 << 64) if h >> 63 else h)
+        hashes.append(xxhash.xxh3_128_digest(" ".join(plain[i:end]).encode("utf-8", "replace")))
         words -= sizes[i]
     return firsts, counts, hashes
 
 
-SPANS = T.StructType([T.StructField(c, T.LongType()) for c in ("_id", "_text", "place", "h")])
+ID, DIGEST = "_id", "_text"
+SPANS = T.StructType([T.StructField(ID, T.LongType()), T.StructField(DIGEST, T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("place", "h1", "h2"))])
 #: A place is the first part and the number of parts (at most WORDS, 4 bits).
 N_BITS = 4
 
 
 def span_table(docs: DataFrame) -> DataFrame:
-    """A row for each span of ``docs`` (_id, _text, text)."""
+    """A row for each span of ``docs`` (_id, _text, text); h1 and h2 are the halves of its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,44 +106,52 @@ def span_table(docs: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 512)
                 found = [spans(*sentences(t)[1:]) if t else ([], [], []) for t in part.column("text").to_pylist()]
                 of = np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found])
-                first, n, h = (np.array([x for f in found for x in f[k]], np.int64) for k in range(3))
-                place = first << N_BITS | n
+                first, n = (np.array([x for f in found for x in f[k]], np.int64) for k in range(2))
+                h = np.frombuffer(b"".join(x for f in found for x in f[2]), np.int64).reshape(-1, 2)
                 rows = pa.array(of)
-                yield pa.RecordBatch.from_arrays([part.column("_id").take(rows), part.column("_text").take(rows), pa.array(place), pa.array(h)], names=SPANS.names)
+                columns = [part.column(ID).take(rows), part.column(DIGEST).take(rows), pa.array(first << N_BITS | n), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(columns, names=SPANS.names)
 
-    return docs.select("_id", "_text", "text").mapInArrow(run, SPANS)
+    return docs.select(ID, DIGEST, "text").mapInArrow(run, SPANS)
 
 
-def keys(text: Column, doc_id: Column) -> dict[str, Column]:
-    """A document's identity: its id (null: the smallest number) and a 64-bit hash of its text.
+def identity(text: Column, doc_id: Column) -> list[Column]:
+    """What tells documents apart: the id, which may be null, and the 128-bit digest of the text (null for null)."""
+    return [doc_id.cast("long"), F.unhex(F.md5(text))]
 
-    Among n texts of one id about n * n / 2**65 pairs have one hash: for five million, one in a million such tables has one.
-    """
-    return {"_id": F.coalesce(doc_id.cast("long"), F.lit(-(2**63))), "_text": F.xxhash64(text)}
+
+def same(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` on ``columns``, nulls equal to nulls; the columns are left's."""
+    other = right.select(*(F.col(f"`{c}`").alias(f"{c} of right") if c in columns else F.col(f"`{c}`") for c in right.columns))
+    on = [F.col(f"`{c}`").eqNullSafe(F.col(f"`{c} of right`")) for c in columns]
+    return left.join(other, on, how).drop(*(f"{c} of right" for c in columns))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeats taken out of ``text``, and ``n_removed``, the parts taken.
 
-    The first occurrence of a span is the one in the smallest id (null first), then text hash, then place; within a document
+    The first occurrence of a span is the one in the smallest id (null first), then text digest, then place; within a document
     too. Parts outside repeated spans stay as they are, white space included; a text whose parts all
     go is empty, a null one stays null. Rows with equal id and text are one document: they are treated alike, and don't count
-    as repeats of each other. A column named ``n_removed`` is replaced; others stay.
+    as repeats of each other. Spans are one if the 128-bit hashes of their words are: among n spans, n * n / 2**129 pairs
+    are expected to be so by chance (10**-15 for 10**12). A column named ``n_removed`` is replaced; others stay, whatever their names.
     """
     kept = [c for c in docs.columns if c != "n_removed"]
-    keyed = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumns(keys(F.col(f"`{text}`"), F.col(f"`{doc_id}`")))
-    found = staged(span_table(keyed.select("_id", "_text", F.col(f"`{text}`").alias("text"))), "spans")
+    own_id, own_digest, marks = fresh(kept, ID, DIGEST, "_spans")
+    found_id, found_digest = identity(F.col(f"`{text}`"), F.col(f"`{doc_id}`"))
+    keyed = docs.select(*(F.col(f"`{c}`") for c in kept), found_id.alias(own_id), found_digest.alias(own_digest))
+    found = staged(span_table(keyed.select(F.col(own_id).alias(ID), F.col(own_digest).alias(DIGEST), F.col(f"`{text}`").alias("text"))), "spans")
     # hashes alone are counted, before the shuffle, so a span that a third of the documents share is a row for each task; the
     # join back is to one row a span, so Spark can split the rows of such a span; places are shuffled with repeated spans only
-    repeated = staged(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated")
-    several = staged(found.join(repeated, "h"), "several")
-    first = several.groupBy("h").agg(F.min(F.struct("_id", "_text", "place")).alias("first"))
-    first = staged(first.select("h", "first"), "firsts")
-    again = F.struct("_id", "_text", "place") != F.col("first")
-    covered = several.join(first, "h").filter(again).select("_id", "_text", "place")
-    covered = covered.groupBy("_id", "_text").agg(F.collect_set("place").alias("_spans"))
-    joined = keyed.join(covered, ["_id", "_text"], "left").drop("_id", "_text")
-    schema = T.StructType([*(f for f in joined.schema.fields if f.name != "_spans"), T.StructField("n_removed", T.LongType())])
+    repeated = staged(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"), "repeated")
+    several = staged(found.join(repeated, ["h1", "h2"]), "several")
+    first = several.groupBy("h1", "h2").agg(F.min(F.struct(ID, DIGEST, "place")).alias("first"))
+    first = staged(first, "firsts")
+    again = ~F.struct(ID, DIGEST, "place").eqNullSafe(F.col("first"))
+    covered = several.join(first, ["h1", "h2"]).filter(again).select(F.col(ID).alias(own_id), F.col(DIGEST).alias(own_digest), "place")
+    covered = covered.groupBy(own_id, own_digest).agg(F.collect_set("place").alias(marks))
+    joined = same(keyed, covered, [own_id, own_digest], "left").drop(own_id, own_digest)
+    schema = T.StructType([*(f for f in joined.schema.fields if f.name != marks), T.StructField("n_removed", T.LongType())])
 
     def cut(t: str | None, marked: list[int] | None) -> tuple[str | None, int]:
         if t is None or not marked:
@@ -162,7 +170,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                out = [cut(t, m) for t, m in zip(part.column(text).to_pylist(), part.column("_spans").to_pylist(), strict=True)]
+                out = [cut(t, m) for t, m in zip(part.column(text).to_pylist(), part.column(marks).to_pylist(), strict=True)]
                 columns = [pa.array([t for t, _ in out], pa.string()) if c == text else part.column(c) for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in out], pa.int64())], names=[*kept, "n_removed"])
 
