@@ -17,12 +17,15 @@ from treeweave.llm.shared import fresh, held_out, staged, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter, and null texts, go."""
     learned = langid.training_texts(docs, ~held_out(F.col("doc_id")))
-    return langid.identify(docs, learned).filter(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+    names = fresh(docs.columns, "_lang", "_score")
+    return langid.identify(docs, learned, names=names).filter(F.col(names[0]) != langid.UNDETERMINED).select(docs.columns)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't score as toxic."""
-    return toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels"))).filter("predicted = 0").select(docs.columns)
+    names = fresh(docs.columns, "_score", "_predicted")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, names=names).filter(F.col(names[1]) == 0).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -415,7 +415,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple
     return [r[2] for r in found], [r[1] for r in found]
 
 
-def score(docs: DataFrame, model: Network | float, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+def score(docs: DataFrame, model: Network | float, text: str = "text", names: Sequence[str] = ("score", "predicted")) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from THRESHOLD on), over whole texts.
 
     A text that is null or has no word scores 0. Other columns stay; ones of the two ``names`` are replaced.
