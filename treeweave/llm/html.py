@@ -1,9 +1,13 @@
 """Main-text extraction by minimum-cut labelling.
 
-A page is cut into text blocks. What stands around a block (elements, classes, roles) and what it looks like (a logistic
-classifier of length, links, punctuation and element, trained on blocks whose surroundings leave no doubt) gives the
-costs of calling it content or boilerplate: its capacities to source and sink. Blocks that follow each other, and
-blocks with one parent, are joined by smoothness edges. The minimum cut parts content from boilerplate.
+A page is cut into text blocks. One logistic classifier reads what a block looks like (length, links, punctuation, element)
+and what it stands in (elements, roles, names); its log odds of content against boilerplate are the block's capacity to
+source or sink. Blocks that follow each other, the more the closer they are in the tree, and blocks with one parent are
+joined by smoothness edges. The minimum cut parts content from boilerplate: it keeps a short line among paragraphs and
+drops a talkative one among links, whatever the classifier says of either alone.
+
+The classifier has no labelled pages to learn from. It starts from PRIOR, and on a bounded sample learns by turns with the
+cut: the cut labels the blocks, the weights are fitted to the labels, drawn towards PRIOR.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,12 +53,15 @@ NEVER = re.compile(
 INSIDE = re.compile(r"(?:^|[-_])(?:article|articlebody|post|entry|story|content|main|body|text|prose)(?:$|[-_])", re.IGNORECASE)
 LAYOUT = re.compile(r"^(?:has|with|no|without|is)[-_]", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-#: Smoothness between neighbours, and between blocks of one parent.
-NEIGHBOUR, SIBLING = 0.3, 0.5
-#: Pages that the classifier is trained on, at most.
-SAMPLE = 400
-#: How many blocks the prior weighs as much as: blocks in plain sight aren't quite like the doubtful ones.
-BELIEF = 500.0
+#: Smoothness between neighbours, by their distance in the tree, of which a share holds if one stands in navigation, a form, a
+#: comment, an advert or the like and the other doesn't; and between blocks alike in this that have a parent or grandparent in common.
+NEIGHBOUR, UNLIKE, SIBLING = 0.8, 0.05, 1.2
+#: Pages that the classifier learns from, about (twice as many at most), the blocks that such a page has at most, and the turns.
+SAMPLE, MOST_BLOCKS, TURNS = 400, 500, 3
+#: How many blocks the prior weighs as much as.
+BELIEF = 10000.0
+#: Costs are multiples of 1 / UNIT and of LARGEST at most, so flows are exact and a step of them isn't too small.
+UNIT, LARGEST = 16, 12.0
 
 
 @dataclass
@@ -76,12 +83,15 @@ class Block:
 
 
 def parse(page: str) -> tuple[list[Element], list[Block]]:
-    """Elements with their parents, and the blocks of text in page order."""
+    """Elements with their parents, and the blocks of text in page order; in time linear in the page."""
     elements = [Element("", -1, [], "", False)]
     blocks: list[Block] = []
     open_: list[int] = [0]
+    blocky: list[int] = [0]  # the nearest block-level element of each open one
+    tags: Counter[str] = Counter()  # of open elements
+    unended: set[str] = set()
     current: Block | None = None
-    links, at = 0, 0
+    at = 0
 
     def add(raw: str) -> None:
         nonlocal current
@@ -89,12 +99,18 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         if current is None:
             if not text or text.isspace():
                 return
-            current = Block(next((e for e in reversed(open_) if elements[e].tag in BLOCKS), 0))
+            current = Block(blocky[-1])
             blocks.append(current)
         current.parts.append(text)
-        if links:
+        if tags["a"]:
             current.linked += len(text.strip())
 
+    def close() -> str:
+        blocky.pop()
+        tag = elements[open_.pop()].tag
+        tags[tag] -= 1
+        return tag
+
     while m := MARKUP.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
@@ -106,10 +122,9 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
         if m[0][1] == "/":
             if tag in BLOCKS:
                 current = None
-            if any(elements[e].tag == tag for e in open_):
-                while elements[open_.pop()].tag != tag:
+            if tags[tag] > 0:
+                while close() != tag:
                     pass
-                links = sum(elements[e].tag == "a" for e in open_)
             continue
         if tag == "br":
             if current is not None:
@@ -119,27 +134,29 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             continue
         if tag in RAW:
             if not m[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+                end = None if tag in unended else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+                if not end:
+                    unended.add(tag)
                 at = end.end() if end else (at if tag in ("head", "noscript") else len(page))
             continue
         if tag in BLOCKS:
             current = None
         while len(open_) > 1 and tag in CLOSES.get(elements[open_[-1]].tag, ()):
-            open_.pop()
+            close()
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[0])} if " " in m[0] or "\n" in m[0] else {}
         names = [n for n in f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}".split() if not LAYOUT.match(n)]
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
         elements.append(Element(tag, open_[-1], names, found.get("role", "").lower(), hidden))
         open_.append(len(elements) - 1)
-        links += tag == "a"
+        blocky.append(open_[-1] if tag in BLOCKS else blocky[-1])
+        tags[tag] += 1
     if at < len(page):
         add(page[at:])
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
-        e = b.element
-        while e >= 0:
-            elements[e].size += len(b.text)
-            e = elements[e].parent
+        elements[b.element].size += len(b.text)
+    for e in reversed(elements[1:]):  # children come after parents
+        elements[e.parent].size += e.size
     return elements, [b for b in blocks if b.text]
 
 
@@ -176,65 +193,117 @@ def enclosing(elements: list[Element]) -> list[bool]:
     return around if found else [2 * k > text[0] and not x for k, x in zip(text, never, strict=True)]
 
 
-def surroundings(elements: list[Element]) -> list[float]:
-    """What each element's position says about text in it: over 0 for content."""
-    articles = any(e.tag in ("article", "main") or e.role in ("main", "article") for e in elements)
-    out = [0.0] * len(elements)
-    inside = [False] * len(elements)
+#: What the classifier reads, and its weights before it has learned anything.
+PRIOR_WEIGHTS = {
+    "always": -2.05,
+    "logarithm of length": 3.0,
+    "share of links": -3.0,
+    "marks of punctuation": 1.0,
+    "paragraph": 0.2,
+    "heading": 0.3,
+    "item or cell": 0.0,
+    "plain container": 0.0,
+    "in the article": 0.8,
+    "outside of the page's article": -2.0,
+    "in something named content": 1.2,
+    "in navigation, footer, aside or hidden": -7.0,
+    "in a form": -5.0,
+    "in a header that isn't the article's": -5.0,
+    "in something named as comment, notice or advert": -8.0,
+    "in something else named as beside": -6.0,
+}
+PRIOR = np.array([*PRIOR_WEIGHTS.values()])
+
+
+def surroundings(elements: list[Element]) -> list[tuple[float, ...]]:
+    """The last eight of the classifier's features, of text in each element."""
+    articles = [e.tag in ("article", "main") or e.role in ("main", "article") for e in elements]
+    any_article = any(articles)
     around = enclosing(elements)
+    out: list[tuple[float, ...]] = []
+    within: list[bool] = []
     for i, e in enumerate(elements):
-        up = out[e.parent] if e.parent >= 0 else (-2.0 if articles else 0.0)
-        inside[i] = e.parent >= 0 and inside[e.parent]
-        wide = around[i]  # an element around the page's text isn't what its name says
-        if up <= -6:
-            out[i] = up
-        elif e.hidden or e.tag in AROUND or e.role in ROLES or (e.tag not in ("html", "body") and not wide and any(OUTSIDE.search(n) for n in e.names)):
-            out[i] = -8.0
-        elif e.tag == "form" and not wide:
-            out[i] = -8.0
-        elif e.tag == "header":
-            out[i] = 1.0 if inside[i] else -8.0
-        elif e.tag in ("article", "main") or e.role in ("main", "article"):
-            out[i], inside[i] = 6.0, True
-        elif any(INSIDE.search(n) for n in e.names):
-            out[i] = max(up, 4.0)
-        else:
-            out[i] = up
+        inside = e.parent >= 0 and within[e.parent]
+        named, away, form, header, never, beside = map(bool, out[e.parent][2:]) if e.parent >= 0 else (False,) * 6
+        names = e.names if e.tag not in ("html", "body") and not around[i] else []  # an element around the page's text isn't what its name says
+        away |= e.hidden or e.tag in AROUND or e.role in ROLES
+        form |= e.tag == "form" and not around[i]
+        header |= e.tag == "header" and not inside
+        never |= any(NEVER.search(x) for x in names)
+        beside |= not never and any(OUTSIDE.search(x) for x in names)
+        inside |= articles[i]
+        named |= any(INSIDE.search(x) for x in e.names)
+        within.append(inside)
+        out.append((float(inside), float(any_article and not inside), float(named), float(away), float(form), float(header), float(never), float(beside)))
     return out
 
 
-def features(block: Block, tag: str) -> list[float]:
-    """What a block looks like."""
+def features(block: Block, tag: str, around: tuple[float, ...]) -> tuple[float, ...]:
+    """The classifier's features of a block."""
     n = len(block.text)
-    return [
+    return (
         1.0,
         math.log1p(n) / 5,
         min(1.0, block.linked / n),
-        min(1.0, 20 * sum(map(block.text.count, ".!?;,")) / n),
+        min(1.0, sum(map(block.text.count, ".!?;,")) / 10),
         float(tag == "p"),
         float(tag in ("h1", "h2", "h3")),
         float(tag in ("li", "td", "th", "dt", "dd")),
         float(tag in ("div", "section", "body", "")),
-    ]
+        *around,
+    )
 
 
-#: The classifier where no block's surroundings leave no doubt: long and punctuated text in, links out.
-PRIOR = np.array([-1.0, 1.6, -4.0, 1.0, 1.0, 0.5, -0.5, 0.0])
+Edge = tuple[int, int, float]
 
 
-def train(pages: list[str]) -> np.ndarray:
-    """Logistic weights, drawn towards PRIOR, from the blocks that their surroundings decide."""
-    rows, labels = [], []
-    for page in pages:
-        elements, blocks = parse(page)
+def graph(page: str) -> tuple[list[str], np.ndarray, list[Edge]]:
+    """A page's blocks: their texts, their features, and the smoothness edges between them."""
+    elements, blocks = parse(page)
+    if len(elements) == 1:  # text without markup is all there is
+        around: list[tuple[float, ...]] = [(1.0, 0.0, 1.0) + (0.0,) * 5]
+    else:
         around = surroundings(elements)
-        for b in blocks:
-            if abs(around[b.element]) >= 6:
-                rows.append(features(b, elements[b.element].tag))
-                labels.append(around[b.element] > 0)
-    if not rows or all(labels) or not any(labels):
-        return PRIOR
-    x, y, w = np.array(rows), np.array(labels, float), PRIOR.copy()
+    depth = [0] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        depth[i] = depth[e.parent] + 1
+    edges: list[Edge] = []
+    for i, (one, other) in enumerate(zip(blocks, blocks[1:], strict=False)):
+        a, b, apart = one.element, other.element, 0
+        while a != b:  # each element is left and entered once, over the whole page
+            if depth[a] >= depth[b]:
+                a = elements[a].parent
+            else:
+                b = elements[b].parent
+            apart += 1
+        unlike = around[one.element][3:] != around[other.element][3:]
+        edges.append((i, i + 1, NEIGHBOUR / max(1, apart - 1) * (UNLIKE if unlike else 1)))
+    last: dict[tuple, int] = {}  # the last block one or two steps below each element, by what it stands in
+    for i, block in enumerate(blocks):
+        parent = elements[block.element].parent
+        kind = around[block.element][3:]
+        here, further = (parent, kind), (elements[parent].parent if parent >= 0 else -1, kind)
+        before = last.get(here, last.get(further))
+        if before is not None:
+            edges.append((before, i, SIBLING))
+        last[here] = last[further] = i
+    x = np.array([features(b, elements[b.element].tag, around[b.element]) for b in blocks]).reshape(-1, len(PRIOR))
+    return [b.text for b in blocks], x, edges
+
+
+def whole_units(x: float) -> float:
+    """To a multiple of 1 / UNIT; what is in balance counts as boilerplate."""
+    return (round(max(-LARGEST, min(LARGEST, x)) * UNIT) or -1) / UNIT
+
+
+def labelled(x: np.ndarray, edges: list[Edge], weights: np.ndarray) -> list[bool]:
+    """Which blocks are content."""
+    return minimum_cut([whole_units(v) for v in (x @ weights).tolist()], [(a, b, max(1, round(w * UNIT)) / UNIT) for a, b, w in edges])
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights for these blocks, drawn towards PRIOR."""
+    w = PRIOR.copy()
     for _ in range(25):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + BELIEF * (w - PRIOR)
@@ -242,76 +311,133 @@ def train(pages: list[str]) -> np.ndarray:
     return w
 
 
-def minimum_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+def train(pages: list[tuple[np.ndarray, list[Edge]]]) -> np.ndarray:
+    """Weights from pages given as features and edges, by turns with the cut; PRIOR if all blocks are of one kind."""
+    weights = PRIOR
+    for _ in range(TURNS if pages else 0):
+        y = np.concatenate([labelled(x, edges, weights) for x, edges in pages]).astype(float)
+        if y.all() or not y.any():
+            return PRIOR
+        weights = fit(np.concatenate([x for x, _ in pages]), y)
+    return weights
+
+
+def minimum_cut(score: list[float], edges: list[Edge]) -> list[bool]:
     """The source side of the minimum cut: nodes with capacity ``score`` from the source (under 0: to the sink), joined by edges.
 
-    Shortest augmenting paths from what is left at the source to what is left at the sink.
+    Maximum flow in phases: a breadth-first search from all nodes with something left of the source's capacity tells
+    how far each node is from them, then flow goes to the nearest nodes with room left, along edges that lead further only.
     """
+    n = len(score)
     left = list(score)
-    near: list[dict[int, float]] = [{} for _ in score]
+    near: list[list[int]] = [[] for _ in range(n)]  # numbers of the edges that leave a node; an edge's other direction has its last bit flipped
+    to: list[int] = []
+    room: list[float] = []
     for a, b, w in edges:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
+        near[a].append(len(to))
+        near[b].append(len(to) + 1)
+        to += (b, a)
+        room += (w, w)
     while True:
-        came = {i: i for i, s in enumerate(left) if s > 1e-9}
-        todo, end = deque(came), -1
-        while todo and end < 0:
-            a = todo.popleft()
-            for b, w in near[a].items():
-                if w > 1e-9 and b not in came:
-                    came[b] = a
-                    if left[b] < -1e-9:
-                        end = b
+        far = [-1] * n
+        layer = [i for i, s in enumerate(left) if s > 1e-9]
+        for i in layer:
+            far[i] = 0
+        steps, reached = 0, False
+        while layer and not reached:
+            steps += 1
+            following = []
+            for a in layer:
+                for e in near[a]:
+                    b = to[e]
+                    if far[b] < 0 and room[e] > 1e-9:
+                        far[b] = steps
+                        following.append(b)
+                        reached |= left[b] < -1e-9
+            layer = following
+        if not reached:
+            return [f >= 0 for f in far]
+        tried = [0] * n
+        for start in range(n):
+            if far[start] or left[start] <= 1e-9:
+                continue
+            path: list[int] = []
+            at = start
+            while True:
+                if left[at] < -1e-9:
+                    flow = min([left[start], -left[at], *(room[e] for e in path)])
+                    left[start] -= flow
+                    left[at] += flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    if left[start] <= 1e-9:
                         break
-                    todo.append(b)
-        if end < 0:
-            return [i in came for i in range(len(left))]
-        path = [end]
-        while came[path[-1]] != path[-1]:
-            path.append(came[path[-1]])
-        flow = min(left[path[-1]], -left[end], *(near[a][b] for b, a in zip(path, path[1:], strict=False)))
-        left[path[-1]] -= flow
-        left[end] += flow
-        for b, a in zip(path, path[1:], strict=False):
-            near[a][b] -= flow
-            near[b][a] += flow
+                    path, at = [], start
+                    continue
+                while tried[at] < len(near[at]):
+                    e = near[at][tried[at]]
+                    if room[e] > 1e-9 and far[to[e]] == far[at] + 1 and far[at] < steps:
+                        path.append(e)
+                        at = to[e]
+                        break
+                    tried[at] += 1
+                else:
+                    if not path:
+                        break
+                    at = to[path.pop() ^ 1]
+                    tried[at] += 1
 
 
 def main_text(page: str | None, weights: np.ndarray) -> str:
     """The text of the blocks on the content side, joined by one space."""
     if not page:
         return ""
-    elements, blocks = parse(page)
-    if not blocks:
-        return ""
-    around = surroundings(elements) if len(elements) > 1 else [3.0]  # text without markup is all there is
-    looks = np.array([features(b, elements[b.element].tag) for b in blocks]) @ weights
-    score = [around[b.element] + max(-2.0, min(2.0, x)) for b, x in zip(blocks, looks, strict=True)]
-    edges: list[tuple[int, int, float]] = [(i, i + 1, NEIGHBOUR) for i in range(len(blocks) - 1)]
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):
-        parent = elements[b.element].parent
-        if parent in last:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
-    content = minimum_cut(score, edges)
-    return " ".join(b.text for b, inside in zip(blocks, content, strict=True) if inside)
+    texts, x, edges = graph(page)
+    return " ".join(t for t, inside in zip(texts, labelled(x, edges, weights), strict=True) if inside)
+
+
+PAGE = "x binary, a binary, b binary, w binary"
+
+
+def sampled(pages: DataFrame, html: str, key: str) -> list[tuple[np.ndarray, list[Edge]]]:
+    """Features and edges of some SAMPLE pages, by a hash of ``key``, of at most MOST_BLOCKS blocks each: some MB, whatever the table."""
+    n = max(1, pages.count())
+    chance = F.pmod(F.xxhash64(F.lit(5), F.col(f"`{key}`"), F.length(f"`{html}`")), F.lit(n))
+    chosen = pages.select(F.col(f"`{html}`").alias("html"), chance.alias("chance")).filter((F.col("chance") < SAMPLE) & F.col("html").isNotNull()).select("html").limit(2 * SAMPLE)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page in batch["html"]:
+                _, x, edges = graph(page)
+                if 0 < len(x) <= MOST_BLOCKS:
+                    a, b, w = zip(*edges, strict=True) if edges else ((), (), ())
+                    rows.append((x.astype("<f4").tobytes(), np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes(), np.array(w, "<f4").tobytes()))
+            yield pd.DataFrame(rows, columns=["x", "a", "b", "w"])
+
+    out = []
+    for r in chosen.mapInPandas(read, PAGE).collect():
+        x = np.frombuffer(r["x"], "<f4").reshape(-1, len(PRIOR)).astype(float)
+        out.append((x, [*zip(*(np.frombuffer(r[c], t).tolist() for c, t in (("a", "<i4"), ("b", "<i4"), ("w", "<f4"))), strict=True)]))
+    return out
 
 
 def extract_text(pages: DataFrame, html: str = "html", key: str = "url") -> DataFrame:
     """``pages`` with ``text``, the main text of the whole of ``html``: empty for null, empty and textless pages.
 
-    A bounded sample of pages, the first by a hash of ``key``, trains the block classifier; all pages are then independent
+    A bounded sample of pages, by a hash of ``key``, trains the block classifier; all pages are then independent
     of each other, without a shuffle. A column named ``text`` is replaced; others stay.
     """
     kept = [c for c in pages.columns if c != "text"]
     rest = pages.select(*(F.col(f"`{c}`") for c in kept))
-    chosen = rest.filter(F.col(f"`{html}`").isNotNull()).orderBy(F.xxhash64(F.lit(5), F.col(f"`{key}`"), F.length(f"`{html}`"))).limit(SAMPLE)
-    weights = train([r[0] for r in chosen.select(html).collect()])
+    weights = train(sampled(rest, html, key))
     schema = T.StructType([*rest.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield x.assign(text=[main_text(h, weights) for h in x[html]])
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                x = batch.iloc[at : at + 200]
+                yield x.assign(text=[main_text(h, weights) for h in x[html]])
 
     return rest.mapInPandas(run, schema)
