@@ -30,11 +30,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the smallest id."""
-    key, digest = fresh(docs.columns, "_id", "_text")
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("_id").alias(key), F.col("_text").alias(digest)).distinct()
-    found_id, found_digest = substrings.identity(F.col("text"), F.col("doc_id"))
-    keyed = docs.select("*", found_id.alias(key), found_digest.alias(digest))
-    return substrings.same(keyed, kept, [key, digest], "left_semi").dropDuplicates([key, digest]).select(docs.columns)
+    own = fresh(docs.columns, *substrings.KEYS)
+    kept = neardup.near_duplicates(docs).filter("kept").select(*(F.col(k).alias(c) for k, c in zip(substrings.KEYS, own, strict=True))).distinct()
+    keyed = docs.select("*", *(x.alias(c) for c, x in zip(own, substrings.identity(F.col("text"), F.col("doc_id")), strict=True)))
+    return substrings.same(keyed, kept, own, "left_semi").dropDuplicates(own).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

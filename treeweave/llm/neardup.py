@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .shared import shuffle_partitions, staged
-from .substrings import identity, same
+from .substrings import KEYS, identity, same
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
 COUNTER_BITS, CHUNKS = 20, 64
@@ -194,11 +194,11 @@ def weights_of(shingle: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return idf[shingle >> np.uint32(32 - COUNTER_BITS)]
 
 
-SKETCH = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_text", T.BinaryType()), T.StructField("c", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([*(T.StructField(c, T.LongType()) for c in KEYS), T.StructField("c", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def sketches(keyed: DataFrame, idf) -> DataFrame:
-    """For each row of ``keyed`` (_id, _text, text): the digest of its words and its band keys."""
+    """For each row of ``keyed`` (_id, _t1, _t2, text): the digest of its words and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = np.random.default_rng(44).integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -220,9 +220,9 @@ def sketches(keyed: DataFrame, idf) -> DataFrame:
                 none[some] = False
                 ends = pa.array(np.arange(len(digests) + 1) * BANDS, pa.int32(), mask=np.append(none, False))
                 lists = pa.ListArray.from_arrays(ends, pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_text"), pa.array(digests, pa.binary()), lists], names=SKETCH.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEYS), pa.array(digests, pa.binary()), lists], names=SKETCH.names)
 
-    return keyed.select("_id", "_text", "text").mapInArrow(run, SKETCH)
+    return keyed.select(*KEYS, "text").mapInArrow(run, SKETCH)
 
 
 def shingle_table(texts: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def forest(pairs: Iterable[tuple[int, int]], sets: list[np.ndarray], component:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's class: _id, _text (see ``identity``), class_id (the class's smallest id), copies (rows of the class), kept.
+    """Each row's class: _id, _t1, _t2 (see ``identity``), class_id (the class's smallest id), copies (rows of the class), kept.
 
     Documents are linked from a weighted Jaccard similarity of SIMILAR on; a class is what links connect. Texts with the
     same words in the same order are always in one class; null texts and texts without words count as equal. ``kept``
@@ -307,13 +307,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
-    key, digest = identity(F.col("text"), F.col("doc_id"))
-    keyed = keyed.select(key.alias("_id"), digest.alias("_text"), "text")
+    keyed = keyed.select(*(x.alias(c) for c, x in zip(KEYS, identity(F.col("text"), F.col("doc_id")), strict=True)), "text")
     counts = document_frequencies(keyed)
     n = float(keyed.count())
     idf = spark.sparkContext.broadcast(shingle_weights(counts, n))
     rows = staged(sketches(keyed, idf), "sketches")
-    nodes = staged(rows.groupBy("c").agg(F.min(F.struct("_id", "_text")).alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "nodes")
+    nodes = staged(rows.groupBy("c").agg(F.min(F.struct(*KEYS)).alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "nodes")
 
     members = nodes.filter("bands IS NOT NULL").select("c", F.posexplode("bands").alias("band", "key"))
     leader = F.min(F.struct(F.xxhash64("band", "c").alias("h"), "c"))
@@ -322,7 +321,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pairs = staged(shared.filter(F.col("c") != F.col("leader")).select("c", "leader").distinct(), "pairs")
 
     ids = nodes.join(shared.select("c").distinct(), "c", "left_semi").select("rep.*")
-    sets = staged(shingle_table(same(keyed, ids, ["_id", "_text"], "left_semi")).groupBy("c").agg(F.first("s").alias("s")), "sets")
+    sets = staged(shingle_table(same(keyed, ids, [*KEYS], "left_semi")).groupBy("c").agg(F.first("s").alias("s")), "sets")
     compared = pairs.join(sets.select(F.col("c").alias("leader"), F.col("s").alias("sl")), "leader").join(sets, "c")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +341,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = staged(classes, "classes")
     named = staged(classes.groupBy("root").agg(F.min("rep").alias("first"), F.sum("n").alias("copies")), "named")
     classes = staged(classes.select("c", "root").join(named, "root").select("c", "first", "copies"), "classes")
-    out = rows.select("_id", "_text", "c").join(classes, "c")
-    kept = F.struct("_id", "_text").eqNullSafe(F.col("first"))
-    return out.select("_id", "_text", F.col("first._id").alias("class_id"), "copies", kept.alias("kept"))
+    out = rows.select(*KEYS, "c").join(classes, "c")
+    kept = F.struct(*KEYS).eqNullSafe(F.col("first"))
+    return out.select(*KEYS, F.col("first._id").alias("class_id"), "copies", kept.alias("kept"))
 
 
 def missing_comparisons(shared: DataFrame, joined: DataFrame, sets: DataFrame, idf) -> DataFrame:

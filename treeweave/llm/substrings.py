@@ -91,14 +91,15 @@ def spans(parts: list[str], sizes: list[int]) -> tuple[list[int], list[int], lis
     return firsts, counts, hashes
 
 
-ID, DIGEST = "_id", "_text"
-SPANS = T.StructType([T.StructField(ID, T.LongType()), T.StructField(DIGEST, T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("place", "h1", "h2"))])
-#: A place is the first part and the number of parts (at most WORDS, 4 bits).
-N_BITS = 4
+#: What tells documents apart: see ``identity``.
+KEYS = ("_id", "_t1", "_t2")
+SPANS = T.StructType([T.StructField(c, T.LongType()) for c in (*KEYS, "place", "h")])
+#: A place is, from its lowest bits: the number of parts (at most WORDS, 4 bits), the first part (32), more of the span's hash (28).
+N_BITS, FIRST_BITS = 4, 32
 
 
 def span_table(docs: DataFrame) -> DataFrame:
-    """A row for each span of ``docs`` (_id, _text, text); h1 and h2 are the halves of its hash."""
+    """A row for each span of ``docs`` (_id, _t1, _t2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,17 +108,17 @@ def span_table(docs: DataFrame) -> DataFrame:
                 found = [spans(*sentences(t)[1:]) if t else ([], [], []) for t in part.column("text").to_pylist()]
                 of = np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found])
                 first, n = (np.array([x for f in found for x in f[k]], np.int64) for k in range(2))
-                h = np.frombuffer(b"".join(x for f in found for x in f[2]), np.int64).reshape(-1, 2)
+                h = np.frombuffer(b"".join(x for f in found for x in f[2]), np.uint64).reshape(-1, 2)
+                place = (h[:, 1] >> np.uint64(36) << np.uint64(N_BITS + FIRST_BITS)).view(np.int64) | first << N_BITS | n
                 rows = pa.array(of)
-                columns = [part.column(ID).take(rows), part.column(DIGEST).take(rows), pa.array(first << N_BITS | n), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())]
-                yield pa.RecordBatch.from_arrays(columns, names=SPANS.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in KEYS), pa.array(place), pa.array(h[:, 0].copy().view(np.int64))], names=SPANS.names)
 
-    return docs.select(ID, DIGEST, "text").mapInArrow(run, SPANS)
+    return docs.select(*KEYS, "text").mapInArrow(run, SPANS)
 
 
 def identity(text: Column, doc_id: Column) -> list[Column]:
-    """What tells documents apart: the id, which may be null, and the 128-bit digest of the text (null for null)."""
-    return [doc_id.cast("long"), F.unhex(F.md5(text))]
+    """What tells documents apart: the id, which may be null, and 128 bits of hash of the text in two halves (null for null)."""
+    return [doc_id.cast("long"), F.when(text.isNotNull(), F.xxhash64(text)), F.when(text.isNotNull(), F.xxhash64(F.lit(1), text))]
 
 
 def same(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
@@ -133,24 +134,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     The first occurrence of a span is the one in the smallest id (null first), then text digest, then place; within a document
     too. Parts outside repeated spans stay as they are, white space included; a text whose parts all
     go is empty, a null one stays null. Rows with equal id and text are one document: they are treated alike, and don't count
-    as repeats of each other. Spans are one if the 128-bit hashes of their words are: among n spans, n * n / 2**129 pairs
-    are expected to be so by chance (10**-15 for 10**12). A column named ``n_removed`` is replaced; others stay, whatever their names.
+    as repeats of each other. Spans are one if 92 bits of the hashes of their words are: among n spans, n * n / 2**93 pairs
+    are expected to be so by chance (one in 10,000 tables of 10**12). A column named ``n_removed`` is replaced; others stay, whatever their names.
     """
     kept = [c for c in docs.columns if c != "n_removed"]
-    own_id, own_digest, marks = fresh(kept, ID, DIGEST, "_spans")
-    found_id, found_digest = identity(F.col(f"`{text}`"), F.col(f"`{doc_id}`"))
-    keyed = docs.select(*(F.col(f"`{c}`") for c in kept), found_id.alias(own_id), found_digest.alias(own_digest))
-    found = staged(span_table(keyed.select(F.col(own_id).alias(ID), F.col(own_digest).alias(DIGEST), F.col(f"`{text}`").alias("text"))), "spans")
+    *own, marks = fresh(kept, *KEYS, "_spans")
+    keyed = docs.select(*(F.col(f"`{c}`") for c in kept), *(x.alias(c) for c, x in zip(own, identity(F.col(f"`{text}`"), F.col(f"`{doc_id}`")), strict=True)))
+    found = staged(span_table(keyed.select(*(F.col(c).alias(k) for c, k in zip(own, KEYS, strict=True)), F.col(f"`{text}`").alias("text"))), "spans")
     # hashes alone are counted, before the shuffle, so a span that a third of the documents share is a row for each task; the
     # join back is to one row a span, so Spark can split the rows of such a span; places are shuffled with repeated spans only
-    repeated = staged(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"), "repeated")
-    several = staged(found.join(repeated, ["h1", "h2"]), "several")
-    first = several.groupBy("h1", "h2").agg(F.min(F.struct(ID, DIGEST, "place")).alias("first"))
+    repeated = staged(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated")
+    several = staged(found.join(repeated, "h"), "several")
+    more = F.shiftrightunsigned("place", N_BITS + FIRST_BITS)
+    first = several.groupBy("h", more.alias("more")).agg(F.min(F.struct(*KEYS, "place")).alias("first"))
     first = staged(first, "firsts")
-    again = ~F.struct(ID, DIGEST, "place").eqNullSafe(F.col("first"))
-    covered = several.join(first, ["h1", "h2"]).filter(again).select(F.col(ID).alias(own_id), F.col(DIGEST).alias(own_digest), "place")
-    covered = covered.groupBy(own_id, own_digest).agg(F.collect_set("place").alias(marks))
-    joined = same(keyed, covered, [own_id, own_digest], "left").drop(own_id, own_digest)
+    again = ~F.struct(*KEYS, "place").eqNullSafe(F.col("first"))
+    covered = several.withColumn("more", more).join(first, ["h", "more"]).filter(again).select(*(F.col(k).alias(c) for c, k in zip(own, KEYS, strict=True)), "place")
+    covered = covered.groupBy(*own).agg(F.collect_set("place").alias(marks))
+    joined = same(keyed, covered, own, "left").drop(*own)
     schema = T.StructType([*(f for f in joined.schema.fields if f.name != marks), T.StructField("n_removed", T.LongType())])
 
     def cut(t: str | None, marked: list[int] | None) -> tuple[str | None, int]:
@@ -159,7 +160,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         head, parts, _ = sentences(t)
         gone = np.zeros(len(parts) + 1, np.int64)
         for m in marked:
-            at = m >> N_BITS
+            at = m >> N_BITS & ((1 << FIRST_BITS) - 1)
             gone[at] += 1
             gone[at + (m & ((1 << N_BITS) - 1))] -= 1
         gone = gone.cumsum()[:-1] > 0
