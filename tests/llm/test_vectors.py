@@ -41,8 +41,30 @@ def test_threshold_stops_early():
     rng = np.random.default_rng(1)
     c = (rng.standard_normal((2000, 3)) * np.array([100, 1, 1])).astype(int)
     q = np.array([[50, 0, 1]])
-    i, ids, s = topk.threshold_topk(q, c, np.arange(2000), np.array([-1]), 5)
+    i, ids, s, met = topk.threshold_topk(q, c, np.arange(2000), np.array([-1]), 5)
     assert sorted(s)[::-1] == sorted(c @ q[0])[::-1][:5]
+    assert met[0] < 0.05
+
+
+def test_a_floor_from_elsewhere_stops_the_walk():
+    rng = np.random.default_rng(3)
+    c = rng.integers(-9, 10, (4000, 4))
+    q = np.array([[3, 1, -2, 0], [1, 1, 1, 1]])
+    best = np.sort(q @ c.T, axis=1)[:, ::-1]
+    alone = topk.threshold_topk(q, c, np.arange(4000), np.array([-1, -1]), 20)
+    i, ids, s, met = topk.threshold_topk(q, c, np.arange(4000), np.array([-1, -1]), 20, best[:, 0] + 1)
+    assert not len(i) and (met < alone[3]).all()
+    i, ids, s, _ = topk.threshold_topk(q, c, np.arange(4000), np.array([-1, -1]), 20, best[:, 19])
+    assert [sorted(s[i == k])[::-1] for k in (0, 1)] == [best[k, :20].tolist() for k in (0, 1)]
+
+
+def test_scores_are_exact_beyond_floats():
+    for scale, d in ((2**27, 64), (2**40, 3), (2**62, 2)):
+        rng = np.random.default_rng(4)
+        c = np.array([[int(x) for x in rng.integers(-scale, scale, d)] for _ in range(50)], np.int64)
+        _, ids, s, _ = topk.threshold_topk(c[:1], c, np.arange(50), np.array([0]), 5)
+        exact = sorted(((min(max(sum(int(x) * int(y) for x, y in zip(c[0], r)), -(2**63)), 2**63 - 1), -j) for j, r in enumerate(c) if j), reverse=True)[:5]
+        assert sorted(((int(x), -int(j)) for x, j in zip(s, ids)), reverse=True) == exact
 
 
 def test_hilbert_curve_is_continuous():
