@@ -82,6 +82,8 @@ def threshold_topk(
             new = np.flatnonzero(fresh)
             new = new[ids[new] != own[i]]
             gained = exact[new] @ q
+            if kind == object:  # what 64 bits can't hold stops at their ends
+                gained = np.array([min(max(x, -(2**63)), 2**63 - 1) for x in gained], object)
             reach = gained >= low
             rows, scores = best_of(np.concatenate([rows, new[reach]]), np.concatenate([scores, gained[reach]]), place, k)
             bound = values[up, n - to] @ q[up] + values[down, to - 1] @ q[down]
@@ -92,8 +94,6 @@ def threshold_topk(
         met[i] = seen.mean() if n else 0
     rows = np.concatenate([b[0] for b in best]) if best else np.empty(0, np.int64)
     scores = np.concatenate([b[1] for b in best]) if best else np.empty(0, np.int64)
-    if kind == object:
-        scores = np.array([min(max(x, -(2**63)), 2**63 - 1) for x in scores], np.int64)
     return np.repeat(np.arange(len(best)), [len(b[0]) for b in best]), ids[rows], scores.astype(np.int64), met
 
 
