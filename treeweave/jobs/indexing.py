@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import comments, extract, maintain
 from ..schemas import COMMENTS, EDGES, Index
 from ..sources.files import language_of
-from ..sources.parse import Parser, parse_sources
+from ..sources.parse import ERROR, Parser, parse_sources
 from ..tables import cut
 
 FILE = ["repo", "file_path"]
@@ -18,7 +18,7 @@ FILE = ["repo", "file_path"]
 
 def extract_files(changed: DataFrame, parsers: dict[str, Parser] | None, now_ms: int, max_body: int = 2000) -> tuple[Index, DataFrame]:
     """The rows of changed files (repo, file_path, source, hash), and the files among them that a parser took."""
-    syntax = cut(parse_sources(changed, parsers), "syntax")
+    syntax = cut(parse_sources(changed, parsers).filter(F.col("kind") != ERROR), "syntax")
     taken = changed.join(syntax.select(*FILE).distinct(), FILE, "left_semi").withColumn("language", language_of(F.col("file_path")))
     symbols = cut(extract.symbols(syntax, taken, max_body), "symbols")
     return (
@@ -32,18 +32,24 @@ def extract_files(changed: DataFrame, parsers: dict[str, Parser] | None, now_ms:
     )
 
 
-def incremental_update(index: Index, source_files: DataFrame, parsers: dict[str, Parser] | None = None, now_ms: int | None = None, max_body: int = 2000) -> tuple[Index, bool]:
-    """``index`` with new and changed files' rows replaced and calls resolved, and whether anything had changed.
-
-    ``source_files`` may be any named files: only their extensions have to be known.
-    """
+def update(index: Index, source_files: DataFrame, parsers: dict[str, Parser] | None, now_ms: int | None, max_body: int) -> tuple[Index, DataFrame | None]:
+    """``incremental_update``, with the files that were indexed anew (None: nothing had changed)."""
     changed = cut(maintain.changed_files(source_files, index.files), "changed")
     if not changed.limit(1).count():
-        return index, False
+        return index, None
     new, taken = extract_files(changed, parsers, int(time.time() * 1000) if now_ms is None else now_ms, max_body)
     out = maintain.replace_file_rows(index, taken, new)
     out = out.with_(files=maintain.upsert_files(index.files, new.files))
-    return out.with_(edges=maintain.resolve_edges(out.edges, out.nodes)), True
+    return out.with_(edges=maintain.resolve_edges(out.edges, out.nodes)), taken
+
+
+def incremental_update(index: Index, source_files: DataFrame, parsers: dict[str, Parser] | None = None, now_ms: int | None = None, max_body: int = 2000) -> tuple[Index, bool]:
+    """``index`` with new and changed files' rows replaced and calls resolved, and whether anything had changed.
+
+    ``source_files`` may be any named files: only their extensions have to be known. Files that no parser takes leave the index as it is.
+    """
+    out, taken = update(index, source_files, parsers, now_ms, max_body)
+    return out, taken is not None
 
 
 def full_index(index: Index, source_files: DataFrame, parsers: dict[str, Parser] | None = None, now_ms: int | None = None, max_body: int = 2000) -> tuple[Index, DataFrame]:
@@ -63,9 +69,12 @@ def full_index(index: Index, source_files: DataFrame, parsers: dict[str, Parser]
     return out.with_(edges=resolved), summary
 
 
-def reindex_report(index: Index, source_files: DataFrame, parsers: dict[str, Parser] | None = None, now_ms: int | None = None) -> tuple[Index, DataFrame]:
-    """Bring named files up to date, and tell for each whether it was indexed anew or hadn't changed."""
-    changed = maintain.changed_files(source_files, index.files).select(*FILE, F.lit(True).alias("reindexed"))
-    report = cut(source_files.select(*FILE).join(changed, FILE, "left").select(*FILE, F.coalesce("reindexed", F.lit(False)).alias("reindexed")), "report")
-    out, _ = incremental_update(index, source_files, parsers, now_ms)
-    return out, report.withColumn("message", F.when(F.col("reindexed"), "indexed anew").otherwise("unchanged, or of no known language"))
+def reindex_report(index: Index, source_files: DataFrame, parsers: dict[str, Parser] | None = None, now_ms: int | None = None, max_body: int = 2000) -> tuple[Index, DataFrame]:
+    """Bring named files up to date, and tell for each whether it was indexed anew: a parser took it, and it had changed."""
+    out, taken = update(index, source_files, parsers, now_ms, max_body)
+    asked = source_files.select(*FILE)
+    if taken is None:
+        report = asked.withColumn("reindexed", F.lit(False))
+    else:
+        report = asked.join(taken.withColumn("_taken", F.lit(True)), FILE, "left").select(*FILE, F.coalesce("_taken", F.lit(False)).alias("reindexed"))
+    return out, cut(report, "report").withColumn("message", F.when(F.col("reindexed"), "indexed anew").otherwise("unchanged, or no parser takes it"))

@@ -10,21 +10,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import like_anywhere, trim
+from ..functions.text import trim
 from ..schemas import check_range, node_order_columns
-from .lookup import nodes_without_comments
+from .lookup import holding, nodes_without_comments
 from .maintain import replace_generated
 
-#: How a documentation comment begins and ends in each language, around one sample sentence.
-SAMPLE = "Calculates the total price including tax."
+#: One documentation comment for each language, as its programmers write them.
 STYLE_EXAMPLES = {
-    **{lang: f"/** {SAMPLE} */" for lang in ("typescript", "tsx", "javascript", "java", "c", "cpp", "php")},
-    "python": f'"""{SAMPLE}"""',
-    "csharp": f"/// <summary>{SAMPLE}</summary>",
-    "go": f"// CalculateTotal {SAMPLE[0].lower()}{SAMPLE[1:]}",
-    "rust": f"/// {SAMPLE}",
-    "ruby": f"# {SAMPLE}",
+    "typescript": "/** Opens the log and rotates it when it is a day old. */",
+    "tsx": "/** A list of open tickets, the oldest on top. */",
+    "javascript": "/** Waits until every pending request has been answered. */",
+    "python": '"""Yield the rows of a sheet that have a date."""',
+    "java": "/** Returns the seats that are still free on this flight. */",
+    "csharp": "/// <summary>Reads the next frame, or null at the end of the stream.</summary>",
+    "go": "// Retry runs fn again, at growing intervals, until it succeeds.",
+    "rust": "/// Splits the buffer at the last whole record.",
+    "c": "/* Number of bytes that the encoder still has to flush. */",
+    "cpp": "/// Moves all nodes of the other list to the end of this one.",
+    "ruby": "# Names of the subscribers who asked for the weekly letter.",
+    "php": "/** Renders the invoice in the customer's language. */",
 }
+OTHER_STYLE = STYLE_EXAMPLES["typescript"]
 CLASS_TYPES = ["class", "interface", "struct", "trait"]
 METHODS, BODY = 50, 1500
 
@@ -32,7 +38,7 @@ METHODS, BODY = 50, 1500
 def style_of(language: Column) -> Column:
     """The language's example; that of typescript for others."""
     styles = F.create_map(*[F.lit(x) for kv in STYLE_EXAMPLES.items() for x in kv])
-    return F.coalesce(F.try_element_at(styles, language), F.lit(STYLE_EXAMPLES["typescript"]))
+    return F.coalesce(F.try_element_at(styles, language), F.lit(OTHER_STYLE))
 
 
 def system_text(what: str) -> Column:
@@ -58,8 +64,8 @@ def class_methods(nodes: DataFrame, methods: str = "named") -> DataFrame:
         inside = (F.col("file_path") == F.col("class_file")) & (F.col("start_line") >= F.col("from_line")) & (F.col("end_line") <= F.col("to_line"))
         found = classes.join(own, (classes["repo"] == own["repo"]) & inside).drop(own["repo"])
     elif methods == "named":
-        names = classes.select("repo", "class_name").distinct()
-        hits = own.join(names, "repo").filter(like_anywhere(F.col("name"), F.col("class_name")))
+        names = classes.select("repo", F.col("class_name").alias("query")).distinct()
+        hits = holding(own, names).withColumnRenamed("query", "class_name")
         first = hits.withColumn("_k", F.row_number().over(Window.partitionBy("repo", "class_name").orderBy(*order))).filter(F.col("_k") <= METHODS)
         found = classes.join(first, ["repo", "class_name"]).filter(F.col("file_path") == F.col("class_file"))
     else:

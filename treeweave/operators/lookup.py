@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import like_anywhere, slashes
+from ..functions.text import fold_ascii, like_anywhere, slashes
 from ..schemas import check_range, node_order_columns
-from ..tables import if_small
+from ..tables import if_small, is_small
 
 #: The most rows that one request may ask for.
 MOST = 100
@@ -31,6 +31,28 @@ def nodes_by_file(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return nodes.join(if_small(asked), ["repo", "file_path"], "left_semi")
 
 
+def holding(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each node with each row of ``asked`` (repo, query, ...) of its repo whose query its name holds, as LIKE has it.
+
+    A small table of requests is broadcast. A larger one meets the nodes on (repo, three characters): the first three of
+    the query that stand together without a wildcard, against all threes of a name. Queries without such three are few
+    kinds; they meet the nodes of their repo in parts, so that a large repo isn't one key.
+    """
+    hit = like_anywhere(F.col("name"), F.col("query"))
+    if is_small(asked):
+        return nodes.join(F.broadcast(asked), "repo").filter(hit)
+    gram = F.regexp_extract(fold_ascii(F.col("query")), "[^%_]{3}", 0)
+    marked = asked.withColumn("_gram", gram)
+    threes = F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.substring(fold_ascii(F.col("name")), i, F.lit(3)))
+    by_gram = nodes.filter(F.length("name") >= 3).withColumn("_gram", F.explode(F.array_distinct(threes)))
+    found = by_gram.join(marked.filter(F.col("_gram") != ""), ["repo", "_gram"]).filter(hit).drop("_gram")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = nodes.withColumn("_part", F.pmod(F.xxhash64("file_path", "name", "start_line", "start_col"), F.lit(parts)))
+    every = marked.filter(F.col("_gram") == "").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    rest = part.join(every, ["repo", "_part"]).filter(hit).drop("_part", "_gram")
+    return found.unionByName(rest)
+
+
 def search_nodes(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """The first ``limit`` nodes whose name holds a request's ``query``: repo, query, type_wanted, limit, rank, and the node's columns.
 
@@ -41,7 +63,7 @@ def search_nodes(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     worst = asked.agg(F.min("limit"), F.max("limit")).first()
     for n in worst:
         check_range("limit", 20 if n is None else n, 1, MOST)
-    found = nodes.join(if_small(asked), "repo").filter(like_anywhere(F.col("name"), F.col("query")) & (F.col("type_wanted").isNull() | (F.col("type") == F.col("type_wanted"))))
+    found = holding(nodes, asked).filter(F.col("type_wanted").isNull() | (F.col("type") == F.col("type_wanted")))
     order = Window.partitionBy("repo", "query", "type_wanted", "limit").orderBy(*node_order_columns())
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MOST).filter(F.col("rank") <= F.col("limit"))
 

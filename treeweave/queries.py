@@ -462,7 +462,7 @@ def comment_report(spark, d):
 
 # --- comment generation ---
 
-STYLE = "CASE n.language " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in describe.STYLE_EXAMPLES.items()) + " END"
+STYLE = "CASE n.language " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in describe.STYLE_EXAMPLES.items()) + " END"
 NL = " || chr(10) || "
 
 

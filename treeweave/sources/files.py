@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import extension, slashes, trim
+from ..functions.text import extension, trim
+from ..tables import cut
 
 #: The languages and their extensions.
 LANGUAGE_EXTENSIONS = {
@@ -45,14 +49,54 @@ def keep_path(path: Column, ignored: list[str] | None = None, languages: list[st
     return ~dropped & (F.size(segments) - 1 <= MAX_DEPTH) & extension(path).isin(enabled)
 
 
+def list_tree(spark: SparkSession, root: str, ignored: list[str] | None = None) -> DataFrame:
+    """(file_path) of all files below ``root``, a local path or a URI, level by level; ignored and dotted names aren't entered.
+
+    The listing is made in tasks with Arrow's file systems: Spark's own readers skip names that begin with an underscore.
+    """
+    ignored = DEFAULT_IGNORED if ignored is None else ignored
+    schema = "file_path string, folder boolean"
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = file_system(root)
+        for x in batches:
+            for folder in x["file_path"]:
+                infos = system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), recursive=False))
+                names = [(i.base_name, i.type == fs.FileType.Directory) for i in infos if not i.base_name.startswith(".") and i.base_name not in ignored]
+                yield pd.DataFrame([(f"{folder}/{n}".lstrip("/"), d) for n, d in names], columns=["file_path", "folder"])
+
+    level = spark.createDataFrame([("",)], "file_path string")
+    found = None
+    for _ in range(MAX_DEPTH + 1):
+        below = cut(level.mapInPandas(children, schema), "listing")
+        files = below.filter("NOT folder").select("file_path")
+        found = files if found is None else found.unionByName(files)
+        level = below.filter("folder").select("file_path").repartition(spark.sparkContext.defaultParallelism)
+        if not below.filter("folder").limit(1).count():
+            break
+    return found
+
+
+def file_system(root: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system and path for a local path or a URI."""
+    if "://" in root or root.startswith("file:"):
+        system, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root))
+        return system, base.rstrip("/")
+    return fs.LocalFileSystem(), root.rstrip("/")
+
+
 def read_source_tree(spark: SparkSession, root: str, repo: str, ignored: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
-    """source_files(repo, file_path, source) of a folder; paths are filtered before any content is decoded."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"/+$", "", re.sub(r"^file:/*", "/", root))
-    relative = F.regexp_replace(slashes(F.col("path")), r"^file:/*", "/")
-    relative = F.regexp_replace(F.substring(relative, len(base) + 1, 1 << 30), "^/+", "")
-    kept = files.select(relative.alias("file_path"), "content").filter(keep_path(F.col("file_path"), ignored, languages))
-    return kept.select(F.lit(repo).alias("repo"), "file_path", F.decode("content", "UTF-8").alias("source"))
+    """source_files(repo, file_path, source) of a folder; paths are filtered before any file is opened. Bytes that aren't UTF-8 are replaced."""
+    kept = list_tree(spark, root, ignored).filter(keep_path(F.col("file_path"), ignored, languages))
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = file_system(root)
+        for x in batches:
+            for path in x["file_path"]:
+                with system.open_input_stream(f"{base}/{path}") as f:
+                    yield pd.DataFrame({"repo": [repo], "file_path": [path], "source": [f.read().decode("utf-8", "replace")]})
+
+    return kept.repartition(spark.sparkContext.defaultParallelism).mapInPandas(texts, "repo string, file_path string, source string")
 
 
 def ignore_patterns(lines: DataFrame, configured: list[str]) -> DataFrame:

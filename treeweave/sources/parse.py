@@ -62,50 +62,50 @@ def flatten(root: Node, source: str) -> Iterator[tuple]:
 
 def parse_python(source: str) -> Node | None:
     """Functions, classes, imports, calls and docstrings of Python; null if it isn't Python."""
+    marked = source.startswith("\ufeff")
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+        tree = ast.parse(source[1:] if marked else source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    lines = source.split("\n")
-    before = [0]
-    for line in lines:
-        before.append(before[-1] + len(line) + 1)
+    starts = [int(marked), *(m.end() for m in re.finditer("\r\n|\r|\n", source))]
+    ends = [*starts[1:], len(source)]
 
     def offset(line: int, column: int) -> int:
-        return before[line - 1] + len(lines[line - 1].encode()[:column].decode(errors="ignore"))
+        return starts[line - 1] + len(source[starts[line - 1] : ends[line - 1]].encode("utf-8", "replace")[:column].decode(errors="ignore"))
 
     def span(n: ast.AST) -> tuple[int, int]:
         return offset(n.lineno, n.col_offset), offset(n.end_lineno, n.end_col_offset)
 
-    def visit(n: ast.AST, into: Node) -> None:
-        for child in ast.iter_child_nodes(n):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                node = Node("class_definition" if isinstance(child, ast.ClassDef) else "function_definition", *span(child))
-                at = source.index(child.name, source.index("class" if isinstance(child, ast.ClassDef) else "def", node.start))
-                node.children.append(Node("identifier", at, at + len(child.name), "name"))
-                body = Node("block", span(child.body[0])[0], node.end, "body")
-                first = child.body[0]
-                if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
-                    body.children.append(Node("expression_statement", *span(first), None, [Node("string", *span(first.value))]))
-                node.children.append(body)
-                into.children.append(node)
-                visit(child, body)
-            elif isinstance(child, (ast.Import, ast.ImportFrom)):
-                into.children.append(Node("import_statement", *span(child)))
-            elif isinstance(child, ast.Call):
-                f = child.func
-                called = Node("attribute" if isinstance(f, ast.Attribute) else "identifier", *span(f), "function")
-                node = Node("call", *span(child), None, [called])
-                into.children.append(node)
-                visit(child, node)
-            else:
-                visit(child, into)
-
     root = Node("module", 0, len(source))
-    visit(tree, root)
+    todo: list[tuple[ast.AST, Node]] = [(tree, root)]  # in page order, without recursion: trees can be deep
+    while todo:
+        n, into = todo.pop()
+        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            node = Node("class_definition" if isinstance(n, ast.ClassDef) else "function_definition", *span(n))
+            named = DEFINED.match(source, node.start)
+            if named:
+                node.children.append(Node("identifier", *named.span(1), "name"))
+            body = Node("block", span(n.body[0])[0], node.end, "body")
+            first = n.body[0]
+            if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
+                body.children.append(Node("expression_statement", *span(first), None, [Node("string", *span(first.value))]))
+            node.children.append(body)
+            into.children.append(node)
+            into = body
+        elif isinstance(n, (ast.Import, ast.ImportFrom)):
+            into.children.append(Node("import_statement", *span(n)))
+            continue
+        elif isinstance(n, ast.Call):
+            called = Node("attribute" if isinstance(n.func, ast.Attribute) else "identifier", *span(n.func), "function")
+            node = Node("call", *span(n), None, [called])
+            into.children.append(node)
+            into = node
+        todo += [(c, into) for c in reversed([*ast.iter_child_nodes(n)])]
     return root
 
 
+#: What stands between a definition's start and its name, as it is written: the tree's own name may be normalised.
+DEFINED = re.compile(r"(?:async[\s\\]+)?(?:def|class)[\s\\]+(\w+)")
 MASKED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.DOTALL)
 DECLARED = re.compile(
     r"\b(?P<class>class|interface|trait|enum|struct|impl)\s+(?P<class_name>\w+)[^;{}()]*\{|\b(?:function|func|fn|def)\s+(?P<function>\w+)\s*[^;{}]*\{|(?P<method>\b\w+)\s*\([^;{}()]*\)\s*(?:const|throws [\w, .]+|:\s*[\w<>\[\], |]+|->\s*[^;{}]+)?\s*\{"
@@ -126,7 +126,14 @@ def scan_braces(source: str) -> Node:
             stack.append(m.start())
         elif stack:
             ends[stack.pop()] = m.end()
+    stack.clear()
     found = [Node("import_statement", m.start() + len(m[0]) - len(m[0].lstrip()), m.end()) for m in IMPORTED.finditer(source) if plain[m.start() : m.end()].strip()]
+    closed: dict[int, int] = {}  # where each parenthesis ends
+    for m in re.finditer(r"[()]", plain):
+        if m[0] == "(":
+            stack.append(m.start())
+        elif stack:
+            closed[stack.pop()] = m.end()
     heads: set[int] = set()
     for m in DECLARED.finditer(plain):
         group = "class_name" if m["class"] else "function" if m["function"] else "method"
@@ -144,12 +151,7 @@ def scan_braces(source: str) -> Node:
         callee = Node("member_expression" if m[1] else "identifier", m.start(), m.end(2), None if made else "function")
         if m[1]:
             callee.children.append(Node("property_identifier", m.start(2), m.end(2), "property"))
-        depth, at = 0, m.end() - 1
-        while at < len(plain):
-            depth += (plain[at] == "(") - (plain[at] == ")")
-            at += 1
-            if not depth:
-                break
+        at = closed.get(m.end() - 1, len(plain))
         found.append(Node("new_expression" if made else "call_expression", m.start(), at, None, [callee]))
     root = Node("program", 0, len(source))
     open_ = [root]
@@ -168,18 +170,38 @@ def default_parsers() -> dict[str, Parser]:
     return {"python": parse_python} | dict.fromkeys(BRACES, scan_braces)
 
 
+#: The kind of the only row of a file on which its parser failed; the row's text is the error.
+ERROR = "ERROR"
+#: Rows of a batch, about.
+BATCH = 20_000
+
+
 def parse_sources(source_files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """``source_files`` (repo, file_path, source) to ``schemas.SYNTAX``; files of other languages, and ones a parser refuses, have no rows."""
+    """``source_files`` (repo, file_path, source) to ``schemas.SYNTAX``.
+
+    Files of other languages, and ones a parser refuses (returns None for), have no rows. A file on which a parser fails has
+    one, of kind ERROR; the others go on.
+    """
     parsers = default_parsers() if parsers is None else parsers
     own = source_files.select("repo", "file_path", "source", language_of(F.col("file_path")).alias("language")).filter(F.col("language").isin([*parsers]) & F.col("source").isNotNull())
 
+    def tree(source: str, parser: Parser) -> list[tuple]:
+        try:
+            root = parser(source)
+            return [] if root is None else [*flatten(root, source)]
+        except Exception as e:
+            return [(0, None, 0, ERROR, None, 0, 0, 0, 0, 0, f"{type(e).__name__}: {e}")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        table = lambda: pd.DataFrame(rows, columns=SYNTAX.names).astype({"parent_node_id": "Int64"})
         for x in batches:
             for repo, path, source, language in x.itertuples(index=False):
-                root = parsers[language](source)
-                if root is not None:
-                    rows = [(repo, path, language, *r) for r in flatten(root, source)]
-                    out = pd.DataFrame(rows, columns=SYNTAX.names)
-                    yield out.astype({"parent_node_id": "Int64"})
+                rows += [(repo, path, language, *r) for r in tree(source, parsers[language])]
+                if len(rows) >= BATCH:
+                    yield table()
+                    rows.clear()
+        if rows:
+            yield table()
 
     return own.mapInPandas(run, SYNTAX)

@@ -1,48 +1,100 @@
-"""An index on disk: four Parquet tables by repo, and a file that tells the layout's version."""
+"""An index on disk: Parquet tables by version and repo, and a log of commits that tells which version of a repo counts.
+
+Writing adds files only: the tables' rows go to folders of a new version, and then one small file, appended to the log, makes
+them count. A file appears whole or not at all, so a reader sees all four tables of a repo as they were before or after, and what
+a failed write left behind is never read.
+"""
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import COMMENTS, EDGES, FILES, NODES, SCHEMA_VERSION, Index
-from ..tables import cut
+from ..schemas import COMMENTS, EDGES, FILES, NODES, SCHEMA_VERSION, Index, fields
+from ..tables import cut, if_small
 
 LAYOUT = {"files": FILES, "nodes": NODES, "edges": EDGES, "comments": COMMENTS}
+#: A commit has a row for each repo that it replaces (no version: the repo went), and one without a repo.
+COMMITS = fields("place bigint, schema_version int, repo string, version string")
 
 
 def write_index(index: Index, path: str, repos: list[str] | None = None) -> None:
-    """Replace the partitions of the repos that ``index`` holds; other repos' stay.
+    """Replace the repos that ``index`` holds; other repos' rows stay.
 
-    ``repos``: those that are replaced even where ``index`` has no rows of them (their partitions then go). Every table is
-    staged first, so what is read may come from ``path`` itself.
+    ``repos``: those that are replaced even where ``index`` has no rows of them (they then go). What is read may come
+    from ``path`` itself. One writer at a time.
     """
-    staged = {name: cut(t, f"index-{name}") for name, t in index.tables().items()}
+    spark = index.files.sparkSession
+    commit(spark, path, write_version(index, path), repos)
+
+
+def write_version(index: Index, path: str) -> str:
+    """Write the tables as a new version, which doesn't count yet; nothing is written of tables with a bad row."""
+    staged = {name: cut(t.select(*LAYOUT[name].names), f"index-{name}") for name, t in index.tables().items()}
     bad = staged["comments"].filter(~F.col("source").isin("original", "generated") | ((F.col("source") == "original") & F.col("generated_at").isNotNull()))
     if bad.limit(1).count():
         raise ValueError("comments: source is original or generated, and only generated ones have a time")
-    spark = index.files.sparkSession
+    needed = {"files": ("repo", "file_path"), "nodes": ("repo", "file_path", "id"), "edges": ("repo", "caller_id"), "comments": ("repo", "node_id")}
+    for name, columns in needed.items():
+        if staged[name].filter(" OR ".join(f"{c} IS NULL" for c in columns)).limit(1).count():
+            raise ValueError(f"{name}: {', '.join(columns)} must not be null")
+    version = uuid.uuid4().hex
     for name, t in staged.items():
-        t.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(f"{path}/{name}")
-        if repos:
-            left = {r[0] for r in t.select("repo").distinct().collect()}
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-            fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            for repo in {*repos} - left:
-                fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"repo={repo}"), True)
-    meta = spark.range(1).select(F.lit(json.dumps({"schema_version": SCHEMA_VERSION})).alias("value"))
-    meta.coalesce(1).write.mode("overwrite").text(f"{path}/_meta")
+        t.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", "repo").parquet(f"{path}/{name}")
+    return version
+
+
+def commit(spark: SparkSession, path: str, version: str, repos: list[str] | None = None) -> None:
+    """Make a version count, by one file."""
+    written = None
+    for name, kind in LAYOUT.items():
+        own = versions(spark, path, name, kind).filter(F.col("version") == version).select("repo")
+        written = own if written is None else written.unionByName(own)
+    rows = written.distinct().select("repo", F.lit(version).alias("version"))
+    if repos:
+        named = spark.createDataFrame([(r,) for r in repos], "repo string").join(rows, "repo", "left")
+        rows = rows.unionByName(named).distinct()
+    rows = rows.unionByName(spark.createDataFrame([(None, version)], "repo string, version string"))
+    last = log_of(spark, path).agg(F.max("place")).first()[0]
+    rows = rows.select(F.lit((last or 0) + 1).cast("bigint").alias("place"), F.lit(SCHEMA_VERSION).alias("schema_version"), "repo", "version")
+    cut(rows, "commit").coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def add_rows(path: str, new: Index) -> None:
+    """Append the rows of ``new`` to the index at ``path``: all of them, or none where one of them is bad or the write fails."""
+    spark = new.files.sparkSession
+    repos = None
+    for t in new.tables().values():
+        repos = t.select("repo") if repos is None else repos.unionByName(t.select("repo"))
+    old, repos = read_index(spark, path), repos.distinct()
+    both = {name: t.join(repos, "repo", "left_semi").select(*LAYOUT[name].names).unionByName(new.tables()[name].select(*LAYOUT[name].names)) for name, t in old.tables().items()}
+    write_index(Index(**both), path)
+
+
+def versions(spark: SparkSession, path: str, name: str, kind: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*kind.fields, T.StructField("version", T.StringType())])).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+
+
+def log_of(spark: SparkSession, path: str) -> DataFrame:
+    """The log of commits; empty where there is no index yet."""
+    none = spark.createDataFrame([], COMMITS)
+    none.write.mode("append").parquet(f"{path}/commits")  # so that there is a folder to read
+    return spark.read.schema(COMMITS).parquet(f"{path}/commits")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    """Open an index; refuses a layout of another version."""
-    version = json.loads(spark.read.text(f"{path}/_meta").first()[0])["schema_version"]
-    if version != SCHEMA_VERSION:
-        raise ValueError(f"index at {path} has version {version}, not {SCHEMA_VERSION}")
+    """Open an index as its last commit left it; refuses a layout of another version."""
+    log = spark.read.schema(COMMITS).parquet(f"{path}/commits")
+    found = [r[0] for r in log.select("schema_version").distinct().collect()]
+    if found != [SCHEMA_VERSION]:
+        raise ValueError(f"index at {path} has versions {found}, not {SCHEMA_VERSION}")
+    current = log.filter("repo IS NOT NULL").groupBy("repo").agg(F.max_by("version", "place").alias("version")).filter("version IS NOT NULL")
+    current = if_small(cut(current, "current"))
 
     def read(name: str) -> DataFrame:
-        return spark.read.schema(LAYOUT[name]).parquet(f"{path}/{name}").select(*LAYOUT[name].names)
+        return versions(spark, path, name, LAYOUT[name]).join(current, ["repo", "version"], "left_semi").select(*LAYOUT[name].names)
 
     return Index(read("files"), read("nodes"), read("edges"), read("comments"))

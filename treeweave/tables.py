@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors read, ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="treeweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,6 +30,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have no more than ``rows`` rows; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether ``df`` is counted to have no more than ``rows`` rows."""
+    rows = SMALL if rows is None else rows
+    return df.limit(rows + 1).count() <= rows
+
+
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it is small; else as it is."""
+    return F.broadcast(df) if is_small(df, rows) else df
