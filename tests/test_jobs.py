@@ -9,7 +9,7 @@ from treeweave.operators.graph import callees_of_names, callers_of_names
 from treeweave.operators.maintain import delete_files
 from treeweave.schemas import empty_index
 from treeweave.sources.files import read_source_tree
-from treeweave.sources.parse import scan_braces
+from treeweave.sources.parse import parse_sources, scan_braces
 from treeweave.sources.store import read_index, write_index
 from treeweave.streaming.watch import keep_current
 
@@ -95,3 +95,69 @@ def test_stream_keeps_index_current(spark, tmp_path):
     index = read_index(spark, path)
     assert [r["name"] for r in index.nodes.filter("repo = 'r'").collect()] == ["a2"]
     assert [r["callee_id"] for r in index.edges.filter("repo = 'r'").collect()] == [None]
+
+
+def test_tree_with_underscores(spark, tmp_path):
+    for name in ("pkg/__init__.py", "pkg/_private.py", "_folder/x.py", "pkg/.hidden.py", ".git/y.py", "node_modules/z.js", "pkg/note.txt"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("x = 1\n")
+    (tmp_path / "pkg" / "odd.py").write_bytes(b"# \xff\n")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        found = read_source_tree(spark, root, "r")
+        assert rows(found, "file_path") == [("_folder/x.py",), ("pkg/__init__.py",), ("pkg/_private.py",), ("pkg/odd.py",)]
+    assert {r["source"] for r in found.filter("file_path = 'pkg/odd.py'").collect()} == {"# \ufffd\n"}
+    (tmp_path / "none").mkdir()
+    assert read_source_tree(spark, str(tmp_path / "none"), "r").count() == 0
+
+
+def test_only_parsed_files_are_reindexed(spark):
+    schema = "repo string, file_path string, source string"
+    files = spark.createDataFrame([("r", "a.ts", "function a() {}"), ("r", "b.txt", "text"), ("r", "c.py", "def broken(:")], schema)
+    index, report = reindex_report(empty_index(spark), files, now_ms=1)
+    assert rows(report, "file_path", "reindexed") == [("a.ts", True), ("b.txt", False), ("c.py", False)]
+    _, report = reindex_report(index, files.filter("file_path = 'a.ts'"), now_ms=2)
+    assert rows(report, "file_path", "reindexed") == [("a.ts", False)]
+
+
+def test_odd_sources_dont_stop_others(spark):
+    deep = "x = " + "+".join(["a"] * 3000) + "\ndef after():\n    pass\n"
+    sources = [
+        ("deep.py", deep, "after"),
+        ("returns.py", "def one():\r    two()\rdef three():\r    pass\r", "three"),
+        ("ligature.py", "def e\ufb03cient():\n    pass\n", "e\ufb03cient"),
+        ("marked.py", "\ufeffdef begun():\n    pass\n", "begun"),
+        ("calls.ts", "function f() {\n" + "f(" * 10000 + ")" * 10000 + ";\n}\n", "f"),
+    ]
+    schema = "repo string, file_path string, source string"
+    files = spark.createDataFrame([("r", n, s) for n, s, _ in sources], schema)
+    syntax = parse_sources(files).cache()
+    assert syntax.filter("kind = 'ERROR'").count() == 0
+    named = {*rows(syntax.filter("field = 'name'"), "file_path", "text")}
+    assert {(n, name) for n, _, name in sources} <= named
+
+    def fails(source):
+        raise RuntimeError("no")
+
+    failed = parse_sources(files.filter("file_path LIKE '%.py'"), {"python": fails})
+    assert rows(failed, "kind", "text") == [("ERROR", "RuntimeError: no")] * 4
+    index, summary = full_index(empty_index(spark), files, {"python": fails, "typescript": scan_braces}, now_ms=1)
+    assert rows(index.files, "file_path") == [("calls.ts",)]
+
+
+def test_stream_leaves_ignored_paths_alone(spark, tmp_path):
+    path, folder = str(tmp_path / "live"), str(tmp_path / "events")
+    write_index(empty_index(spark), path)
+    t = dt.datetime(2024, 1, 1)
+    schema = "repo string, file_path string, kind string, ts timestamp, seq bigint, source string"
+    events = [("r", "a.ts", "add", t, 1, "function a() {}"), ("r", "gen/b.ts", "add", t, 2, "function b() {}"), ("z", "end.ts", "add", t + dt.timedelta(hours=1), 3, "")]
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(folder)
+    patterns = spark.createDataFrame([("r", "gen")], "repo string, pattern string")
+    stream = spark.readStream.schema(schema).parquet(folder)
+    running = keep_current(stream, path, str(tmp_path / "state"), 300, now_ms=5, patterns=patterns, trigger={"processingTime": "1 second"})
+    try:
+        running.processAllAvailable()
+        assert running.isActive
+    finally:
+        running.stop()
+    assert [r["name"] for r in read_index(spark, path).nodes.filter("repo = 'r'").collect()] == ["a"]

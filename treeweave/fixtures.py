@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .tables import cut, shared_dir
+
 EXTENSIONS = [(".ts", "typescript"), (".tsx", "tsx"), (".js", "javascript"), (".py", "python"), (".java", "java"), (".cs", "csharp"), (".go", "go"), (".rs", "rust"), (".h", "c"), (".cpp", "cpp"), (".rb", "ruby"), (".php", "php")]
 NAMES = ["parse_", "Load", "get%", "Évaluer", "LOAD_"]
 
@@ -119,12 +121,23 @@ def needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+#: Fixtures that many queries start from: written once for a folder of tables in an application, then read.
+WRITTEN = ("fx_files", "fx_nodes", "fx_edges", "fx_first", "fx_resolved", "fx_comments", "fx_calls", "fx_decls", "fx_syntax", "fx_pieces")
+_PLACES: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or fixture as a DataFrame."""
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text_ = SQL[name].replace('"limit"', "`limit`")
-    return spark.sql(text_, **{n: frame(spark, sf_dir, n) for n in needs(text_)})
+    place = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, name)
+    if place not in _PLACES:
+        text_ = SQL[name].replace('"limit"', "`limit`")
+        found = spark.sql(text_, **{n: frame(spark, sf_dir, n) for n in needs(text_)})
+        if name not in WRITTEN:
+            return found
+        _PLACES[place] = cut(found, name)
+    return _PLACES[place]
 
 
 def duck(sql: str) -> str:

@@ -247,6 +247,36 @@ def delete_files_edges(spark, d):
     return edges.select("repo", "file_path", *string("caller_id", "callee_id"), "callee_name", "line")
 
 
+def without_changed(spark, d):
+    index = index_of(spark, d)
+    none = Index(index.files.limit(0), index.nodes.limit(0), index.edges.limit(0), index.comments.limit(0))
+    return maintain.replace_file_rows(index, some_changed(spark, d), none)
+
+
+LEFT_NODES = f"SELECT n.repo, n.file_path, n.id, n.name FROM {{fx_nodes}} n WHERE NOT EXISTS (SELECT 1 FROM ({CHANGED}) c WHERE c.repo = n.repo AND c.file_path = n.file_path)"
+LEFT_COMMENTS = f"SELECT c.repo, c.node_id, c.text, c.source FROM {{fx_comments}} c JOIN ({LEFT_NODES}) n ON n.repo = c.repo AND n.id = c.node_id"
+
+
+@query(LEFT_NODES)
+def replace_file_nodes(spark, d):
+    return without_changed(spark, d).nodes.select("repo", "file_path", "id", "name")
+
+
+@query(LEFT_COMMENTS)
+def replace_file_comments(spark, d):
+    return without_changed(spark, d).comments.select("repo", "node_id", "text", "source")
+
+
+@query(LEFT_NODES)
+def delete_files_nodes(spark, d):
+    return maintain.delete_files(index_of(spark, d), some_changed(spark, d)).nodes.select("repo", "file_path", "id", "name")
+
+
+@query(LEFT_COMMENTS)
+def delete_files_comments(spark, d):
+    return maintain.delete_files(index_of(spark, d), some_changed(spark, d)).comments.select("repo", "node_id", "text", "source")
+
+
 @query("SELECT repo, file_path, CAST(caller_id AS VARCHAR) AS caller_id, CAST(callee_id AS VARCHAR) AS callee_id, callee_name, line FROM {fx_resolved}")
 def resolve_edges(spark, d):
     index = index_of(spark, d, False)
@@ -387,10 +417,11 @@ def callees_by_id(spark, d):
 # --- reports ---
 
 
-@query(
-    """SELECT f.repo, f.files, n.nodes, e.edges, c.comments, strftime(make_timestamp(f.last * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS last_indexed FROM (SELECT repo, COUNT(*) AS files, MAX(last_indexed) AS last FROM {fx_files} GROUP BY repo) f
+STATUS = """SELECT f.repo, f.files, n.nodes, e.edges, c.comments, strftime(make_timestamp(f.last * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS last_indexed FROM (SELECT repo, COUNT(*) AS files, MAX(last_indexed) AS last FROM {fx_files} GROUP BY repo) f
 JOIN (SELECT repo, COUNT(*) AS nodes FROM {fx_nodes} GROUP BY repo) n ON n.repo = f.repo JOIN (SELECT repo, COUNT(*) AS edges FROM {fx_edges} GROUP BY repo) e ON e.repo = f.repo JOIN (SELECT repo, COUNT(*) AS comments FROM {fx_comments} GROUP BY repo) c ON c.repo = f.repo"""
-)
+
+
+@query(STATUS)
 def index_status(spark, d):
     return reports.index_status(index_of(spark, d))
 
@@ -443,21 +474,45 @@ TEXTS = "SELECT repo, node_id, MIN(CASE WHEN source = 'original' THEN text END)
 
 
 @query(
-    both_ways(1)
-    + f""" SELECT n.repo, n.name, n.id, n.file_path || ':' || n.start_line || '-' || n.end_line AS location, n.signature, n.language, c.original AS comment, CASE WHEN c.original IS NOT NULL THEN 'original' END AS comment_source, c.made AS generated_description,
-p.name AS parent_class, COALESCE(u.callers, '') AS callers, COALESCE(w.callees, '') AS callees FROM {{rq_names}} q JOIN {{fx_nodes}} n ON n.repo = q.repo AND n.name = q.name LEFT JOIN ({TEXTS}) c ON c.repo = n.repo AND c.node_id = n.id
-LEFT JOIN {{fx_nodes}} p ON p.repo = n.repo AND p.id = n.parent_id LEFT JOIN {list_sql('up', 1, 'callers')} u ON u.repo = q.repo AND u.seed = q.name LEFT JOIN {list_sql('down', 1, 'callees')} w ON w.repo = q.repo AND w.seed = q.name"""
+    both_ways(2)
+    + """, parts AS (SELECT q.repo, q.name AS name_asked, 'symbol' AS part, p.id, CAST(NULL AS INT) AS line, CAST(NULL AS VARCHAR) AS callee_name, CAST(NULL AS VARCHAR) AS resolved, CAST(NULL AS VARCHAR) AS error FROM {rq_names} q JOIN {fx_first} p ON p.repo = q.repo AND p.name = q.name
+UNION ALL SELECT DISTINCT q.repo, q.name, 'callers', u.id, NULL, NULL, NULL, NULL FROM {rq_names} q JOIN up u ON u.repo = q.repo AND u.seed = q.name
+UNION ALL SELECT DISTINCT q.repo, q.name, 'callees', w.id, NULL, NULL, NULL, NULL FROM {rq_names} q JOIN down w ON w.repo = q.repo AND w.seed = q.name
+UNION ALL SELECT q.repo, q.name, 'outgoing', NULL, e.line, e.callee_name, CASE WHEN e.callee_id IS NULL THEN 'false' ELSE 'true' END, NULL FROM {rq_names} q JOIN {fx_first} p ON p.repo = q.repo AND p.name = q.name JOIN {fx_resolved} e ON e.repo = p.repo AND e.caller_id = p.id
+UNION ALL SELECT q.repo, q.name, 'incoming', e.caller_id, e.line, NULL, NULL, NULL FROM {rq_names} q JOIN {fx_first} p ON p.repo = q.repo AND p.name = q.name JOIN {fx_resolved} e ON e.repo = p.repo AND e.callee_id = p.id
+UNION ALL SELECT q.repo, q.name, 'error', NULL, NULL, NULL, NULL, '"""
+    + reports.UNKNOWN_NAME
+    + """' FROM {rq_names} q WHERE NOT EXISTS (SELECT 1 FROM {fx_first} p WHERE p.repo = q.repo AND p.name = q.name))
+SELECT repo, name_asked, part, CAST(id AS VARCHAR) AS id, CAST(line AS VARCHAR) AS line, callee_name, resolved, error FROM parts"""
+)
+def call_graph_rows(spark, d):
+    found = reports.call_graph_rows(index_of(spark, d), frame(spark, d, "rq_names"), 2)
+    return found.select("repo", "name_asked", "part", *string("id", "line"), "callee_name", *string("resolved"), "error")
+
+
+@query(
+    f"""SELECT q.repo, q.name, CAST(n.id AS VARCHAR) AS id, n.type, n.file_path, CAST(n.start_line AS VARCHAR) AS start_line, n.file_path || ':' || n.start_line || '-' || n.end_line AS location, n.signature, n.language, c.original AS comment, CASE WHEN c.original IS NOT NULL THEN 'original' END AS comment_source, c.made AS generated_description,
+p.name AS parent_class, p.type AS parent_type, p.file_path AS parent_path, CAST(p.start_line AS VARCHAR) AS parent_line, CASE WHEN n.id IS NULL THEN '{reports.UNKNOWN_NAME}' END AS error FROM {{rq_names}} q LEFT JOIN {{fx_nodes}} n ON n.repo = q.repo AND n.name = q.name LEFT JOIN ({TEXTS}) c ON c.repo = n.repo AND c.node_id = n.id
+LEFT JOIN {{fx_nodes}} p ON p.repo = n.repo AND p.id = n.parent_id"""
 )
 def context_report(spark, d):
     found = reports.context_report(index_of(spark, d), frame(spark, d, "rq_names"))
-    return found.select("repo", "name", "id", "location", "signature", "language", "comment", "comment_source", "generated_description", "parent_class", joined("callers", "file_path", "line", "name"), joined("callees", "file_path", "line", "name"))
+    return found.select("repo", "name", *string("id"), "type", "file_path", *string("start_line"), "location", "signature", "language", "comment", "comment_source", "generated_description", "parent_class", "parent_type", "parent_path", *string("parent_line"), "error")
+
+
+@query(
+    """SELECT DISTINCT e.repo, e.callee_name AS name_asked, 'callers' AS direction, n.id, n.name, n.file_path FROM {rq_names} q JOIN {fx_resolved} e ON e.repo = q.repo AND e.callee_name = q.name JOIN {fx_nodes} n ON n.repo = e.repo AND n.id = e.caller_id
+UNION ALL SELECT DISTINCT q.repo, q.name, 'callees', n.id, n.name, n.file_path FROM {rq_names} q JOIN {fx_nodes} o ON o.repo = q.repo AND o.name = q.name JOIN {fx_resolved} e ON e.repo = o.repo AND e.caller_id = o.id JOIN {fx_nodes} n ON n.repo = e.repo AND n.id = e.callee_id"""
+)
+def context_neighbours(spark, d):
+    return reports.context_neighbours(index_of(spark, d), frame(spark, d, "rq_names")).select("repo", "name_asked", "direction", "id", "name", "file_path")
 
 
 @query(
-    f"SELECT n.repo, n.name, n.id, n.file_path, n.start_line, COALESCE(c.original, c.made) AS comment, CASE WHEN c.original IS NOT NULL THEN 'original' WHEN c.made IS NOT NULL THEN 'generated' END AS comment_source FROM {{rq_names}} q JOIN {{fx_nodes}} n ON n.repo = q.repo AND n.name = q.name LEFT JOIN ({TEXTS}) c ON c.repo = n.repo AND c.node_id = n.id"
+    f"SELECT q.repo, q.name, CAST(n.id AS VARCHAR) AS id, n.file_path, CAST(n.start_line AS VARCHAR) AS start_line, COALESCE(c.original, c.made) AS comment, CASE WHEN c.original IS NOT NULL THEN 'original' WHEN c.made IS NOT NULL THEN 'generated' END AS comment_source, CASE WHEN n.id IS NULL THEN '{reports.UNKNOWN_NAME}' END AS error FROM {{rq_names}} q LEFT JOIN {{fx_nodes}} n ON n.repo = q.repo AND n.name = q.name LEFT JOIN ({TEXTS}) c ON c.repo = n.repo AND c.node_id = n.id"
 )
 def comment_report(spark, d):
-    return reports.comment_report(index_of(spark, d), frame(spark, d, "rq_names"))
+    return reports.comment_report(index_of(spark, d), frame(spark, d, "rq_names")).select("repo", "name", *string("id"), "file_path", *string("start_line"), "comment", "comment_source", "error")
 
 
 # --- comment generation ---
@@ -559,19 +614,57 @@ def fired_events(spark, d):
     return watch.fired_events(events(spark, d), GAP_MS, True).select("repo", "seq", "fires")
 
 
-@query(
-    f"""WITH moment AS (SELECT MAX(ts) - INTERVAL 10 DAY AS t FROM {{fx_events}}),
+PENDING = f"""WITH moment AS (SELECT MAX(ts) - INTERVAL 10 DAY AS t FROM {{fx_events}}),
 e AS (SELECT v.*, epoch_us(t) AS now, LEAD(epoch_us(ts)) OVER w AS nxt, LEAD(kind) OVER w AS next_kind FROM {{fx_events}} v, moment WHERE ts <= t WINDOW w AS (PARTITION BY repo, file_path ORDER BY ts, seq)),
 f AS (SELECT *, kind <> 'unlink' AND COALESCE(nxt, now) - epoch_us(ts) >= {GAP_MS * 1000} AS fired FROM e)
 SELECT repo, COUNT(*) FILTER (WHERE kind <> 'unlink' AND nxt IS NULL AND NOT fired) AS pending,
 COUNT(*) FILTER (WHERE kind <> 'unlink') - COUNT(*) FILTER (WHERE fired) - COUNT(*) FILTER (WHERE kind <> 'unlink' AND NOT fired AND next_kind = 'unlink') AS raw_counter FROM f GROUP BY repo"""
-)
+
+
+@query(PENDING)
 def pending_files(spark, d):
     e = events(spark, d)
     last = e.agg(F.max("ts")).first()[0]
     return watch.pending_files(e, F.lit(last) - F.expr("INTERVAL 10 DAYS"), GAP_MS, True)
 
 
+@query(f"SELECT s.*, COALESCE(p.pending, 0) AS pending FROM ({STATUS}) s LEFT JOIN ({PENDING}) p ON p.repo = s.repo")
+def status_report(spark, d):
+    return reports.status_report(index_of(spark, d), pending_files(spark, d))
+
+
+WATCHED = "regexp_matches(file_path, '\\.(py|ts)$')"
+
+
+@query(f"SELECT repo, file_path, seq FROM {{fx_events}} WHERE {WATCHED} AND NOT regexp_matches(file_path, '^src/u1[^/]*$')")
+def watched_events(spark, d):
+    e = events(spark, d)
+    kept = e.filter(watch.event_filter(F.col("file_path")))
+    return source_files.watch_kept(kept, e.select("repo").distinct().withColumn("pattern", F.lit("src/u1*"))).select("repo", "file_path", "seq")
+
+
+@query(
+    f"""SELECT repo, file_path, 'u_' || seq AS name FROM (SELECT repo, file_path, arg_max(kind, (ts, seq)) AS kind, arg_max(seq, (ts, seq)) AS seq FROM {{fx_events}} WHERE {WATCHED} GROUP BY repo, file_path) e WHERE kind <> 'unlink'"""
+)
+def applied_events(spark, d):
+    """All sessions of the events table applied to an index on disk as one micro-batch, and once more as after a failure."""
+    import uuid
+
+    from .schemas import empty_index
+    from .sources import store
+    from .tables import shared_dir
+
+    e = events(spark, d).filter(watch.event_filter(F.col("file_path")))
+    code = F.when(F.col("file_path").endswith(".py"), F.concat(F.lit("def u_"), F.col("seq").cast("string"), F.lit("():\n    0\n"))).otherwise(F.concat(F.lit("function u_"), F.col("seq").cast("string"), F.lit("() {\n}\n")))
+    last = e.groupBy("repo", "file_path").agg(F.max_by(code, F.struct("ts", "seq")).alias("source"))
+    batch = watch.batch_sessions(e, GAP_MS, True).join(last, ["repo", "file_path"])
+    path = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    store.write_index(empty_index(spark), path)
+    for _ in range(2):
+        watch.apply_batch(path, now_ms=7)(batch, 0)
+    return store.read_index(spark, path).nodes.select("repo", "file_path", "name")
+
+
 @query(SESSIONS)
 def stream_debounce(spark, d):
     """The stream's sessions, run to their end over the events table, with one event far in the future to close them."""
@@ -594,16 +687,139 @@ def stream_debounce(spark, d):
 # --- jobs ---
 
 
+def program_texts(spark, d):
+    """(repo, file_path, language, fx_key, source): an import, and a function for each order that calls one for each line item's part."""
+    calls = frame(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("calls"))
+    owners = frame(spark, d, "fx_files").select("repo", "file_path", "language", "fx_key")
+    orders = frame(spark, d, "orders").select(F.col("o_custkey").alias("fx_key"), F.col("o_orderkey").alias("k")).join(calls, "k", "left")
+    python = F.col("language") == "python"
+    number = F.col("k").cast("string")
+    line = lambda text: F.concat(F.when(python, "    ").otherwise("  "), text, F.when(python, "\n").otherwise(";\n"))
+    called = F.transform(F.coalesce("calls", F.array().cast(orders.schema["calls"].dataType)), lambda c: line(F.concat(F.lit("h"), c["l_partkey"].cast("string"), F.lit("()"))))
+    function = F.concat(
+        F.when(F.col("k") % 3 < 2, F.concat(F.when(python, "# about ").otherwise("// about "), number, F.lit("\n"))).otherwise(""),
+        F.when(python, F.concat(F.lit("def h"), number, F.lit("():\n"))).otherwise(F.concat(F.lit("function h"), number, F.lit("() {\n"))),
+        F.when(python & (F.col("k") % 4 == 0), F.concat(F.lit('    """ does '), number, F.lit(' """\n'))).otherwise(""),
+        F.array_join(called, ""),
+        F.when(python, "    0\n").otherwise("}\n"),
+    )
+    chunks = orders.join(owners, "fx_key").groupBy("fx_key").agg(F.array_sort(F.collect_list(F.struct("k", function.alias("x")))).alias("c"))
+    head = F.concat(F.lit("import m"), F.col("fx_key").cast("string"), F.when(python, "\n").otherwise(";\n"))
+    body = F.array_join(F.transform(F.coalesce("c", F.array().cast(chunks.schema["c"].dataType)), lambda c: c["x"]), "")
+    return owners.join(chunks, "fx_key", "left").select("repo", "file_path", "language", "fx_key", F.concat(head, body).alias("source"))
+
+
+_PROGRAMS: dict[tuple[str, str, str], tuple[Index, DataFrame]] = {}
+
+
+def program_index(spark, d) -> tuple[Index, DataFrame]:
+    """The full index of ``program_texts`` and its summary, written once for a folder of tables in an application."""
+    from .schemas import empty_index
+    from .tables import cut, shared_dir
+
+    place = (spark.sparkContext.applicationId, shared_dir(spark), d)
+    if place not in _PROGRAMS:
+        index, summary = indexing.full_index(empty_index(spark), program_texts(spark, d).select("repo", "file_path", "source"), now_ms=7)
+        _PROGRAMS[place] = Index(**{name: cut(t, f"program-{name}") for name, t in index.tables().items()}), cut(summary, "summary")
+    return _PROGRAMS[place]
+
+
+PARSED = "(SELECT f.repo, f.file_path, f.language, f.fx_key, o_orderkey AS k FROM {orders} JOIN {fx_files} f ON f.fx_key = o_custkey WHERE f.language <> 'ruby')"
+CALLS = f"(SELECT c.repo, c.file_path, c.fx_key, c.k, l_partkey AS p, t.k AS target, t.fx_key AS target_key FROM {{lineitem}} JOIN {PARSED} c ON c.k = l_orderkey LEFT JOIN {PARSED} t ON t.repo = c.repo AND t.k = l_partkey WHERE c.language <> 'python')"  # Python's kind of call isn't among the kinds that make edges
+
+
 @query(
-    """WITH calls AS (SELECT f.repo, l.l_partkey AS p FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {fx_files} f ON f.fx_key = o.o_custkey)
-SELECT CAST((SELECT COUNT(*) FROM {fx_files} f WHERE language = 'python') AS BIGINT) AS files_processed, CAST((SELECT COUNT(*) FROM {fx_pieces} WHERE language = 'python') AS BIGINT) AS nodes_found, CAST(0 AS BIGINT) AS edges_resolved"""
+    f"""SELECT (SELECT COUNT(*) FROM {{fx_files}} WHERE language <> 'ruby') AS files_processed, (SELECT COUNT(*) FROM {PARSED} p) + (SELECT COUNT(*) FROM {{fx_files}} WHERE language <> 'ruby') AS nodes_found,
+(SELECT COUNT(*) FROM {CALLS} c WHERE target IS NOT NULL) AS edges_resolved"""
 )
 def full_index_summary(spark, d):
-    from .schemas import empty_index
+    return program_index(spark, d)[1]
+
+
+@query(f"SELECT repo, file_path, 'h' || k AS caller, 'h' || p AS callee_name, CASE WHEN target IS NULL THEN 'open' ELSE 'h' || target END AS callee FROM {CALLS} c")
+def full_index_edges(spark, d):
+    index, _ = program_index(spark, d)
+    named = lambda c, a: index.nodes.select("repo", F.col("id").alias(c), F.col("name").alias(a))
+    edges = index.edges.join(named("caller_id", "caller"), ["repo", "caller_id"]).join(named("callee_id", "callee"), ["repo", "callee_id"], "left")
+    return edges.select("repo", "file_path", "caller", "callee_name", F.coalesce("callee", F.lit("open")).alias("callee"))
+
+
+@query("SELECT repo, file_path, 'import m' || fx_key || CASE WHEN language = 'python' THEN '' ELSE ';' END AS name, 'import' AS type, 'import m' || fx_key || CASE WHEN language = 'python' THEN '' ELSE ';' END AS signature, '' AS body_text FROM {fx_files} WHERE language <> 'ruby'")
+def import_rows(spark, d):
+    return program_index(spark, d)[0].nodes.filter("type = 'import'").select("repo", "file_path", "name", "type", "signature", "body_text")
+
+
+@query(f"SELECT * FROM (SELECT repo, file_path, 'h' || k AS name, CASE WHEN language = 'python' AND k % 4 = 0 THEN 'does ' || k WHEN k % 3 < 2 THEN 'about ' || k END AS text, 'original' AS source FROM {PARSED} p) t WHERE text IS NOT NULL")
+def original_comments(spark, d):
+    index, _ = program_index(spark, d)
+    return index.comments.join(index.nodes.select("repo", F.col("id").alias("node_id"), "file_path", "name"), ["repo", "node_id"]).select("repo", "file_path", "name", "text", "source")
+
+
+def edited_texts(spark, d):
+    """``program_texts`` with every file whose key leaves 1 by 3 rewritten to one function."""
+    key = F.col("fx_key").cast("string")
+    code = F.when(F.col("language") == "python", F.concat(F.lit("def new"), key, F.lit("():\n    0\n"))).otherwise(F.concat(F.lit("function new"), key, F.lit("() {\n}\n")))
+    return program_texts(spark, d).withColumn("source", F.when(F.col("fx_key") % 3 == 1, code).otherwise(F.col("source"))).select("repo", "file_path", "source")
+
+
+@query(
+    f"""SELECT repo, file_path, 'h' || k AS name, 'function' AS type FROM {PARSED} p WHERE fx_key % 3 <> 1 UNION ALL SELECT repo, file_path, 'import m' || fx_key || CASE WHEN language = 'python' THEN '' ELSE ';' END, 'import' FROM {{fx_files}} WHERE language <> 'ruby' AND fx_key % 3 <> 1
+UNION ALL SELECT repo, file_path, 'new' || fx_key, 'function' FROM {{fx_files}} WHERE language <> 'ruby' AND fx_key % 3 = 1"""
+)
+def incremental_nodes(spark, d):
+    return indexing.incremental_update(program_index(spark, d)[0], edited_texts(spark, d), now_ms=8)[0].nodes.select("repo", "file_path", "name", "type")
+
+
+@query(f"SELECT repo, file_path, 'h' || p AS callee_name, CASE WHEN target IS NULL OR target_key % 3 = 1 THEN 'open' ELSE 'resolved' END AS state FROM {CALLS} c WHERE fx_key % 3 <> 1")
+def incremental_edges(spark, d):
+    edges = indexing.incremental_update(program_index(spark, d)[0], edited_texts(spark, d), now_ms=8)[0].edges
+    return edges.select("repo", "file_path", "callee_name", F.when(F.col("callee_id").isNull(), "open").otherwise("resolved").alias("state"))
+
+
+@query("SELECT repo, file_path, fx_key % 3 = 1 AND language <> 'ruby' AS reindexed, CASE WHEN fx_key % 3 = 1 AND language <> 'ruby' THEN 'indexed anew' ELSE 'unchanged, or no parser takes it' END AS message FROM {fx_files}")
+def reindex_report(spark, d):
+    return indexing.reindex_report(program_index(spark, d)[0], edited_texts(spark, d), now_ms=8)[1]
+
+
+def typed(index: Index) -> Index:
+    """The fixtures' index with ids as text, as an index on disk has them."""
+    kinds = {"files": FILES, "nodes": NODES, "edges": EDGES, "comments": COMMENTS}
+    return Index(**{name: t.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds[name])) for name, t in index.tables().items()})
+
+
+@query("SELECT repo, CAST(id AS VARCHAR) AS id, name FROM {fx_nodes} WHERE repo <> 'r1' OR id % 2 = 0")
+def stored_index(spark, d):
+    """An index written to a folder, one repo of it replaced, then read again."""
+    import uuid
+
+    from .sources import store
+    from .tables import shared_dir
+
+    path, index = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", typed(index_of(spark, d))
+    store.write_index(index, path)
+    even = Index(**{name: t.filter("repo = 'r1'") for name, t in store.read_index(spark, path).tables().items()})
+    store.write_index(even.with_(nodes=even.nodes.filter("CAST(id AS BIGINT) % 2 = 0")), path)
+    return store.read_index(spark, path).nodes.select("repo", "id", "name")
+
+
+@query("SELECT repo, CAST(id AS VARCHAR) AS id, name FROM {fx_nodes}")
+def appended_rows(spark, d):
+    """Rows added to an index on disk, all or none: a table with one bad row adds nothing, then the same table without it is added whole."""
+    import uuid
 
-    texts = frame(spark, d, "fx_files").select("repo", "file_path", "language").join(source_texts(spark, d), ["repo", "file_path"], "left")
-    texts = texts.filter("language = 'python'").select("repo", "file_path", F.coalesce("source", F.lit("")).alias("source"))
-    return indexing.full_index(empty_index(spark), texts, now_ms=7)[1]
+    from .sources import store
+    from .tables import shared_dir
+
+    path, index = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", typed(index_of(spark, d))
+    store.write_index(index.with_(nodes=index.nodes.filter("CAST(id AS BIGINT) % 2 = 0")), path)
+    none = Index(index.files.limit(0), index.nodes, index.edges.limit(0), index.comments.limit(0))
+    more = index.nodes.filter("CAST(id AS BIGINT) % 2 = 1")
+    try:
+        store.add_rows(path, none.with_(nodes=more.withColumn("id", F.when(F.rand(5) < 0.5, F.col("id")))))
+    except ValueError:
+        pass
+    store.add_rows(path, none.with_(nodes=more))
+    return store.read_index(spark, path).nodes.select("repo", "id", "name")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
