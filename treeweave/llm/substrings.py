@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, staged
+from .shared import fresh, let_go, staged
 
 PARTS, WORDS, WINDOW = 2, 15, 8
 #: A sentence with the white space after it: up to end marks before white space, or a line's end.
@@ -91,6 +91,8 @@ def spans(parts: list[str], sizes: list[int]) -> tuple[list[int], list[int], lis
     return firsts, counts, hashes
 
 
+#: Ids with several texts that are broadcast at most.
+SHARED_IDS = 100_000
 #: What tells documents apart: see ``identity``.
 KEYS = ("_id", "_t1", "_t2")
 SPANS = T.StructType([T.StructField(c, T.LongType()) for c in (*KEYS, "place", "h")])
@@ -102,6 +104,7 @@ def span_table(docs: DataFrame) -> DataFrame:
     """A row for each span of ``docs`` (_id, _t1, _t2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -128,6 +131,25 @@ def same(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inne
     return left.join(other, on, how).drop(*(f"{c} of right" for c in columns))
 
 
+def shorter_keys(keyed: DataFrame, own: list[str]) -> DataFrame:
+    """``keyed`` with zeros for the hashes (columns ``own`` but the first) of documents whose id has no other text: an id is enough there.
+
+    Spans carry a document's key, and zeros are shuffled for next to nothing. Where too many ids have several texts to be broadcast, all keep them.
+    """
+    key, *hashes = own
+    differ = [F.min(c) != F.max(c) for c in hashes]
+    shared = staged(keyed.select(*own).groupBy(key).agg((differ[0] | differ[1]).alias("several")).filter("several").select(key), "shared-ids")
+    n = shared.limit(SHARED_IDS + 1).count()
+    if n > SHARED_IDS:
+        return keyed
+    zero = {c: F.when(F.col(c).isNotNull(), F.lit(0).cast("long")) for c in hashes}
+    if not n:
+        return keyed.withColumns(zero)
+    (flag,) = fresh(keyed.columns, "_several")
+    marked = same(keyed, F.broadcast(shared.withColumn(flag, F.lit(True))), [key], "left")
+    return marked.withColumns({c: F.when(F.col(flag), F.col(c)).otherwise(zero[c]) for c in hashes}).drop(flag)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeats taken out of ``text``, and ``n_removed``, the parts taken.
 
@@ -140,6 +162,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     kept = [c for c in docs.columns if c != "n_removed"]
     *own, marks = fresh(kept, *KEYS, "_spans")
     keyed = docs.select(*(F.col(f"`{c}`") for c in kept), *(x.alias(c) for c, x in zip(own, identity(F.col(f"`{text}`"), F.col(f"`{doc_id}`")), strict=True)))
+    keyed = shorter_keys(keyed, own)
     found = staged(span_table(keyed.select(*(F.col(c).alias(k) for c, k in zip(own, KEYS, strict=True)), F.col(f"`{text}`").alias("text"))), "spans")
     # hashes alone are counted, before the shuffle, so a span that a third of the documents share is a row for each task; the
     # join back is to one row a span, so Spark can split the rows of such a span; places are shuffled with repeated spans only
