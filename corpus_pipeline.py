@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from treeweave.llm import langid, neardup, packing, substrings, toxicity
 from treeweave.llm.queries import tokenizer, toxicity_model
-from treeweave.llm.shared import fresh, held_out, staged, table
+from treeweave.llm.shared import fresh, held_out, small_batches, staged, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter, and null texts, go."""
+    small_batches(spark)
     learned = langid.training_texts(docs, ~held_out(F.col("doc_id")))
     names = fresh(docs.columns, "_lang", "_score")
     return langid.identify(docs, learned, names=names).filter(F.col(names[0]) != langid.UNDETERMINED).select(docs.columns)
@@ -23,6 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't score as toxic."""
+    small_batches(spark)
     names = fresh(docs.columns, "_score", "_predicted")
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, names=names).filter(F.col(names[1]) == 0).select(docs.columns)
@@ -30,6 +32,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the smallest id."""
+    small_batches(spark)
     own = fresh(docs.columns, *substrings.KEYS)
     kept = neardup.near_duplicates(docs).filter("kept").select(*(F.col(k).alias(c) for k, c in zip(substrings.KEYS, own, strict=True))).distinct()
     keyed = docs.select("*", *(x.alias(c) for c, x in zip(own, substrings.identity(F.col("text"), F.col("doc_id")), strict=True)))
@@ -38,11 +41,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the sentences of repeated spans; ``n_chars`` follows the text."""
+    small_batches(spark)
     return substrings.remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of at most 2048 ids."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer(), 2048)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import shuffle_partitions, staged
+from .shared import let_go, shuffle_partitions, staged
 from .substrings import KEYS, identity, same
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 12, 4
@@ -125,6 +125,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     width = 1 << (COUNTER_BITS - CHUNKS.bit_length() + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         table = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch):

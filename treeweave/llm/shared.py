@@ -35,6 +35,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python by ``rows`` rather than by Spark's default of 10,000, unless the session has a setting of its own: a batch is held several times over."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,6 +85,13 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     return _HELD["value"]
 
 
+def let_go() -> None:
+    """Forget what an earlier operator left in this Python worker."""
+    if _HELD:
+        _HELD.clear()
+        release()
+
+
 def release() -> None:
     """Give memory that Python no longer uses back to the system, where its C library can."""
     gc.collect()
