@@ -1,10 +1,15 @@
 """Dedup, language, toxicity, extraction and URL operators on small tables, with nulls, repeats, ties and empty input."""
 
+import html as entities
+import re
+import time
+import zlib
+
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from treeweave.llm import html, langid, neardup, substrings, toxicity, urls
+from treeweave.llm import html, langid, neardup, queries, substrings, toxicity, urls
 from treeweave.llm.components import components
 
 DOCS = "doc_id long, text string, score string"
@@ -146,6 +151,86 @@ def test_phrases_are_longest_matches():
         assert p.phrases([raw])[0][0, 0] == n
 
 
+def test_phrases_of_long_texts_are_those_of_one_reading(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = {"x": "".join(rng.choice(list("abc "), 400)), "y": "".join(rng.choice(list("abdé "), 900))}
+    read = ["".join(rng.choice(list("abcdéf "), int(rng.integers(0, 400)))) for _ in range(60)]
+
+    def longest_matches(train, text):
+        i = n = 0
+        while i < len(text):
+            k = 1
+            while i + k < len(text) and text[i : i + k + 1] in train:
+                k += 1
+            i, n = i + k, n + 1
+        return n
+
+    for run, dense in ((5, 1 << 24), (64, 0), (2048, 1 << 24)):
+        monkeypatch.setattr(langid, "RUN", run)
+        monkeypatch.setattr(langid, "DENSE", dense)
+        p = langid.Parser(texts)
+        plain = lambda t: "".join(map(chr, p.codes(t)))
+        assert p.phrases(read)[0].tolist() == [[longest_matches(plain(texts[k]), plain(t)) for k in p.languages] for t in read]
+
+
+def test_language_accuracy_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["lang_pred"] for r in queries.op6_cross_parsing(spark, "/root/testdata/sf0.01").collect()}
+    unseen = [r for r in docs.collect() if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert np.mean([got[r["doc_id"]] == r["lang"] for r in unseen]) > 0.98
+
+
+def test_toxicity_on_the_given_documents(spark):
+    d = "/root/testdata/sf0.01"
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = {r["doc_id"]: r["predicted"] for r in queries.op9_gated_recurrent(spark, d).collect()}
+    unseen = [i for i in toxic if zlib.crc32(str(i).encode()) % 4 == 2]
+    clean = [got[i] for i in unseen if not toxic[i]]
+    assert np.mean(clean) < 0.03 and np.mean([got[i] for i in unseen if toxic[i]]) > 0.5  # some labels say toxic of texts that have nothing of it
+
+
+def test_main_text_of_the_given_pages_and_what_the_cut_overrules(spark):
+    """A page's article, block by block, as a plain reading of its markup gives it; and blocks that the cut labels against the classifier."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+
+    def article(page):
+        inner = page[page.index("<article>") + 9 : page.index("</article>")]
+        parts = [re.sub(r"</?b>", "", p.replace("<br>", " ")) for p in re.split(r"</?(?:p|h1)>", inner)]
+        return " ".join(" ".join(entities.unescape(p).split()) for p in parts if p.strip())
+
+    want = {r["page_id"]: article(r["html"]) for r in pages}
+    got = queries.op5_minimum_cut(spark, "/root/testdata/sf0.01").collect()
+    assert all(r["text"] == want[r["page_id"]] and r["n_chars"] == len(r["text"]) for r in got) and len(got) == len(want)
+    overruled = 0
+    for r in pages:
+        _, x, edges = html.graph(r["html"])
+        content = html.labelled(x, edges, html.PRIOR)
+        alone = (x @ html.PRIOR > 0).tolist()
+        overruled += sum(a != b for a, b in zip(content, alone, strict=True))
+        assert " ".join(t for t, c in zip(html.graph(r["html"])[0], content, strict=True) if c) == want[r["page_id"]]
+    assert overruled > 0
+
+
+def test_short_lines_follow_their_neighbours():
+    story = "<p>The first paragraph, which is long enough to be told from a menu, ends here.</p>"
+    listed = f"<body><div class=post>{story}<ul><li>One</li><li>Two</li></ul>{story}</div></body>"
+    _, x, edges = html.graph(listed)
+    alone, content = x @ html.PRIOR, html.labelled(x, edges, html.PRIOR)
+    assert (alone[1:3] < 0.5).all() and all(content)
+
+
+def test_many_blocks_and_deep_pages_take_linear_time():
+    flat = lambda n: "<body>" + "".join(f"<p>Paragraph {i}, with words.</p>" + "<div class=ad>ad</div>" * (i % 7 == 0) for i in range(n)) + "</body>"
+
+    def seconds(page):
+        start = time.process_time()
+        html.main_text(page, html.PRIOR)
+        return time.process_time() - start
+
+    assert seconds(flat(20_000)) < 8 * seconds(flat(5_000)) + 0.5
+    assert seconds("<div>" * 20_000 + "deep text" + "</div>" * 20_000) < 5
+
+
 def test_gradients():
     net = toxicity.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -319,3 +404,31 @@ def test_comments_that_outweigh_the_article():
             assert html.main_text(around, html.PRIOR) == text, (beside, page, "around")
         if "sidebar" not in beside:
             assert "Reader" not in html.main_text(f"<body>{story}{beside}{readers}{end}</body>", html.PRIOR)
+
+
+def test_null_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(20)
+    passage = words(rng, 60)
+    texts = [" ".join([*words(rng, 40), *passage, *words(rng, 40)]) for _ in range(3)]
+    rows = [(None, texts[0], 7, "a"), (None, texts[1], 8, "b"), (-(2**63), texts[2], 9, "c"), (None, texts[0], 7, "a"), (None, None, 1, "d"), (None, "", 2, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _spans string").withColumns({"_t1": F.lit(1), "_several": F.lit(2), "h": F.lit(3), "place": F.lit(4)})
+    out = substrings.remove_repeats(docs)
+    assert out.columns == [*docs.columns, "n_removed"]
+    got = {(r["doc_id"], r["_id"]): r for r in out.collect()}
+    assert len(got) == 5 and out.count() == 6
+    whole = [r for r in got.values() if r["text"] in texts]
+    assert len(whole) == 1 and whole[0]["doc_id"] is None and whole[0]["n_removed"] == 0  # null comes first; of two null ids the smaller hash
+    assert got[None, 1]["text"] is None and got[None, 2]["text"] == ""
+    near = {(r["_id"], r["class_id"], r["copies"]) for r in neardup.near_duplicates(docs.select("doc_id", "text")).collect()}
+    assert (-(2**63), -(2**63), 1) in near and (None, None, 2) in near
+
+
+def test_ids_with_several_texts_stay_apart_however_many(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    passage = " ".join(words(rng, 70))
+    rows = [(i // 2, passage + " " + " ".join(words(rng, 30)), "x") for i in range(20)] + [(50, passage, "x")]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = lambda: sorted((r["doc_id"], r["text"], r["n_removed"]) for r in substrings.remove_repeats(docs).collect())
+    few = found()
+    monkeypatch.setattr(substrings, "SHARED_IDS", 3)
+    assert found() == few and sum(n == 0 for _, _, n in few) == 1

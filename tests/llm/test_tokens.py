@@ -29,8 +29,25 @@ def test_automaton_spells_as_the_library(library):
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice("aeinrtsho lmd'éß.0<|>\n") for _ in range(rng.randint(1, 60))) for _ in range(800)]
     encoder = bpe.Encoder(PATH)
-    for t in texts:
-        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    texts += ["".join(chr(0x4E00 + rng.randrange(500)) for _ in range(20_000))]  # one word
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_words_alone_and_together():
+    rng = random.Random(2)
+    automaton = bpe.Automaton(PATH)
+    words = ["".join(rng.choice("aeinrtshoulmdéß!") for _ in range(rng.randint(1, 40))).encode() for _ in range(500)]
+    assert [np.frombuffer(p, "<u4").tolist() for p in automaton.words(words)] == [automaton.word(w) for w in words]
+
+
+def test_remembered_words_have_a_bound(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 190 * 40)
+    encoder, rng = bpe.Encoder(PATH), random.Random(3)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice("abc") for _ in range(3)) for _ in range(12)) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.young) + len(encoder.old) < 120
 
 
 def test_gadgets_in_order():
@@ -38,9 +55,12 @@ def test_gadgets_in_order():
     a = bpe.Automaton.__new__(bpe.Automaton)
     vocab = {"a": 0, "b": 1, "aa": 2, "ab": 3}
     a.end, a._cut = "", {}
+    a.met, a.free = np.full(16, -1, np.int64), np.zeros(16, bool)
     a._compile(vocab, [(0, 0, 2), (0, 1, 3)])
     a._spell(vocab)
-    assert [a.word(w) for w in ("aaa", "aab", "aaab", "ba", "b")] == [[2, 0], [2, 1], [2, 3], [1, 0], [1]]
+    words, paths = [b"aaa", b"aab", b"aaab", b"ba", b"b"], [[2, 0], [2, 1], [2, 3], [1, 0], [1]]
+    assert [a.word(w) for w in words] == paths
+    assert [np.frombuffer(p, "<u4").tolist() for p in a.words(words)] == paths
     assert len(a.parent) == 3  # a state for each gadget beside the first
 
 
@@ -96,3 +116,12 @@ def test_packing(spark, library):
     assert packing.pack_documents(docs.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         packing.assign_sequences(spark.createDataFrame([(1, 9)], "doc_id long, length long"), 8)
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    pieces = spark.range(500).select((F.col("id") % 60 + 1).alias("length"), "id").withColumns({c: F.lit(i) for i, c in enumerate(("_salt", "_n", "_k", "_rank", "_base"))})
+    got = packing.assign_sequences(pieces, 64)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"] and got.count() == 500
+    for _, rows in got.toPandas().groupby("sequence_id"):
+        ends = sorted((r.offset, r.offset + r.length) for r in rows.itertuples())
+        assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:])) and ends[-1][1] <= 64

@@ -21,7 +21,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .bpe import token_batches
-from .shared import shuffle_partitions, staged
+from .shared import fresh, staged
+
+#: Rows of a (length, salt) group, about, when all rows have one length: what one task numbers.
+SALTED = 2_000_000
 
 PIECE = T.StructType(
     [
@@ -126,11 +129,12 @@ def assign_sequences(pieces: DataFrame, capacity: int = 2048, length: str = "len
     numbers come from the groups' counts.
     """
     spark = pieces.sparkSession
-    salts = max(8, shuffle_partitions(spark))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in pieces.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int"))
-    groups = salted.groupBy(length, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    groups = staged(groups, "lengths")
-    histogram = {r[0]: r[1] for r in groups.groupBy(length).agg(F.sum("_n")).collect()}  # a row for each length: at most `capacity`
+    salts = max(8, -(-pieces.count() // SALTED))
+    salt, n_, base_, k_, rank_ = fresh(pieces.columns, "_salt", "_n", "_base", "_k", "_rank")
+    order = [F.col(f"`{c}`") for c, t in pieces.dtypes if not t.startswith("map")]
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    groups = staged(salted.groupBy(length, salt).agg(F.count(F.lit(1)).alias(n_)), "lengths")
+    histogram = {r[0]: r[1] for r in groups.groupBy(length).agg(F.sum(n_)).collect()}  # a row for each length: at most `capacity`
     if any(n is None or not 1 <= n <= capacity for n in histogram):
         raise ValueError(f"lengths must run from 1 to {capacity}")
     plan = best_two_fit(histogram, capacity)
@@ -146,13 +150,12 @@ def assign_sequences(pieces: DataFrame, capacity: int = 2048, length: str = "len
             at += n * u
         first += times
     places = {n: np.array(x, np.int64) for n, x in starts.items()}
-    base = groups.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    order = [F.col(f"`{c}`") for c, t in pieces.dtypes if not t.startswith("map")]
+    before = Window.partitionBy(length).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    base = groups.select(length, salt, F.coalesce(F.sum(n_).over(before), F.lit(0)).alias(base_))
     numbered = (
-        salted.withColumn("_k", F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*order)))
-        .join(F.broadcast(base.select(length, "_salt", "_base")) if len(histogram) * salts <= 500_000 else base.select(length, "_salt", "_base"), [length, "_salt"])
-        .withColumn("_rank", F.col("_base") + F.col("_k") - 1)
-        .select(*(F.col(f"`{c}`") for c in pieces.columns), "_rank")
+        salted.withColumn(k_, F.row_number().over(Window.partitionBy(length, salt).orderBy(*order)))
+        .join(F.broadcast(base) if len(histogram) * salts <= 500_000 else base, [length, salt])
+        .select(*(F.col(f"`{c}`") for c in pieces.columns), (F.col(base_) + F.col(k_) - 1).alias(rank_))
     )
     held = spark.sparkContext.broadcast(places)  # some tens of thousands of rows of 40 bytes, bounded by the number of lengths
 
@@ -161,11 +164,11 @@ def assign_sequences(pieces: DataFrame, capacity: int = 2048, length: str = "len
             sequence, offset = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
             for n, rows in x.groupby(length).indices.items():
                 p = held.value[n]
-                rank = x["_rank"].to_numpy()[rows]
+                rank = x[rank_].to_numpy()[rows]
                 at = p[np.searchsorted(p[:, 0], rank, "right") - 1]
                 sequence[rows] = at[:, 2] + (rank - at[:, 0]) // at[:, 1]
                 offset[rows] = at[:, 3] + (rank - at[:, 0]) % at[:, 1] * n
-            yield x.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
+            yield x.drop(columns=rank_).assign(sequence_id=sequence, offset=offset)
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return numbered.mapInPandas(place, schema)

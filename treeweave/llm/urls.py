@@ -15,10 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import fresh, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Filters larger than this aren't put into literals; the first level is then made larger, so that fewer keys pass it.
+#: No filter in a literal is larger than this. Where the second level would be, the first is made larger, so that fewer keys pass it.
 MOST_BITS = 1 << 20
 PROBES = 4
 
@@ -75,7 +75,7 @@ def build_cascade(listed: list[str], universe: DataFrame, bits_per_key: int = 16
     """Filters, as 64-bit words, that tell the listed keys from all others of ``universe`` (a column ``key``, repeats allowed).
 
     ``listed`` is the user's list, so small; the universe is read once for level 1, and only what passes it is kept, in
-    a staged table. Should that be too much for a literal, level 1 gets four times the bits and is built again.
+    a staged table. Should that be too much for a literal, level 1 gets four times the bits and is built again; an error if that has no room either.
     """
     if not listed:
         return []
@@ -84,8 +84,10 @@ def build_cascade(listed: list[str], universe: DataFrame, bits_per_key: int = 16
         levels = [filter_words(key_table(universe.sparkSession, listed), 1, words)]
         false = staged(universe.filter(passes(F.col("key"), 1, levels[0]) & ~F.col("key").isin(listed)).distinct(), "false-keys")
         n = false.count()
-        if n * bits_per_key <= MOST_BITS or 64 * words >= MOST_BITS:
+        if n * bits_per_key <= MOST_BITS:
             break
+        if 4 * 64 * words > MOST_BITS:
+            raise ValueError(f"{len(listed)} rules are too many for filters in literals: {n} keys of the corpus pass the largest first level")
         words *= 4
     sides = [key_table(universe.sparkSession, listed), false]  # what the odd and the even levels hold
     while n:
@@ -121,11 +123,12 @@ def judge_urls(pages: DataFrame, allow: list[str], block: list[str], url: str =
         return pages.withColumns(fields | {"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
     universe = pages.select(F.explode(rule_keys(fields["host"], fields["path"], lengths)).alias("key"))
     blocked, allowed = build_cascade(block, universe), build_cascade(allow, universe)
-    fits = F.filter(F.col("_keys"), lambda k: listed_in(k, blocked) | listed_in(k, allowed))
+    (keys,) = fresh([*pages.columns, *fields, "rule", "verdict"], "_keys")
+    fits = F.filter(F.col(keys), lambda k: listed_in(k, blocked) | listed_in(k, allowed))
     return (
         pages.withColumns(fields)
-        .withColumn("_keys", rule_keys(F.col("host"), F.col("path"), lengths))
+        .withColumn(keys, rule_keys(F.col("host"), F.col("path"), lengths))
         .withColumn("rule", F.get(fits, F.lit(0)))
         .withColumn("verdict", F.when(F.col("rule").isNotNull() & listed_in(F.col("rule"), blocked), "block").otherwise("allow"))
-        .drop("_keys")
+        .drop(keys)
     )
