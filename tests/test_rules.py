@@ -191,3 +191,17 @@ def test_limits_are_checked(spark):
     asked = spark.createDataFrame([("r", "f", None, 101)], "repo string, query string, type string, limit int")
     with pytest.raises(ValueError):
         lookup.search_nodes(index.nodes, asked)
+
+
+def test_innermost_of_nested_symbols(spark):
+    # class 1-9 holds function 2-6, which holds function 3-4 and call 5; call 7; function 8-8; call 10 is outside of all
+    nodes = {1: ("class_declaration", 9), 2: ("function_declaration", 6), 3: ("function_declaration", 4), 4: ("call_expression", 4), 5: ("call_expression", 5), 6: ("call_expression", 6), 7: ("call_expression", 7), 8: ("function_declaration", 8), 10: ("call_expression", 10)}
+    rows = [("r", "f", "x", n, None, 0, kind, None, 0, 0, 0, 0, last, "") for n, (kind, last) in nodes.items()] + [("r", "g", "x", 4, None, 0, "call_expression", None, 0, 0, 0, 0, 4, "")]
+    syntax = spark.createDataFrame(rows, SYNTAX)
+
+    def inside(types, kind):
+        return {(r["file_path"], r["node_id"]): r["outer_id"] for r in extract.enclosing(syntax, syntax.filter(F.col("kind") == kind), types).collect()}
+
+    assert inside(["function"], "call_expression") == {("f", 4): 3, ("f", 5): 2, ("f", 6): 2}
+    assert inside(["function", "class"], "call_expression") == {("f", 4): 3, ("f", 5): 2, ("f", 6): 2, ("f", 7): 1}
+    assert inside(["function", "class"], "function_declaration") == {("f", 2): 1, ("f", 3): 2, ("f", 8): 1}

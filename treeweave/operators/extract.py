@@ -1,13 +1,14 @@
 """Symbols and calls from flattened syntax trees (``schemas.SYNTAX``).
 
-All joins are on (repo, file_path) and a node id of that file, so one partitioning by file serves them all. Containment is an
-interval test on pre-order numbers, bounded by the file's size.
+All joins are on (repo, file_path) and a node id of that file, so one partitioning by file serves them all. Containment is read off
+pre-order numbers, file by file.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import trim
 from ..schemas import NODES, check_range
@@ -103,10 +104,20 @@ def symbol_names(syntax: DataFrame) -> DataFrame:
 
 
 def enclosing(syntax: DataFrame, inner: DataFrame, types: list[str]) -> DataFrame:
-    """(repo, file_path, node_id, outer_id) for each row of ``inner`` inside a symbol of these types: the innermost one's node id."""
-    outer = syntax.withColumn("type", classify(F.col("kind"))).filter(F.col("type").isin(types)).select(*FILE, F.col("node_id").alias("outer_id"), "last_desc")
-    inside = inner.select(*FILE, "node_id").join(outer, FILE).filter((F.col("outer_id") < F.col("node_id")) & (F.col("node_id") <= F.col("last_desc")))
-    return inside.groupBy(*FILE, "node_id").agg(F.max("outer_id").alias("outer_id"))
+    """(repo, file_path, node_id, outer_id) for each row of ``inner`` inside a symbol of these types: the innermost one's node id.
+
+    One pass over a file's symbols and inner nodes in page order counts how many symbols are open; of symbols that are equally deep
+    the last one begun is the one still open. So a file costs its nodes, sorted, not their pairs.
+    """
+    outer = syntax.withColumn("type", classify(F.col("kind"))).filter(F.col("type").isin(types))
+    event = lambda at, turn, by, outer_id: F.struct(at.cast("long").alias("at"), F.lit(turn).alias("turn"), F.lit(by).alias("by"), outer_id.cast("long").alias("outer_id"))
+    ends = F.explode(F.array(event(F.col("node_id"), 1, 1, F.col("node_id")), event(F.col("last_desc"), 2, -1, F.lit(None))))
+    asked = inner.select(*FILE, event(F.col("node_id"), 0, 0, F.lit(None)).alias("e"))
+    events = outer.select(*FILE, ends.alias("e")).unionByName(asked).select(*FILE, "e.*")
+    order = Window.orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = events.withColumn("depth", F.sum("by").over(order.partitionBy(*FILE))).filter((F.col("turn") < 2) & (F.col("depth") > 0))
+    events = events.withColumn("outer_id", F.last("outer_id", ignorenulls=True).over(order.partitionBy(*FILE, "depth")))
+    return events.filter("turn = 0").select(*FILE, F.col("at").alias("node_id"), "outer_id")
 
 
 def symbol_types(syntax: DataFrame) -> DataFrame:
