@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import trim
 from ..schemas import NODES, check_range
+from ..tables import cut
 
 #: The kinds of syntax nodes that make symbols, by type, and those that are calls.
 KINDS = {
@@ -55,12 +56,10 @@ def child_texts(syntax: DataFrame, fields: list[str]) -> DataFrame:
     return held.groupBy(*FILE, F.col("parent_node_id").alias("node_id")).agg(*[of(f).alias(f"_{f}") for f in fields])
 
 
-def with_children(nodes: DataFrame, syntax: DataFrame, fields: list[str], of: str = "node_id", prefix: str = "") -> DataFrame:
-    """``nodes`` with the fields' first children of the node that column ``of`` names."""
-    texts = child_texts(syntax, fields).withColumnRenamed("node_id", of)
-    for f in fields:
-        texts = texts.withColumnRenamed(f"_{f}", f"{prefix}{f}_child")
-    return nodes.join(texts, [*FILE, of], "left")
+def with_children(nodes: DataFrame, texts: DataFrame, fields: list[str], of: str = "node_id", prefix: str = "") -> DataFrame:
+    """``nodes`` with the fields' first children, out of ``child_texts``, of the node that column ``of`` names."""
+    own = texts.select(*FILE, F.col("node_id").alias(of), *(F.col(f"_{f}").alias(f"{prefix}{f}_child") for f in fields))
+    return nodes.join(own, [*FILE, of], "left")
 
 
 def symbol_names(syntax: DataFrame) -> DataFrame:
@@ -71,17 +70,18 @@ def symbol_names(syntax: DataFrame) -> DataFrame:
     """
     fields = ["name", "declarator", "declaration", "source", "path"]
     own = syntax.withColumn("type", classify(F.col("kind"))).filter(F.col("type").isNotNull())
-    own = with_children(own, syntax, fields)
+    texts = cut(child_texts(syntax, fields), "children")  # few of a tree's nodes, read five times
+    own = with_children(own, texts, fields)
     own = own.withColumn("_inner", F.col("declarator_child.node_id")).withColumn("_decl", F.col("declaration_child.node_id"))
-    own = with_children(own, syntax, ["name"], "_inner", "inner_")
-    own = with_children(own, syntax, ["name"], "parent_node_id", "parent_")
+    own = with_children(own, texts, ["name"], "_inner", "inner_")
+    own = with_children(own, texts, ["name"], "parent_node_id", "parent_")
     direct = F.coalesce("name_child.text", "inner_name_child.text", "declarator_child.text")
     # an exported declaration is a node of its own: its kind, its children, and (for an arrow function) its parent, the export
     declared = syntax.select(*FILE, F.col("node_id").alias("_decl"), F.col("kind").alias("_decl_kind"), F.col("text").alias("_decl_text"))
     own = own.join(declared, [*FILE, "_decl"], "left")
-    own = with_children(own, syntax, ["name", "declarator", "source", "path"], "_decl", "decl_")
+    own = with_children(own, texts, ["name", "declarator", "source", "path"], "_decl", "decl_")
     own = own.withColumn("_decl_inner", F.col("decl_declarator_child.node_id"))
-    own = with_children(own, syntax, ["name"], "_decl_inner", "decl_inner_")
+    own = with_children(own, texts, ["name"], "_decl_inner", "decl_inner_")
     quotes = lambda c: F.regexp_replace(c, "['\"]", "")
     imported = lambda source, path, text: F.coalesce(quotes(F.coalesce(source, path)), F.substring(text, 1, 80))
     anonymous = F.lit("<anonymous>")
@@ -166,7 +166,7 @@ def call_names(syntax: DataFrame, call_kinds: list[str] | None = None) -> DataFr
     callee = children.filter(F.col("field").isin("function", "method") | (F.col("child_index") == 0))
     callee = callee.groupBy(*FILE, F.col("parent_node_id").alias("node_id")).agg(F.min_by(F.struct(F.col("node_id").alias("at"), "kind", "text"), F.struct(rank, "child_index")).alias("callee"))
     calls = calls.join(callee, [*FILE, "node_id"], "left").withColumn("_at", F.col("callee.at"))
-    calls = with_children(calls, syntax, ["property", "field"], "_at", "callee_")
+    calls = with_children(calls, child_texts(syntax, ["property", "field"]), ["property", "field"], "_at", "callee_")
     name = F.when(F.col("callee.kind").isin(MEMBERS), F.coalesce("callee_property_child.text", "callee_field_child.text", "callee.text")).otherwise(F.col("callee.text"))
     return calls.select(*[F.col(c) for c in syntax.columns], name.alias("callee_name"))
 
