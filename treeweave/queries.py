@@ -665,9 +665,8 @@ def applied_events(spark, d):
     return store.read_index(spark, path).nodes.select("repo", "file_path", "name")
 
 
-@query(SESSIONS)
-def stream_debounce(spark, d):
-    """The stream's sessions, run to their end over the events table, with one event far in the future to close them."""
+def streamed(spark, d, late: bool) -> DataFrame:
+    """The stream's sessions, run to their end over the events table, with one event far in the future to close them; then, if ``late``, all events again."""
     import uuid
 
     from .tables import cut, shared_dir
@@ -681,9 +680,23 @@ def stream_debounce(spark, d):
     writer.start().awaitTermination()
     end.select(*e.columns).write.mode("append").parquet(folder)
     writer.start().awaitTermination()
+    if late:
+        e.write.mode("append").parquet(folder)
+        writer.start().awaitTermination()
     return cut(spark.read.parquet(out), "streamed").filter("repo <> '~end'").select("repo", "file_path", "removed", "upsert", F.unix_micros("last_ts").alias("last_us"), "events")
 
 
+@query(SESSIONS)
+def stream_debounce(spark, d):
+    return streamed(spark, d, False)
+
+
+@query(SESSIONS)
+def stream_late_events(spark, d):
+    """Events older than the watermark change nothing."""
+    return streamed(spark, d, True)
+
+
 # --- jobs ---
 
 
