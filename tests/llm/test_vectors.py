@@ -93,3 +93,26 @@ def test_nearest(spark):
     for r in got:
         assert r["score"] == pytest.approx(cos(v[r["query_id"]], v[r["vec_id"]]), abs=1e-12)
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+def test_blocks_of_the_windows_dont_matter(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = frame(spark, rng.standard_normal((300, 12)))
+    monkeypatch.setattr(ann, "ORDERINGS", 6)
+    monkeypatch.setattr(ann, "measured_window", lambda *a: 20)
+    found = []
+    for block in (7, 2048):
+        monkeypatch.setattr(ann, "BLOCK", block)
+        found.append(sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 10 == 0, 5).collect())))
+    assert found[0] == found[1] and len(found[0]) == 150
+
+
+def test_lengths_of_vectors_dont_matter(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((60, 4))
+    far = [x * s for x, s in zip(v, np.resize([1e-200, 1.0, 1e200], 60))]
+    got = ann.nearest(frame(spark, far), F.col("vec_id") % 20 == 0, 3).collect()
+    assert len(got) == 9
+    for r in got:
+        a, b = v[r["query_id"]], v[r["vec_id"]]
+        assert r["score"] == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-12)
