@@ -248,13 +248,12 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 9) -
 def parting(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Where logits part the labels best, and a scale that spreads them around it.
 
-    The best place is the one with the highest F score in which precision counts twice as much as recall, of equals the highest;
-    then halfway down to the next document. A clean document taken for toxic is lost, so doubt is in its favour.
+    The best place is the one with the highest F score, of equals the highest; then halfway down to the next document.
     """
     rising = np.argsort(z, kind="stable")
     cut, true = z[rising], y[rising]
     hits = true[::-1].cumsum()[::-1]
-    f = 1.25 * hits / (np.arange(len(cut), 0, -1) + 0.25 * true.sum())
+    f = 2 * hits / (np.arange(len(cut), 0, -1) + true.sum())
     best = len(f) - 1 - int(np.argmax(f[::-1]))
     shift = float(cut[best] if best == 0 or not np.isfinite(cut[best - 1]) else (cut[best] + cut[best - 1]) / 2)
     spread = np.abs(z[np.isfinite(z)] - shift)
