@@ -116,3 +116,12 @@ def test_lengths_of_vectors_dont_matter(spark):
     for r in got:
         a, b = v[r["query_id"]], v[r["vec_id"]]
         assert r["score"] == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-12)
+
+
+def test_vectors_of_unlike_lengths(spark):
+    empty = frame(spark, [[], [], []])
+    got = sorted(map(tuple, topk.exact_topk(empty, F.col("vec_id") == 0, 5).collect()))
+    assert got == [(0, 1, 1, 0), (0, 2, 2, 0)]
+    mixed = frame(spark, [[1.0, 2.0], [], [3.0], [0.5, 0.25, 9.0]])
+    got = {r["vec_id"]: r["score"] for r in topk.exact_topk(mixed, F.col("vec_id") == 0, 5).collect()}
+    assert got == {1: 0, 2: 64 * 192, 3: 64 * 32 + 128 * 16}

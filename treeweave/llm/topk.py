@@ -124,7 +124,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 6
         if not len(qs) or not len(cs):
             return none
         d = max(qs["v"].map(len).max(), cs["v"].map(len).max())
-        dense = lambda vs: np.array([np.pad(np.asarray(v, np.int64), (0, d - len(v))) for v in vs]).reshape(-1, d)
+        dense = lambda vs: np.array([np.pad(np.asarray(v, np.int64), (0, d - len(v))) for v in vs]).reshape(len(vs), d)
         own, floor = qs["id"].to_numpy(), qs["floor"].to_numpy(np.int64)
         i, ids, scores, _ = threshold_topk(dense(qs["v"]), dense(cs["v"]), cs["id"].to_numpy(), own, k, floor)
         return pd.DataFrame({"query_id": own[i], "vec_id": ids, "score": scores}) if len(i) else none
