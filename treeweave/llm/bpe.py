@@ -423,6 +423,10 @@ def labels_of(path: str) -> dict[int, str]:
     return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
 
 
+#: The last vocabulary's labels in this Python worker: some MB, apart from the encoder's tables, so that a worker that decodes doesn't lose them.
+_LABELS: dict[str, dict[int, str]] = {}
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with ``decoded``: the labels of the arcs that ``ids`` name, joined by a space.
 
@@ -433,7 +437,10 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     rest = docs.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = held(("labels", path), lambda: labels_of(path))
+        if path not in _LABELS:
+            _LABELS.clear()
+            _LABELS[path] = labels_of(path)
+        labels = _LABELS[path]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
