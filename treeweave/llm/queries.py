@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, langid, neardup, packing, substrings, topk, toxicity, urls
+from . import align, ann, bpe, codes, html, langid, neardup, packing, substrings, topk, toxicity, urls
 from .shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,15 @@ def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, ALLOW, BLOCK).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_integer_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_striped_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_two_fit": op1_best_two_fit,
     "op2_bpe_automaton": op2_bpe_automaton,
@@ -93,6 +102,8 @@ QUERIES: dict[str, Query] = {
     "op8_sentence_spans": op8_sentence_spans,
     "op9_gated_recurrent": op9_gated_recurrent,
     "op10_bloom_cascade": op10_bloom_cascade,
+    "op12_integer_codebooks": op12_integer_codebooks,
+    "op13_striped_alignment": op13_striped_alignment,
 }
 
 #: Where SQL can say it. Tokens, index searches and trained models it can't.
