@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, bpe, codes, html, langid, neardup, packing, substrings, topk, toxicity, urls
+from . import align, ann, bpe, codes, html, langid, neardup, packing, quality, substrings, topk, toxicity, urls
 from .shared import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,13 @@ def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, ALLOW, BLOCK).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learned from documents whose id's crc32 modulo 3 isn't 1."""
+    held_out_ = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ~held_out_)
+    return found.select("doc_id", held_out_.alias("held_out"), "score", "predicted")
+
+
 def op12_integer_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
     return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -102,10 +109,35 @@ QUERIES: dict[str, Query] = {
     "op8_sentence_spans": op8_sentence_spans,
     "op9_gated_recurrent": op9_gated_recurrent,
     "op10_bloom_cascade": op10_bloom_cascade,
+    "op11_fourier_ridge": op11_fourier_ridge,
     "op12_integer_codebooks": op12_integer_codebooks,
     "op13_striped_alignment": op13_striped_alignment,
 }
 
+#: One round of assignment (to the entries of table {book}), and one of new entries.
+ASSIGN_SQL = """
+{name} AS (SELECT vec_id, p, v, e, d FROM (SELECT x.vec_id, x.p, x.v, c.e, x.s - 2 * CAST(list_dot_product(x.f, c.f) AS BIGINT) + c.s AS d,
+             ROW_NUMBER() OVER (PARTITION BY x.vec_id, x.p ORDER BY x.s - 2 * CAST(list_dot_product(x.f, c.f) AS BIGINT) + c.s, c.e) AS rn
+           FROM parts x JOIN {book} c ON x.p = c.p) WHERE rn = 1)"""
+MOVE_SQL = """
+{name} AS (SELECT c.p, c.e, COALESCE(m.v, c.v) AS v, CAST(COALESCE(m.v, c.v) AS DOUBLE[]) AS f, CAST(list_dot_product(CAST(COALESCE(m.v, c.v) AS DOUBLE[]), CAST(COALESCE(m.v, c.v) AS DOUBLE[])) AS BIGINT) AS s
+  FROM {book} c LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS v FROM (SELECT p, e, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS m FROM {assigned}, range(1, 5) r(i) GROUP BY p, e, i) GROUP BY p, e) m ON m.p = c.p AND m.e = c.e)"""
+#: Vectors of 64 components; sums and products are whole numbers far below 2**53, so doubles hold them exactly.
+CODEBOOKS_SQL = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT vec_id, label, p, v[4 * p + 1 : 4 * p + 4] AS v FROM kept, range(16) r(p)),
+parts AS (SELECT *, CAST(v AS DOUBLE[]) AS f, CAST(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])) AS BIGINT) AS s FROM cut),
+firsts AS (SELECT vec_id, CAST(ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS e FROM (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+b0 AS (SELECT p, e, v, f, s FROM parts JOIN firsts USING (vec_id)),
+{ASSIGN_SQL.format(name="a0", book="b0")}, {MOVE_SQL.format(name="b1", book="b0", assigned="a0")},
+{ASSIGN_SQL.format(name="a1", book="b1")}, {MOVE_SQL.format(name="b2", book="b1", assigned="a1")},
+{ASSIGN_SQL.format(name="a2", book="b2")},
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+labelled AS (SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error FROM coded c JOIN kept k ON k.vec_id = c.vec_id)
+SELECT *, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM labelled
+"""
+
 #: Where SQL can say it. Tokens, index searches and trained models it can't.
 ORACLE_SQL: dict[str, str] = {
     "op3_threshold_topk": """
@@ -116,6 +148,7 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS D
 r AS (SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
+    "op12_integer_codebooks": CODEBOOKS_SQL,
     "op10_bloom_cascade": r"""
 WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 h AS (SELECT page_id, COALESCE(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
