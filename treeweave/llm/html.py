@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -434,10 +435,11 @@ def extract_text(pages: DataFrame, html: str = "html", key: str = "url") -> Data
     weights = train(sampled(rest, html, key))
     schema = T.StructType([*rest.schema.fields, T.StructField("text", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                x = batch.iloc[at : at + 200]
-                yield x.assign(text=[main_text(h, weights) for h in x[html]])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = pa.array([main_text(h.as_py(), weights) for h in part.column(html)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=schema.names)
 
-    return rest.mapInPandas(run, schema)
+    return rest.mapInArrow(run, schema)

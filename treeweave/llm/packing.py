@@ -13,7 +13,6 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,19 +158,23 @@ def assign_sequences(pieces: DataFrame, capacity: int = 2048, length: str = "len
     )
     held = spark.sparkContext.broadcast(places)  # some tens of thousands of rows of 40 bytes, bounded by the number of lengths
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            sequence, offset = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-            for n, rows in x.groupby(length).indices.items():
-                p = held.value[n]
-                rank = x[rank_].to_numpy()[rows]
+    kept = pieces.columns
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, ranks = batch.column(length).to_numpy(), batch.column(rank_).to_numpy()
+            order = np.argsort(lengths, kind="stable")
+            found, first = np.unique(lengths[order], return_index=True)
+            sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            for n, rows in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+                p, rank = held.value[n], ranks[rows]
                 at = p[np.searchsorted(p[:, 0], rank, "right") - 1]
                 sequence[rows] = at[:, 2] + (rank - at[:, 0]) // at[:, 1]
                 offset[rows] = at[:, 3] + (rank - at[:, 0]) % at[:, 1] * n
-            yield x.drop(columns=rank_).assign(sequence_id=sequence, offset=offset)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=schema.names)
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return numbered.mapInPandas(place, schema)
+    return numbered.mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
