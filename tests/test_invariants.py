@@ -44,7 +44,9 @@ def test_store_refuses(spark, tmp_path):
         write_index(index.with_(comments=bad), str(tmp_path / "a"))
     write_index(index, str(tmp_path / "b"))
     assert read_index(spark, str(tmp_path / "b")).nodes.count() == 0
-    spark.createDataFrame([(9, 0, None, "v")], store.COMMITS).write.mode("append").parquet(str(tmp_path / "b" / "commits"))
+    with pytest.raises(ValueError):
+        read_index(spark, str(tmp_path / "none"))
+    store.written_once(spark, f"{tmp_path}/b/commits/{9:020d}.json", '{"place": 9, "version": "v", "tables": [], "repos": [], "base": false, "resolved": true, "streams": {}, "schema_version": 0}')
     with pytest.raises(ValueError):
         read_index(spark, str(tmp_path / "b"))
 

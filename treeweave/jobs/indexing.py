@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import comments, extract, maintain
 from ..schemas import COMMENTS, EDGES, Index
+from ..sources import store
 from ..sources.files import language_of
 from ..sources.parse import ERROR, Parser, parse_sources
 from ..tables import cut
@@ -78,3 +79,46 @@ def reindex_report(index: Index, source_files: DataFrame, parsers: dict[str, Par
     else:
         report = asked.join(taken.withColumn("_taken", F.lit(True)), FILE, "left").select(*FILE, F.coalesce("_taken", F.lit(False)).alias("reindexed"))
     return out, cut(report, "report").withColumn("message", F.when(F.col("reindexed"), "indexed anew").otherwise("unchanged, or no parser takes it"))
+
+
+def update_stored(
+    path: str,
+    source_files: DataFrame,
+    removed: DataFrame | None = None,
+    parsers: dict[str, Parser] | None = None,
+    now_ms: int | None = None,
+    max_body: int = 2000,
+    stream: tuple[str, int] | None = None,
+    tries: int = 5,
+) -> DataFrame | None:
+    """Delete ``removed`` files (repo, file_path) from the index at ``path``, then bring named files up to date, as ``incremental_update`` would.
+
+    Only the repos that are named are read, and only rows that change are written. ``stream``: a stream's name and batch, which is passed over if the index has
+    it already. A commit that another writer's overtakes is worked out again, up to ``tries`` times. Returns the files that
+    were indexed anew; None if nothing was written.
+    """
+    spark = source_files.sparkSession
+    removed = cut((source_files.select(*FILE).limit(0) if removed is None else removed.select(*FILE)).distinct(), "removed")
+    named = source_files.select("repo").unionByName(removed.select("repo")).distinct().limit(store.NAMED + 1).collect()
+    repos = [r[0] for r in named] if len(named) <= store.NAMED else None
+    for attempt in range(tries):
+        seen = store.snapshot(spark, path)
+        if stream and seen.batch(stream[0]) >= stream[1]:
+            return None
+        index = store.read_snapshot(spark, seen, repos)
+        left = index.files.join(removed, FILE, "left_anti")
+        changed = cut(maintain.changed_files(source_files, left), "changed")
+        some = changed.limit(1).count()
+        if not some and not removed.limit(1).count():
+            return None
+        new, taken = extract_files(changed, parsers, int(time.time() * 1000) if now_ms is None else now_ms, max_body)
+        taken = cut(taken, "taken")
+        known = seen.resolved(repos)
+        rows, gone = maintain.file_changes(index, removed, taken, new, bool(some), known)
+        try:
+            store.change_rows(spark, seen, rows, gone, repos, stream, tried=bool(some) and not known)
+            return taken
+        except store.Conflict:
+            if attempt + 1 == tries:
+                raise
+    return None

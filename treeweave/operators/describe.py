@@ -58,15 +58,15 @@ def class_methods(nodes: DataFrame, methods: str = "named") -> DataFrame:
     within the class's lines, a join on the file.
     """
     classes = nodes.filter(F.col("type").isin(CLASS_TYPES)).select("repo", "id", F.col("name").alias("class_name"), F.col("file_path").alias("class_file"), F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
-    own = nodes.filter(F.col("type") == "method").withColumnRenamed("id", "method_id")
-    order = [c if str(c) != str(F.col("id")) else F.col("method_id") for c in node_order_columns()]
+    own = nodes.filter(F.col("type") == "method")
     if methods == "contained":
         inside = (F.col("file_path") == F.col("class_file")) & (F.col("start_line") >= F.col("from_line")) & (F.col("end_line") <= F.col("to_line"))
+        own = own.withColumnRenamed("id", "method_id")
         found = classes.join(own, (classes["repo"] == own["repo"]) & inside).drop(own["repo"])
     elif methods == "named":
         names = classes.select("repo", F.col("class_name").alias("query")).distinct()
-        hits = holding(own, names).withColumnRenamed("query", "class_name")
-        first = hits.withColumn("_k", F.row_number().over(Window.partitionBy("repo", "class_name").orderBy(*order))).filter(F.col("_k") <= METHODS)
+        hits = holding(own, names, METHODS).withColumnRenamed("query", "class_name")
+        first = hits.withColumn("_k", F.row_number().over(Window.partitionBy("repo", "class_name").orderBy(*node_order_columns()))).filter(F.col("_k") <= METHODS).withColumnRenamed("id", "method_id")
         found = classes.join(first, ["repo", "class_name"]).filter(F.col("file_path") == F.col("class_file"))
     else:
         raise ValueError(f"methods must be named or contained, not {methods}")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import Index, node_order
+from ..schemas import EDGES, Index, node_order
+from ..tables import cut, if_small
 
 FILE = ["repo", "file_path"]
+#: What ``node_order`` looks at.
+NODE_ORDER = ["file_path", "start_line", "start_col", "end_line", "end_col", "id"]
 
 
 def content_hash(text):
@@ -74,6 +77,36 @@ def resolve_edges(edges: DataFrame, nodes: DataFrame, prefer_same_file: bool = F
     return out.withColumn("callee_id", F.coalesce("callee_id", found)).select(edges.columns)
 
 
+def file_changes(index: Index, removed: DataFrame, taken: DataFrame, new: Index, resolve: bool = True, resolved: bool = True) -> tuple[Index, DataFrame]:
+    """What deleting the ``removed`` files, then replacing the ``taken`` ones by ``new``, and resolving calls, changes in ``index``.
+
+    Returns rows to write and tombstones (name, repo, key) of the rows that they stand for; see ``sources.store``. Together they give what ``delete_files``,
+    ``replace_file_rows``, ``upsert_files`` and ``resolve_edges`` give, but only calls are looked at that the change can have touched: those of the
+    files themselves, those into nodes that went, and open ones to a name that came. A file that holds such a call has its calls written anew.
+    ``resolve``: whether ``resolve_edges`` is to follow at all. ``resolved``: no other open call could be resolved before the change; otherwise all open calls are
+    tried. An edge's file is its caller's.
+    """
+    gone_files = cut(removed.select(*FILE).withColumn("_removed", F.lit(True)).unionByName(taken.select(*FILE).withColumn("_removed", F.lit(False))).groupBy(*FILE).agg(F.max("_removed").alias("_removed")), "gone-files")
+    small = if_small(gone_files)
+    gone = cut(index.nodes.join(small, FILE).select("repo", F.col("id").alias("callee_id"), "_removed"), "gone-nodes")
+    stay = index.nodes.join(small, FILE, "left_anti").select(*NODE_ORDER, "repo", "name").unionByName(new.nodes.select(*NODE_ORDER, "repo", "name"))
+    came = (new.nodes if resolved or not resolve else stay).select("repo", F.col("name").alias("callee_name")).distinct()
+    others = index.edges.join(small, FILE, "left_anti")
+    into = others.join(if_small(gone), ["repo", "callee_id"], "left_semi").select(*FILE)
+    open_ = others.filter("callee_id IS NULL").join(if_small(came), ["repo", "callee_name"], "left_semi").select(*FILE)
+    touched = cut(into.unionByName(open_).distinct(), "touched-files")
+    kept = others.join(if_small(touched), FILE, "left_semi").join(if_small(gone), ["repo", "callee_id"], "left").filter("_removed IS NULL OR NOT _removed")
+    kept = kept.withColumn("callee_id", F.when(F.col("_removed").isNull(), F.col("callee_id")))
+    edges = cut(kept.select(*EDGES.names).unionByName(new.edges.select(*EDGES.names)), "touched-edges")
+    called = edges.filter("callee_id IS NULL").select("repo", F.col("callee_name").alias("name")).distinct()
+    if resolve:
+        edges = resolve_edges(edges, stay.join(if_small(cut(called, "called")), ["repo", "name"], "left_semi"))
+    by_file = gone_files.select(F.explode(F.array(*map(F.lit, ("files", "nodes", "edges")))).alias("name"), "repo", F.col("file_path").alias("key"))
+    by_file = by_file.unionByName(touched.select(F.lit("edges").alias("name"), "repo", F.col("file_path").alias("key")))
+    by_node = gone.select(F.lit("comments").alias("name"), "repo", F.col("callee_id").alias("key"))
+    return new.with_(edges=edges), by_file.unionByName(by_node)
+
+
 def unresolved_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("repo").agg(F.count_if(F.col("callee_id").isNull()).alias("unresolved"), F.count(F.lit(1)).alias("edges"))
 

@@ -659,12 +659,52 @@ def applied_events(spark, d):
     last = e.groupBy("repo", "file_path").agg(F.max_by(code, F.struct("ts", "seq")).alias("source"))
     batch = watch.batch_sessions(e, GAP_MS, True).join(last, ["repo", "file_path"])
     path = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
-    store.write_index(empty_index(spark), path)
+    store.write_index(empty_index(spark), path, resolved=True)
+    apply = watch.apply_batch(path, now_ms=7)
+    apply(batch.filter("pmod(hash(file_path), 2) = 0"), 0)
     for _ in range(2):
-        watch.apply_batch(path, now_ms=7)(batch, 0)
+        apply(batch.filter("pmod(hash(file_path), 2) = 1"), 1)
+    apply(batch.withColumn("source", F.lit("def never():\n    0\n")), 0)  # a batch that is in the index already is passed over
     return store.read_index(spark, path).nodes.select("repo", "file_path", "name")
 
 
+def fired_stream(spark, d) -> tuple[DataFrame, str]:
+    """What fired of the events table, brought to a running stream in four parts by time, and the stream's checkpoint. Nothing closes the stream, so late changes still wait."""
+    import uuid
+
+    from .tables import cut, shared_dir
+
+    e = cut(events(spark, d).withColumn("source", F.lit(None).cast("string")), "events")
+    folder, out = (f"{shared_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("events", "fired"))
+    bounds = e.agg(F.percentile(F.unix_micros("ts"), [0.25, 0.5, 0.75]).alias("b")).first()["b"]
+    e.limit(0).write.parquet(folder)
+    fired = watch.debounced(spark.readStream.schema(e.schema).parquet(folder), GAP_MS, "30 days", True)
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        us = F.unix_micros("ts")
+        e.filter((F.lit(True) if low is None else us > low) & (F.lit(True) if high is None else us <= high)).write.mode("append").parquet(folder)
+        fired.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return cut(spark.read.schema(fired.schema).parquet(out), "fired"), f"{out}-state"
+
+
+#: How far the watermark is in the end.
+PASSED = "(SELECT epoch_ms(MAX(ts)) * 1000 - 30::BIGINT * 86400000000 FROM {fx_events})"
+
+
+@query(f"SELECT repo, file_path, kind, epoch_us(ts) AS us, seq FROM ({LAGGED}) e WHERE kind = 'unlink' OR ((until IS NULL OR until >= {GAP_MS * 1000}) AND epoch_us(ts) + {GAP_MS * 1000} <= {PASSED})")
+def stream_fired_events(spark, d):
+    """Deletes at once, also those that the watermark hasn't reached; changes when it has passed their quiet time."""
+    return fired_stream(spark, d)[0].select("repo", "file_path", "kind", F.unix_micros("ts").alias("us"), "seq")
+
+
+@query(
+    f"""SELECT s.*, COALESCE(p.pending, 0) AS pending FROM ({STATUS}) s LEFT JOIN (SELECT repo, COUNT(*) AS pending FROM ({LAGGED}) e
+WHERE kind <> 'unlink' AND (until IS NULL OR until >= {GAP_MS * 1000}) AND epoch_us(ts) + {GAP_MS * 1000} > {PASSED} GROUP BY repo) p ON p.repo = s.repo"""
+)
+def live_status_report(spark, d):
+    """The status with the changes that wait in a stream's state."""
+    return reports.status_report(index_of(spark, d), watch.waiting_files(spark, fired_stream(spark, d)[1]))
+
+
 def streamed(spark, d, late: bool) -> DataFrame:
     """The stream's sessions, run to their end over the events table, with one event far in the future to close them; then, if ``late``, all events again."""
     import uuid
@@ -701,7 +741,10 @@ def stream_late_events(spark, d):
 
 
 def program_texts(spark, d):
-    """(repo, file_path, language, fx_key, source): an import, and a function for each order that calls one for each line item's part."""
+    """(repo, file_path, language, fx_key, source): an import, and a function for each order that calls one for each line item's part.
+
+    Files named as Ruby's hold the same text, in which Ruby's parser finds no symbol.
+    """
     calls = frame(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("calls"))
     owners = frame(spark, d, "fx_files").select("repo", "file_path", "language", "fx_key")
     orders = frame(spark, d, "orders").select(F.col("o_custkey").alias("fx_key"), F.col("o_orderkey").alias("k")).join(calls, "k", "left")
@@ -742,7 +785,7 @@ CALLS = f"(SELECT c.repo, c.file_path, c.fx_key, c.k, l_partkey AS p, t.k AS tar
 
 
 @query(
-    f"""SELECT (SELECT COUNT(*) FROM {{fx_files}} WHERE language <> 'ruby') AS files_processed, (SELECT COUNT(*) FROM {PARSED} p) + (SELECT COUNT(*) FROM {{fx_files}} WHERE language <> 'ruby') AS nodes_found,
+    f"""SELECT (SELECT COUNT(*) FROM {{fx_files}}) AS files_processed, (SELECT COUNT(*) FROM {PARSED} p) + (SELECT COUNT(*) FROM {{fx_files}} WHERE language <> 'ruby') AS nodes_found,
 (SELECT COUNT(*) FROM {CALLS} c WHERE target IS NOT NULL) AS edges_resolved"""
 )
 def full_index_summary(spark, d):
@@ -768,6 +811,58 @@ def original_comments(spark, d):
     return index.comments.join(index.nodes.select("repo", F.col("id").alias("node_id"), "file_path", "name"), ["repo", "node_id"]).select("repo", "file_path", "name", "text", "source")
 
 
+def script_texts(spark, d):
+    """(repo, file_path, source) of Ruby and of the script languages: for each order a definition whose body calls one function for each line item, among texts that look like code."""
+    calls = frame(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("calls"))
+    owners = frame(spark, d, "fx_files").filter(F.col("language").isin("ruby", "typescript", "javascript")).select("repo", "file_path", "language", "fx_key")
+    orders = frame(spark, d, "orders").select(F.col("o_custkey").alias("fx_key"), F.col("o_orderkey").alias("k")).join(calls, "k", "left").join(owners, "fx_key")
+    k = F.col("k").cast("string")
+    parts = F.transform(F.coalesce("calls", F.array().cast(calls.schema["calls"].dataType)), lambda c: F.concat(F.lit("h"), c["l_partkey"].cast("string"), F.lit("(1)")))
+    body = lambda indent, end: F.concat(F.array_join(F.transform(parts, lambda c: F.concat(F.lit(indent), c, F.lit(end))), ""))
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    ruby = text("class K", k, "\n  # end of h", k, "\n  def h", k, "(a)\n    s = <<~TEXT\n      def none\n    TEXT\n    unless a\n", body("      ", "\n"), "    end\n    s if a\n  end\nend\n")
+    script = (
+        F.when(F.col("k") % 3 == 0, text("export function h", k, "() {\n  const t = `a ${1} { no(1)`;\n", body("  ", ";\n"), "}\n"))
+        .when(F.col("k") % 3 == 1, text("export const h", k, " = (a) => {\n  if (/[\"}{]/) {}\n", body("  ", ";\n"), "};\n"))
+        .otherwise(text("let h", k, " = async a => [\n", body("  ", ",\n"), "];\n"))
+    )
+    pieces = orders.withColumn("x", F.when(F.col("language") == "ruby", ruby).otherwise(script)).groupBy("repo", "file_path").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("x"))
+    return pieces.select("repo", "file_path", F.array_join(F.transform("x", lambda p: p["x"]), "").alias("source"))
+
+
+_SCRIPTS: dict[tuple[str, str, str], Index] = {}
+
+
+def script_index(spark, d) -> Index:
+    from .schemas import empty_index
+    from .tables import cut, shared_dir
+
+    place = (spark.sparkContext.applicationId, shared_dir(spark), d)
+    if place not in _SCRIPTS:
+        index, _ = indexing.full_index(empty_index(spark), script_texts(spark, d), now_ms=7)
+        _SCRIPTS[place] = Index(**{name: cut(t, f"scripts-{name}") for name, t in index.tables().items()})
+    return _SCRIPTS[place]
+
+
+SCRIPTED = "(SELECT f.repo, f.file_path, f.language, o_orderkey AS k FROM {orders} JOIN {fx_files} f ON f.fx_key = o_custkey WHERE f.language IN ('ruby', 'typescript', 'javascript'))"
+
+
+@query(
+    f"""SELECT repo, file_path, 'h' || k AS name, CASE WHEN language = 'ruby' THEN 'method' ELSE 'function' END AS type FROM {SCRIPTED} s
+UNION ALL SELECT repo, file_path, 'K' || k, 'class' FROM {SCRIPTED} s WHERE language = 'ruby'
+UNION ALL SELECT repo, file_path, CASE k % 3 WHEN 0 THEN 'h' || k ELSE '<anonymous>' END, 'export' FROM {SCRIPTED} s WHERE language <> 'ruby' AND k % 3 < 2"""
+)
+def script_symbols(spark, d):
+    """Ruby's classes and methods, exports, and arrow functions, by the library's own parsers."""
+    return script_index(spark, d).nodes.select("repo", "file_path", "name", "type")
+
+
+@query(f"SELECT s.repo, s.file_path, 'h' || s.k AS caller, 'h' || l_partkey AS callee_name FROM {{lineitem}} JOIN {SCRIPTED} s ON s.k = l_orderkey")
+def script_edges(spark, d):
+    index = script_index(spark, d)
+    return index.edges.join(index.nodes.select("repo", F.col("id").alias("caller_id"), F.col("name").alias("caller")), ["repo", "caller_id"]).select("repo", "file_path", "caller", "callee_name")
+
+
 def edited_texts(spark, d):
     """``program_texts`` with every file whose key leaves 1 by 3 rewritten to one function."""
     key = F.col("fx_key").cast("string")
@@ -789,11 +884,31 @@ def incremental_edges(spark, d):
     return edges.select("repo", "file_path", "callee_name", F.when(F.col("callee_id").isNull(), "open").otherwise("resolved").alias("state"))
 
 
-@query("SELECT repo, file_path, fx_key % 3 = 1 AND language <> 'ruby' AS reindexed, CASE WHEN fx_key % 3 = 1 AND language <> 'ruby' THEN 'indexed anew' ELSE 'unchanged, or no parser takes it' END AS message FROM {fx_files}")
+@query("SELECT repo, file_path, fx_key % 3 = 1 AS reindexed, CASE WHEN fx_key % 3 = 1 THEN 'indexed anew' ELSE 'unchanged, or no parser takes it' END AS message FROM {fx_files}")
 def reindex_report(spark, d):
     return indexing.reindex_report(program_index(spark, d)[0], edited_texts(spark, d), now_ms=8)[1]
 
 
+def stored_edits(spark, d) -> Index:
+    """The program index on disk, brought up to date with ``edited_texts`` there, half of the files at a time."""
+    import uuid
+
+    from .sources import store
+    from .tables import shared_dir
+
+    path, index = f"{shared_dir(spark)}/programs-{uuid.uuid4().hex}", program_index(spark, d)[0]
+    store.write_index(index, path, resolved=True)
+    edits = edited_texts(spark, d)
+    for part in range(2):
+        indexing.update_stored(path, edits.filter(F.pmod(F.hash("file_path"), F.lit(2)) == part), now_ms=8)
+    return store.read_index(spark, path)
+
+
+@query(f"SELECT repo, file_path, 'h' || p AS callee_name, CASE WHEN target IS NULL OR target_key % 3 = 1 THEN 'open' ELSE 'resolved' END AS state FROM {CALLS} c WHERE fx_key % 3 <> 1")
+def stored_edges(spark, d):
+    return stored_edits(spark, d).edges.select("repo", "file_path", "callee_name", F.when(F.col("callee_id").isNull(), "open").otherwise("resolved").alias("state"))
+
+
 def typed(index: Index) -> Index:
     """The fixtures' index with ids as text, as an index on disk has them."""
     kinds = {"files": FILES, "nodes": NODES, "edges": EDGES, "comments": COMMENTS}

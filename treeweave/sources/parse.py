@@ -116,9 +116,8 @@ WORDS = frozenset("if for while switch catch return function func fn def new siz
 KIND_OF = {"class": "class_declaration", "interface": "interface_declaration", "trait": "trait_item", "enum": "enum_declaration", "struct": "struct_item", "impl": "impl_item"}
 
 
-def scan_braces(source: str) -> Node:
-    """Declarations, imports and calls of a brace language, nested by their braces."""
-    plain = MASKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+def blocks(plain: str) -> dict[int, int]:
+    """Where each brace's block ends."""
     ends: dict[int, int] = {}
     stack: list[int] = []
     for m in re.finditer(r"[{}]", plain):
@@ -126,14 +125,12 @@ def scan_braces(source: str) -> Node:
             stack.append(m.start())
         elif stack:
             ends[stack.pop()] = m.end()
-    stack.clear()
+    return ends
+
+
+def declarations(source: str, plain: str, ends: dict[int, int]) -> tuple[list[Node], set[int]]:
+    """Imports and declarations of a brace language, and where declared names stand. ``plain``: the source with strings and comments masked."""
     found = [Node("import_statement", m.start() + len(m[0]) - len(m[0].lstrip()), m.end()) for m in IMPORTED.finditer(source) if plain[m.start() : m.end()].strip()]
-    closed: dict[int, int] = {}  # where each parenthesis ends
-    for m in re.finditer(r"[()]", plain):
-        if m[0] == "(":
-            stack.append(m.start())
-        elif stack:
-            closed[stack.pop()] = m.end()
     heads: set[int] = set()
     for m in DECLARED.finditer(plain):
         group = "class_name" if m["class"] else "function" if m["function"] else "method"
@@ -144,6 +141,49 @@ def scan_braces(source: str) -> Node:
         node.children.append(Node("identifier", m.start(group), m.end(group), "name"))
         heads.add(m.start(group))
         found.append(node)
+    return found, heads
+
+
+def nested(source: str, found: list[Node]) -> Node:
+    """A tree of nodes by their spans; children that nodes have already stay theirs, and what lies within such a child goes into it."""
+    root = Node("program", 0, len(source))
+    open_ = [root]
+    todo: list[tuple[Node, Node | None]] = [(n, None) for n in found]
+    placed: list[tuple[Node, Node | None]] = []
+    while todo:  # children that can hold others take their part in the nesting
+        node, parent = todo.pop()
+        placed.append((node, parent))
+        for c in node.children:
+            if c.children or c.kind in HOLDERS:
+                todo.append((c, node))
+    for node, parent in sorted(placed, key=lambda x: (x[0].start, -x[0].end, x[1] is not None)):
+        while len(open_) > 1 and (open_[-1].end <= node.start or parent is not None and open_[-1] is not parent and open_[-1].start == node.start and not within(node, open_[-1])):
+            open_.pop()
+        if parent is None:
+            open_[-1].children.append(node)
+        open_.append(node)
+    return root
+
+
+#: Children of found nodes that hold further ones.
+HOLDERS = frozenset(["arrow_function", "lexical_declaration", "variable_declarator"])
+
+
+def within(node: Node, other: Node) -> bool:
+    return other.start <= node.start and node.end <= other.end
+
+
+def scan_braces(source: str) -> Node:
+    """Declarations, imports and calls of a brace language, nested by their braces."""
+    plain = MASKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    found, heads = declarations(source, plain, blocks(plain))
+    stack: list[int] = []
+    closed: dict[int, int] = {}  # where each parenthesis ends
+    for m in re.finditer(r"[()]", plain):
+        if m[0] == "(":
+            stack.append(m.start())
+        elif stack:
+            closed[stack.pop()] = m.end()
     for m in CALLED.finditer(plain):
         if m[2] in WORDS or m.start(2) in heads:
             continue
@@ -153,21 +193,17 @@ def scan_braces(source: str) -> Node:
             callee.children.append(Node("property_identifier", m.start(2), m.end(2), "property"))
         at = closed.get(m.end() - 1, len(plain))
         found.append(Node("new_expression" if made else "call_expression", m.start(), at, None, [callee]))
-    root = Node("program", 0, len(source))
-    open_ = [root]
-    for node in sorted(found, key=lambda n: (n.start, -n.end)):
-        while len(open_) > 1 and open_[-1].end <= node.start:
-            open_.pop()
-        open_[-1].children.append(node)
-        open_.append(node)
-    return root
+    return nested(source, found)
 
 
-BRACES = ["typescript", "tsx", "javascript", "java", "csharp", "go", "rust", "c", "cpp", "php"]
+BRACES = ["java", "csharp", "go", "rust", "c", "cpp", "php"]
+SCRIPTS = ["typescript", "tsx", "javascript"]
 
 
 def default_parsers() -> dict[str, Parser]:
-    return {"python": parse_python} | dict.fromkeys(BRACES, scan_braces)
+    from .scripts import parse_ruby, scan_script
+
+    return {"python": parse_python, "ruby": parse_ruby} | dict.fromkeys(BRACES, scan_braces) | dict.fromkeys(SCRIPTS, scan_script)
 
 
 #: The kind of the only row of a file on which its parser failed; the row's text is the error.
