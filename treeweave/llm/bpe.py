@@ -24,7 +24,7 @@ import struct
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -316,52 +316,103 @@ class Automaton:
         return not k or x >= highs[k - 1]
 
 
+class Numbers(dict):
+    """Numbers what it is asked for, as it comes; ``new`` are those numbered since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str | tuple[str]] = []
+
+    def __missing__(self, key: str | tuple[str]) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class Encoder:
     """Texts to ids (little-endian unsigned 32-bit numbers), remembering the paths of what stands between white space.
 
-    There are two generations of half of REMEMBERED each: when the young one is full it becomes the old one, whose entries come
-    back when they are met again, so frequent words stay.
+    What is met is numbered, and its path lies in one array of ids; a batch is looked up word by word once, and its ids are gathered by number. When more than REMEMBERED
+    bytes are taken, only what the last batch met is kept, so frequent words stay.
     """
 
     def __init__(self, path: str):
         self.automaton = Automaton(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[list[str]]) -> None:
-        """Paths of all chunks into ``young``."""
-        if len(self.young) * 190 > REMEMBERED // 2:
-            self.young, self.old = {}, self.young
-        new = {*filterfalse(self.young.__contains__, chain.from_iterable(chunks))}
-        back = new.intersection(self.old)
-        self.young |= {c: self.old[c] for c in back}
-        new -= back
-        plain = [c for c in new if c.isalpha()]
-        mixed = [(c, [c[:-1], c[-1]] if c[-1] in ".,;:" and c[:-1].isalpha() else words_of(c)) for c in new.difference(plain)]
-        words = [*{w for _, found in mixed for w in found}.union(plain).difference(self.young)]
+        self.number = Numbers()
+        self.starts = np.zeros(1, np.int64)
+        self.ids = np.empty(0, np.uint32)
+        self.last = np.empty(0, np.int64)
+
+    def _learn(self, new: list[str | tuple[str]]) -> None:
+        """The paths of ``new``, numbered last and in this order, and of the words that they consist of; a tuple is a special token."""
+        known = len(self.starts) - 1
+        mixed: dict[str, list[str]] = {}
+        for c in new:
+            if isinstance(c, str) and not c.isalpha():
+                found = [c[:-1], c[-1]] if c[-1] in ".,;:" and c[:-1].isalpha() else words_of(c)
+                if found != [c]:
+                    mixed[c] = found
+        number = self.number
+        inner = {c: [number[w] for w in found] for c, found in mixed.items()}  # numbers words that are new
+        new, number.new = new + number.new, []
+        words = [c for c in new if c not in mixed and isinstance(c, str)]
+        paths: list[bytes] = []
         for at in range(0, len(words), 16384):
-            part = words[at : at + 16384]
-            self.young |= zip(part, self.automaton.words([w.encode() for w in part]), strict=True)
-        self.young |= {c: b"".join([self.young[w] for w in found]) for c, found in mixed if found != [c]}
+            paths += self.automaton.words([w.encode() for w in words[at : at + 16384]])
+        own = iter(paths)
+        found = [None if c in mixed else next(own) if isinstance(c, str) else struct.pack("<I", self.automaton.special[c[0]]) for c in new]
+
+        def path(n: int) -> bytes:
+            return found[n - known] if n >= known else self.ids[self.starts[n] : self.starts[n + 1]].tobytes()
+
+        for c, parts in inner.items():
+            found[number[c] - known] = b"".join([path(n) for n in parts])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) // 4 for x in found])])
+
+    def _forget(self) -> None:
+        """Keep only what the last batch met."""
+        words = [*self.number]
+        sizes = self.starts[self.last + 1] - self.starts[self.last]
+        self.ids = self.ids[runs(sizes) + np.repeat(self.starts[self.last], sizes)]
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.number = Numbers()
+        self.number |= {words[i]: k for k, i in enumerate(self.last.tolist())}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; nulls and empty texts have none."""
         special = self.automaton.special_pattern
-        chunks: list[list[str]] = []
-        marks: dict[int, list[str | bytes]] = {}  # of texts with special tokens: these tokens' ids in their places
-        for i, text in enumerate(texts):
-            if not text or special is None or not special.search(text):
-                chunks.append(chunks_of(text) if text else [])
-                continue
-            at, whole = 0, []
-            for m in special.finditer(text):
-                whole += [*chunks_of(text[at : m.start()]), struct.pack("<I", self.automaton.special[m[0]])]
-                at = m.end()
-            marks[i] = whole + chunks_of(text[at:])
-            chunks.append([c for c in marks[i] if isinstance(c, str)])
-        self._learn(chunks)
-        path = self.young.__getitem__
-        return [b"".join(map(path, found) if i not in marks else [path(c) if isinstance(c, str) else c for c in marks[i]]) for i, found in enumerate(chunks)]
+        if len(self.number) * 190 > REMEMBERED:
+            self._forget()
+        number, sizes, numbers = self.number.__getitem__, [], []
+        for text in texts:
+            if not text:
+                chunks: list[str | tuple[str]] = []
+            elif special is None or not special.search(text):
+                chunks = chunks_of(text)
+            else:
+                at, chunks = 0, []
+                for m in special.finditer(text):
+                    chunks += [*chunks_of(text[at : m.start()]), (m[0],)]
+                    at = m.end()
+                chunks += chunks_of(text[at:])
+            sizes.append(len(chunks))
+            numbers.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
+        if self.number.new:
+            new, self.number.new = self.number.new, []
+            self._learn(new)
+        found = np.concatenate(numbers) if numbers else self.last[:0]
+        self.last = np.unique(found)
+        lengths = self.starts[found + 1] - self.starts[found]
+        ids = self.ids[runs(lengths) + np.repeat(self.starts[found], lengths)].astype("<u4").tobytes()
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])] * 4
+        return [ids[a:b] for a, b in pairwise(ends.tolist())]
+
+
+def runs(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``counts``, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
 def chunks_of(text: str) -> list[str]:
