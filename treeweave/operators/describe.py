@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from queue import Empty, Queue
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +16,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import trim
 from ..schemas import check_range, node_order_columns
+from ..sources.files import file_system
+from ..tables import cut
 from .lookup import holding, nodes_without_comments
 from .maintain import replace_generated
 
@@ -85,34 +91,94 @@ def generation_targets(nodes: DataFrame, comments: DataFrame, limit: int | None
     return nodes_without_comments(nodes, comments, limit)
 
 
-def generate_comments(prompts: DataFrame, client: Callable[[], Callable[[str, str, float, int, float], str]] | None, max_concurrent: int = 3, tasks: int | None = None) -> DataFrame:
-    """``prompts`` (repo, id, system, user) with ``text`` and ``error``: one call each, at most ``max_concurrent`` at a time in a task.
+Client = Callable[[str, str, float, int, float], str]
+
+
+def asked(call: Client, system: str, user: str, deadline: float) -> tuple[str | None, str | None]:
+    """One call's text and error. A call that isn't back after ``deadline`` seconds is an error, whether it heeds its timeout or hangs: its thread is left to itself."""
+    done: Queue[tuple[str | None, str | None]] = Queue()
+
+    def run() -> None:
+        try:
+            done.put(((call(system, user, 0.3, 500, deadline) or "").strip() or None, None))
+        except Exception as e:
+            done.put((None, f"{type(e).__name__}: {e}"))
+
+    Thread(target=run, daemon=True).start()
+    try:
+        return done.get(timeout=deadline)
+    except Empty:
+        return None, f"TimeoutError: no answer within {deadline:g} seconds"
+
+
+class Answers:
+    """Answers kept in a folder by their prompts' digests, a small file each, written as they come."""
+
+    def __init__(self, folder: str):
+        self.system, self.base = file_system(folder)
+
+    def place(self, digest: str) -> str:
+        return f"{self.base}/{digest[:2]}/{digest}.json"
+
+    def get(self, digest: str) -> tuple[str | None] | None:
+        """The answer in a tuple; None if there is none yet."""
+        try:
+            with self.system.open_input_stream(self.place(digest)) as f:
+                return (json.loads(f.read())["text"],)
+        except FileNotFoundError:
+            return None
+
+    def put(self, digest: str, text: str | None) -> None:
+        place = self.place(digest)
+        temporary = f"{place}.{uuid.uuid4().hex}"
+        self.system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        with self.system.open_output_stream(temporary) as f:
+            f.write(json.dumps({"text": text}).encode())
+        self.system.move(temporary, place)
+
+
+def generate_comments(
+    prompts: DataFrame, client: Callable[[], Client] | None, max_concurrent: int = 3, tasks: int | None = None, answers: str | None = None, deadline: float = 30.0, in_flight: int | None = None
+) -> DataFrame:
+    """``prompts`` (repo, id, system, user) with ``text`` and ``error``: at most ``max_concurrent`` calls at a time in a task.
 
     ``client``: a picklable factory, called once a task, of a function (system, user, temperature, max_tokens, timeout in seconds)
-    -> text. None: nothing is generated. Empty answers are null; an error is its own row's only. ``tasks`` bounds the calls
-    in flight over the cluster. Write the result before using it, or a retry calls again.
+    -> text. None: nothing is generated. Empty answers are null; an error is its own row's only. A call that isn't back after ``deadline`` seconds is given up,
+    even if it hangs. ``in_flight`` bounds the calls at a time over the whole cluster (``tasks`` does, too, times ``max_concurrent``).
+
+    ``answers``: a folder, shared by all tasks, where answers are kept as they come. Then equal prompts are sent once, and a task that starts
+    again, or a job that is run again, asks only for what isn't there; errors are not kept. Without it a retry calls again: write the result before using it.
     """
     check_range("maxConcurrent", max_concurrent, 1, 10)
-    schema = "repo string, id string, text string, error string"
     if client is None:
         return prompts.select("repo", F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("error"))
+    if in_flight is not None:
+        max_concurrent = min(max_concurrent, check_range("in_flight", in_flight, 1, 1_000_000))
+        tasks = min(tasks or in_flight, in_flight // max_concurrent)
+    rows = prompts.select("repo", F.col("id").cast("string").alias("id"), "system", "user", F.sha2(F.to_json(F.array("system", "user")), 256).alias("digest"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = client()
+        call, kept = client(), Answers(answers) if answers else None
 
-        def one(system: str, user: str) -> tuple[str | None, str | None]:
-            try:
-                return (call(system, user, 0.3, 500, 30.0) or "").strip() or None, None
-            except Exception as e:
-                return None, f"{type(e).__name__}: {e}"
+        def one(system: str, user: str, digest: str) -> tuple[str | None, str | None]:
+            known = kept.get(digest) if kept else None
+            if known:
+                return known[0], None
+            text, error = asked(call, system, user, deadline)
+            if kept and error is None:
+                kept.put(digest, text)
+            return text, error
 
         with ThreadPoolExecutor(max_concurrent) as pool:
             for x in batches:
-                done = [*pool.map(one, x["system"], x["user"])]
-                yield pd.DataFrame({"repo": x["repo"], "id": x["id"], "text": [d[0] for d in done], "error": [d[1] for d in done]})
-
-    rows = prompts.select("repo", F.col("id").cast("string").alias("id"), "system", "user")
-    return (rows.repartition(tasks) if tasks else rows).mapInPandas(run, schema)
+                done = [*pool.map(one, x["system"], x["user"], x["digest"])]
+                yield x[[c for c in ("repo", "id") if c in x] or ["digest"]].assign(text=[d[0] for d in done], error=[d[1] for d in done])
+
+    if not answers:
+        return (rows.repartition(tasks) if tasks else rows).mapInPandas(run, "repo string, id string, text string, error string")
+    distinct = rows.groupBy("digest").agg(F.first("system").alias("system"), F.first("user").alias("user"))
+    found = (distinct.repartition(tasks) if tasks else distinct).mapInPandas(run, "digest string, text string, error string")
+    return rows.select("repo", "id", "digest").join(cut(found, "answers"), "digest").select("repo", "id", "text", "error")
 
 
 def to_generate(prompts: DataFrame, comments: DataFrame, always_generate: bool = False) -> DataFrame:

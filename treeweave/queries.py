@@ -737,6 +737,41 @@ def stream_late_events(spark, d):
     return streamed(spark, d, True)
 
 
+# --- trees ---
+
+
+@query("SELECT 't' AS repo, repo || '/' || file_path AS file_path, hash AS source, false AS failed FROM {fx_files} WHERE language <> 'tsx' UNION ALL SELECT 't', 'lost/' || repo || '.ts', NULL, true FROM (SELECT DISTINCT repo FROM {fx_files}) r")
+def scanned_tree(spark, d):
+    """A folder with a file for each of the fixtures' files, read whole; of files that go between listing and reading it is told that they can't be read."""
+    import uuid
+
+    from .tables import cut, shared_dir
+
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+
+    def write(batches):
+        system, base = source_files.file_system(root)
+        for x in batches:
+            for repo, path, text in x.itertuples(index=False):
+                place = f"{base}/{repo}/{path}"
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(place) as f:
+                    f.write(text.encode())
+            yield x[["file_path"]]
+
+    cut(frame(spark, d, "fx_files").select("repo", "file_path", "hash").mapInPandas(write, "file_path string"), "tree")
+    system, base = source_files.file_system(root)
+    system.create_dir(f"{base}/lost")
+    lost = [f"{base}/lost/{r[0]}.ts" for r in frame(spark, d, "fx_files").select("repo").distinct().collect()]
+    for place in lost:
+        with system.open_output_stream(place) as f:
+            f.write(b"lost")
+    found = source_files.scan_source_tree(spark, root, "t")
+    for place in lost:
+        system.delete_file(place)
+    return found.select("repo", "file_path", "source", F.col("error").isNotNull().alias("failed"))
+
+
 # --- jobs ---
 
 

@@ -32,6 +32,8 @@ LANGUAGE_EXTENSIONS = {
 DEFAULT_LANGUAGES = ["typescript", "javascript", "python", "java", "csharp", "go", "rust", "c", "cpp", "ruby", "php"]
 DEFAULT_IGNORED = ["node_modules", ".git", "dist", "build", "out", "__pycache__", ".venv", "venv", "vendor", "target", ".next", "coverage"]
 MAX_DEPTH = 20
+#: Bytes of files that a task reads, and hands on, at a time; and what opening a file costs, in bytes.
+READ, OPENED = 16 << 20, 64 << 10
 
 
 def language_of(path: Column) -> Column:
@@ -50,26 +52,31 @@ def keep_path(path: Column, ignored: list[str] | None = None, languages: list[st
 
 
 def list_tree(spark: SparkSession, root: str, ignored: list[str] | None = None) -> DataFrame:
-    """(file_path) of all files below ``root``, a local path or a URI, level by level; ignored and dotted names aren't entered.
+    """(file_path, size, error) of all files below ``root``, a local path or a URI, level by level; ignored and dotted names aren't entered.
 
-    The listing is made in tasks with Arrow's file systems: Spark's own readers skip names that begin with an underscore.
+    A folder that can't be listed has one row, with the error, and the rest goes on. The listing is made in tasks with Arrow's file systems: Spark's own
+    readers skip names that begin with an underscore.
     """
     ignored = DEFAULT_IGNORED if ignored is None else ignored
-    schema = "file_path string, folder boolean"
+    schema = "file_path string, folder boolean, size bigint, error string"
 
     def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = file_system(root)
         for x in batches:
             for folder in x["file_path"]:
-                infos = system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), recursive=False))
-                names = [(i.base_name, i.type == fs.FileType.Directory) for i in infos if not i.base_name.startswith(".") and i.base_name not in ignored]
-                yield pd.DataFrame([(f"{folder}/{n}".lstrip("/"), d) for n, d in names], columns=["file_path", "folder"])
+                try:
+                    infos = system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), recursive=False))
+                except Exception as e:
+                    yield pd.DataFrame([(folder, False, 0, f"{type(e).__name__}: {e}")], columns=["file_path", "folder", "size", "error"])
+                    continue
+                names = [(f"{folder}/{i.base_name}".lstrip("/"), i.type == fs.FileType.Directory, i.size or 0, None) for i in infos if not i.base_name.startswith(".") and i.base_name not in ignored]
+                yield pd.DataFrame(names, columns=["file_path", "folder", "size", "error"])
 
     level = spark.createDataFrame([("",)], "file_path string")
     found = None
     for _ in range(MAX_DEPTH + 1):
         below = cut(level.mapInPandas(children, schema), "listing")
-        files = below.filter("NOT folder").select("file_path")
+        files = below.filter("NOT folder").select("file_path", "size", "error")
         found = files if found is None else found.unionByName(files)
         level = below.filter("folder").select("file_path").repartition(spark.sparkContext.defaultParallelism)
         if not below.filter("folder").limit(1).count():
@@ -85,18 +92,44 @@ def file_system(root: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), root.rstrip("/")
 
 
-def read_source_tree(spark: SparkSession, root: str, repo: str, ignored: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
-    """source_files(repo, file_path, source) of a folder; paths are filtered before any file is opened. Bytes that aren't UTF-8 are replaced."""
-    kept = list_tree(spark, root, ignored).filter(keep_path(F.col("file_path"), ignored, languages))
+def scan_source_tree(spark: SparkSession, root: str, repo: str, ignored: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
+    """(repo, file_path, source, error) of a folder: a row for each file that is kept, and for each file or folder that can't be read, with the error.
+
+    Paths are filtered before any file is opened. Files are dealt out by their sizes, in parts of about READ bytes, and handed on by as many. Bytes that aren't
+    UTF-8 are replaced.
+    """
+    listed = cut(list_tree(spark, root, ignored), "tree")
+    failed = listed.filter("error IS NOT NULL").select(F.lit(repo).alias("repo"), "file_path", F.lit(None).cast("string").alias("source"), "error")
+    kept = listed.filter("error IS NULL").filter(keep_path(F.col("file_path"), ignored, languages)).select("file_path", "size")
+    # an opened file counts as some bytes, so that many small ones are dealt out, too
+    parts = kept.agg(F.ceil(F.sum(F.col("size") + OPENED) / READ)).first()[0] or 1
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = file_system(root)
+        rows: list[tuple[str, str, str | None, str | None]] = []
+        size = 0
         for x in batches:
             for path in x["file_path"]:
-                with system.open_input_stream(f"{base}/{path}") as f:
-                    yield pd.DataFrame({"repo": [repo], "file_path": [path], "source": [f.read().decode("utf-8", "replace")]})
+                try:
+                    with system.open_input_stream(f"{base}/{path}") as f:
+                        data = f.read()
+                    rows.append((repo, path, data.decode("utf-8", "replace"), None))
+                    size += len(data)
+                except Exception as e:
+                    rows.append((repo, path, None, f"{type(e).__name__}: {e}"))
+                if size >= READ or len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["repo", "file_path", "source", "error"])
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["repo", "file_path", "source", "error"])
+
+    found = kept.select("file_path").repartition(max(int(parts), spark.sparkContext.defaultParallelism)).mapInPandas(texts, "repo string, file_path string, source string, error string")
+    return found.unionByName(failed)
 
-    return kept.repartition(spark.sparkContext.defaultParallelism).mapInPandas(texts, "repo string, file_path string, source string")
+
+def read_source_tree(spark: SparkSession, root: str, repo: str, ignored: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
+    """source_files(repo, file_path, source) of a folder; what can't be read is passed over (``scan_source_tree`` tells what)."""
+    return scan_source_tree(spark, root, repo, ignored, languages).filter("error IS NULL").drop("error")
 
 
 def ignore_patterns(lines: DataFrame, configured: list[str]) -> DataFrame:
