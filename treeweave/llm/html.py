@@ -32,7 +32,9 @@ NAME = re.compile(r"</?([a-zA-Z][\w:-]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 #: Elements of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select datalist head".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas audio video select datalist head".split())
+#: Those of RAW that, unended, run to the end of the page; of the others, unended, what follows is read on.
+ENDLESS = frozenset("script style textarea title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -51,6 +53,12 @@ NEVER = re.compile(
     r"comments?|commentlist|replies|reply|disqus|discussion|responses|copyright|legal|disclaimer)(?:$|[-_])|^(?:comment|advert|cookie|sponsor)",
     re.IGNORECASE,
 )
+#: Words that say what something is about as often as what it is: before another thing's name they don't count ("cookie-recipes").
+ABOUT = frozenset("legal cookie cookies alert alerts notice notices discussion responses search menu menus form side foot login promotion".split())
+#: Words for parts and places, which name no thing.
+PLACES = frozenset(
+    "left right top bottom primary secondary main global site page inner outer wrap wrapper container box block area section bar list item items row col column content text body holder panel card group zone slot unit region layout link links button buttons info message messages policy".split()
+)
 INSIDE = re.compile(r"(?:^|[-_])(?:article|articlebody|post|entry|story|content|main|body|text|prose)(?:$|[-_])", re.IGNORECASE)
 LAYOUT = re.compile(r"^(?:has|with|no|without|is)[-_]", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -60,9 +68,28 @@ NEIGHBOUR, UNLIKE, SIBLING = 0.8, 0.05, 1.2
 #: Pages that the classifier learns from, about (twice as many at most), the blocks that such a page has at most, and the turns.
 SAMPLE, MOST_BLOCKS, TURNS = 400, 500, 3
 #: How many blocks the prior weighs as much as.
-BELIEF = 10000.0
+BELIEF = 50.0
 #: Costs are multiples of 1 / UNIT and of LARGEST at most, so flows are exact and a step of them isn't too small.
 UNIT, LARGEST = 16, 12.0
+#: How likely, as log odds, the likeliest block of a page's text is at least.
+SOME = 2.0
+
+
+def thing(name: str) -> str:
+    """A class's or id's name without the words that only tell what the thing that it names is about."""
+    pieces = [p for p in re.split("[-_]+", name) if p]
+    low = [p.lower() for p in pieces]
+    if not ABOUT.intersection(low):
+        return name
+    out, named = [], False
+    for p in reversed(low):
+        other = p not in PLACES and not p.isdigit() and p not in ABOUT
+        if p in ABOUT and named:
+            continue
+        # only a word that isn't itself one for something beside the text makes the words before it mere topics
+        named = named or other and not OUTSIDE.search(p) and not INSIDE.search(p)
+        out.append(p)
+    return "-".join(reversed(out))
 
 
 @dataclass
@@ -138,14 +165,14 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
                 end = None if tag in unended else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
                 if not end:
                     unended.add(tag)
-                at = end.end() if end else (at if tag in ("head", "noscript") else len(page))
+                at = end.end() if end else (len(page) if tag in ENDLESS else at)
             continue
         if tag in BLOCKS:
             current = None
         while len(open_) > 1 and tag in CLOSES.get(elements[open_[-1]].tag, ()):
             close()
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[0])} if " " in m[0] or "\n" in m[0] else {}
-        names = [n for n in f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}".split() if not LAYOUT.match(n)]
+        names = [thing(n) for n in f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}".split() if not LAYOUT.match(n)]
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(found.get("style", "")))
         elements.append(Element(tag, open_[-1], names, found.get("role", "").lower(), hidden))
         open_.append(len(elements) - 1)
@@ -214,6 +241,8 @@ PRIOR_WEIGHTS = {
     "in something else named as beside": -6.0,
 }
 PRIOR = np.array([*PRIOR_WEIGHTS.values()])
+#: The features that say that a block stands beside the text.
+BESIDE = slice(11, 16)
 
 
 def surroundings(elements: list[Element]) -> list[tuple[float, ...]]:
@@ -298,8 +327,18 @@ def whole_units(x: float) -> float:
 
 
 def labelled(x: np.ndarray, edges: list[Edge], weights: np.ndarray) -> list[bool]:
-    """Which blocks are content."""
-    return minimum_cut([whole_units(v) for v in (x @ weights).tolist()], [(a, b, max(1, round(w * UNIT)) / UNIT) for a, b, w in edges])
+    """Which blocks are content.
+
+    A page has a main text where it has any text that stands in nothing beside it: if the cut keeps nothing of a page, that text's costs
+    are raised alike, until its likeliest block is likely by SOME, and the page is cut anew.
+    """
+    score, joined = x @ weights, [(a, b, max(1, round(w * UNIT)) / UNIT) for a, b, w in edges]
+    found = minimum_cut([whole_units(v) for v in score.tolist()], joined)
+    free = ~x[:, BESIDE].any(axis=1)
+    if any(found) or not free.any():
+        return found
+    raised = np.where(free, score + max(0.0, SOME - score[free].max()), score)
+    return minimum_cut([whole_units(v) for v in raised.tolist()], joined)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
