@@ -432,3 +432,12 @@ def test_ids_with_several_texts_stay_apart_however_many(spark, monkeypatch):
     few = found()
     monkeypatch.setattr(substrings, "SHARED_IDS", 3)
     assert found() == few and sum(n == 0 for _, _, n in few) == 1
+
+
+def test_languages_are_learned_from_whole_texts(spark):
+    """Bounds choose documents; none is cut, not even one that alone is longer than a language's share."""
+    long = "".join(chr(97 + i * i % 23) for i in range(3 * langid.PER_LANGUAGE))
+    rows = [(i, f"word{i} " * (400 + 300 * (i % 5)), "xx") for i in range(30)] + [(100, long, "yy"), (101, long + "more", "yy"), (102, None, "zz"), (103, "", "zz")]
+    learned = langid.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert learned["yy"] == "\n" + long and learned["zz"] == "\n"
+    assert {*learned["xx"].split("\n")[1:]} <= {t for _, t, _ in rows} and len(learned["xx"]) <= langid.PER_LANGUAGE

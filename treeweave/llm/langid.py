@@ -22,8 +22,9 @@ from pyspark.sql.window import Window
 
 from .shared import held
 
-#: Characters of labelled text that each language's automaton holds, at most, and from a document; documents of a language, at most.
-PER_LANGUAGE, PER_DOCUMENT, DOCUMENTS = 40_000, 5_000, 320
+#: Characters of labelled text that each language's automaton holds, unless its first document alone is longer; up to how many a document is taken for short;
+#: documents of a language, at most. They bound which documents are learned, not their texts.
+PER_LANGUAGE, SHORT, DOCUMENTS = 40_000, 5_000, 320
 #: Symbols that are read in one go from each place.
 RUN = 2048
 #: Arcs are a dense table up to so many cells, otherwise (alphabets of thousands of letters) a sorted list.
@@ -34,12 +35,11 @@ UNDETERMINED = "und"
 
 
 def training_texts(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text", key: str = "doc_id") -> dict[str, str]:
-    """Up to PER_LANGUAGE characters of each language: its documents in order of a hash, so a sample independent of their layout.
+    """A bounded sample of each language's documents, whole texts: in order of a hash, so independent of their layout, as many as make PER_LANGUAGE characters.
 
-    Documents of up to PER_DOCUMENT characters come first and are taken whole; of longer ones, needed only where those don't
-    suffice, that many characters from a hashed place. At most DOCUMENTS of a language are looked at. The sample is all
-    that reaches the driver; a first pass over the labels tells what share of a language's documents is enough, so that
-    only about four times as many are shuffled.
+    Documents of up to SHORT characters come first; longer ones, needed only where those don't suffice, by their lengths. The first document is learned
+    however long it is. At most DOCUMENTS of a language are looked at. The sample is all that reaches the driver; a first pass over the
+    labels tells what share of a language's documents is enough, so that only about four times as many are shuffled.
     """
     labelled = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     h = F.xxhash64(F.lit(6), F.col(key), F.col(text))
@@ -49,11 +49,10 @@ def training_texts(docs: DataFrame, usable: Column, lang: str = "lang", text: st
         return {}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 4 * DOCUMENTS / n) * (2**62))))])
     few = labelled.filter(F.pmod(F.col("h"), F.lit(2**62)) <= share[F.col("lang")])
-    place = F.pmod(F.xxhash64(F.lit(7), "h"), F.col("n") - F.lit(PER_DOCUMENT) + 1)
-    few = few.select("lang", "h", (F.col("n") > PER_DOCUMENT).alias("long"), F.when(F.col("n") <= PER_DOCUMENT, F.col("text")).otherwise(F.substring("text", (place + 1).cast("int"), PER_DOCUMENT)).alias("text"))
+    few = few.select("lang", "h", F.when(F.col("n") > SHORT, F.col("n")).otherwise(0).alias("long"), "text")
     order = Window.partitionBy("lang").orderBy("long", "h", "text")
     few = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= DOCUMENTS)
-    few = few.withColumn("upto", F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= PER_LANGUAGE)
+    few = few.withColumn("upto", F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("upto") <= PER_LANGUAGE) | (F.col("k") == 1))
     out: dict[str, str] = {}
     for r in few.orderBy("lang", "long", "h", "text").select("lang", "text").collect():
         out[r[0]] = out.get(r[0], "") + "\n" + r[1]
