@@ -62,7 +62,7 @@ def ngram_buckets(words: list[str], sizes: tuple[int, ...] = NGRAMS, bits: int =
             at = np.flatnonzero(edge)[:-1]
             place = np.arange(len(codes)) - np.flatnonzero(edge)[number]
             power = np.cumprod(np.concatenate([[1], np.full(int(place.max()) if len(place) else 0, 1000003)]).astype(np.uint32), dtype=np.uint32)
-            h = np.add.reduceat(mixed * power[place], at, dtype=np.uint32) if len(words) else np.empty(0, np.uint32)
+            h = np.add.reduceat((mixed * power[place])[:-1], at, dtype=np.uint32) if len(words) else np.empty(0, np.uint32)
             owner = np.arange(len(words))
         else:
             if len(codes) < n:
