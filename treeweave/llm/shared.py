@@ -35,7 +35,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand texts to Python by ``rows`` rather than by Spark's default of 10,000, unless the session has a setting of its own: a batch is held several times over."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(setting) == "10000":
