@@ -7,11 +7,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from treeweave.llm import bpe, packing
+from treeweave.llm import bpe, packing, queries
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -76,6 +77,38 @@ def test_encode_and_decode(spark, library):
     assert bpe.encode(docs.limit(0), PATH).count() == 0
 
 
+def test_encode_and_decode_in_one_pass(spark, library):
+    """As one after the other, with one Python worker a task; the decoded text may stand in the text's place, among columns of any order."""
+    docs = spark.createDataFrame([(t, i, "x") for i, t in enumerate([*ODD, None, ODD[5]])] + [("null id", None, None)], "text string, doc_id long, more string")
+    got = bpe.encode(docs, PATH, decoded="text")
+    assert got.columns == ["doc_id", "more", "ids", "text"]
+    want = bpe.decode(bpe.encode(docs, PATH), PATH).select("doc_id", "more", "ids", F.col("decoded").alias("text"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    beside = bpe.encode(docs, PATH, decoded="decoded")
+    assert beside.columns == ["text", "doc_id", "more", "ids", "decoded"]
+    for r in beside.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids, skip_special_tokens=False)
+    found = bpe.encode(docs, PATH, ids="text")  # ids in the text's place
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.select("doc_id", "more", F.col("ids").alias("text")).collect()))
+
+
+def test_one_python_worker_a_task(spark):
+    """Encoding and decoding by workers of their own took an executor of two cores beyond 3000 MB."""
+    plan = queries.op2_bpe_automaton(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_labels_of_lists():
+    labels = pa.array(["a", None, "c", None], pa.string())
+    ids = pa.array([[2, 0], [0], None, [], [0, 1, 2, 3, 9, -1], [None, 0]], pa.list_(pa.int32()))
+    assert bpe.texts_of(ids, labels).to_pylist() == ["c a", "a", "", "", "a c", "a"]
+    assert bpe.texts_of(ids.slice(1, 4), labels).to_pylist() == ["a", "", "", "a c"]
+    assert bpe.texts_of(ids[:0], labels).to_pylist() == []
+    for path in (PATH, public_tokenizers.path("byte_bpe_50k.json")):
+        assert bpe.labels_of(path)[0].as_py() == Tokenizer.from_file(path).id_to_token(0)
+
+
 def test_best_two_fit_refills():
     # greedy: 6 3, gap 1; the 3 goes for 2 and 2, which fill the gap of 4
     assert packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)[0] == ((6, 2, 2), 1)

@@ -451,31 +451,49 @@ def id_lists(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with ``ids``: the token ids of the whole of ``text``.
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``ids``: the token ids of the whole of ``text``; with ``decoded``, if named: what ``decode`` makes of them, in the same pass.
 
-    A null or empty text has an empty list. A column named as ``ids`` is replaced; other columns stay as they are.
-    Rows are independent: no shuffle, repeated rows give repeated results.
+    A null or empty text has an empty list. A column named as ``ids`` or ``decoded`` is replaced (also the text itself, which then
+    doesn't travel back); other columns stay as they are. Rows are independent: no shuffle, repeated rows give repeated results.
     """
-    kept = [c for c in docs.columns if c != ids]
-    rest = docs.select(*(F.col(f"`{c}`") for c in kept))
+    made = [ids] if decoded is None else [ids, decoded]
+    kept = [c for c in docs.columns if c not in made]
+    rest = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c in kept or c == text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in token_batches(batches, path, text):
-            yield pa.RecordBatch.from_arrays([*part.columns, id_lists(found)], names=[*kept, ids])
+            lists = id_lists(found)
+            own = [lists] if decoded is None else [lists, texts_of(lists, labels_of(path))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *own], names=[*kept, *made])
 
-    return rest.mapInArrow(run, rest.withColumn(ids, F.lit(None).cast("array<int>")).schema)
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).withColumn(ids, F.lit(None).cast("array<int>"))
+    return rest.mapInArrow(run, (schema if decoded is None else schema.withColumn(decoded, F.lit(None).cast("string"))).schema)
 
 
-def labels_of(path: str) -> dict[int, str]:
-    """The label of each id in a vocabulary file."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+#: The last vocabulary's labels in this Python worker: some MB, apart from the encoder's tables, so that a worker that decodes doesn't lose them.
+_LABELS: dict[str, pa.StringArray] = {}
 
 
-#: The last vocabulary's labels in this Python worker: some MB, apart from the encoder's tables, so that a worker that decodes doesn't lose them.
-_LABELS: dict[str, dict[int, str]] = {}
+def labels_of(path: str) -> pa.StringArray:
+    """The label of each id in a vocabulary file, by id; null where there is none, and at the end. Kept between tasks."""
+    if path not in _LABELS:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        found = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        _LABELS.clear()
+        _LABELS[path] = pa.array([found.get(i) for i in range(max(found, default=-1) + 2)], pa.string())
+    return _LABELS[path]
+
+
+def texts_of(ids: pa.ListArray, labels: pa.StringArray) -> pa.StringArray:
+    """The labels of each list's ids, joined by a space; ids without a label are left out, null lists are empty."""
+    none = len(labels) - 1
+    flat = pc.fill_null(pc.cast(ids.flatten(), pa.int64()), none).to_numpy()
+    names = labels.take(pa.array(np.where((flat >= 0) & (flat < none), flat, none)))
+    named = np.concatenate([[0], np.cumsum(names.is_valid().to_numpy(zero_copy_only=False))])
+    ends = named[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.drop_null()), " ")
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -488,15 +506,11 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     rest = docs.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LABELS:
-            _LABELS.clear()
-            _LABELS[path] = labels_of(path)
-        labels = _LABELS[path]
+        labels = labels_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [" ".join([labels[i] for i in x if i in labels]) if x else "" for x in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*kept, decoded])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts_of(part.column(ids), labels)], names=[*kept, decoded])
 
     return rest.mapInArrow(run, rest.withColumn(decoded, F.lit(None).cast("string")).schema)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import align, ann, bpe, codes, html, langid, neardup, packing, quality, substrings, topk, toxicity, urls
-from .shared import held_out, table
+from .shared import held_out, small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,12 +24,14 @@ def op1_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer()).drop("text")
-    return bpe.decode(encoded, tokenizer()).select(
+    """Texts are decoded where they are encoded: one Python worker a task, which gets some MB of text at once."""
+    small_batches(spark, 1000)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, tokenizer(), decoded="text").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
     )
 
 
