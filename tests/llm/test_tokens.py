@@ -51,6 +51,16 @@ def test_remembered_words_have_a_bound(library, monkeypatch):
         assert len(encoder.number) < 120
 
 
+def test_long_words_count_by_their_bytes(library, monkeypatch):
+    """What words take that are longer than usual, and their ids, is bounded as well."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 1_000_000)
+    encoder, rng = bpe.Encoder(PATH), random.Random(4)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(150)) for _ in range(40)) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sum(map(len, encoder.number)) + encoder.ids.nbytes < 1_000_000 + 120 * 4 * 180
+
+
 def test_gadgets_in_order():
     """Few merges, by hand: of a a a the left pair joins; a later merge doesn't take what an earlier one has."""
     a = bpe.Automaton.__new__(bpe.Automaton)

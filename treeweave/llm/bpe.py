@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -44,8 +45,8 @@ LATIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³
 SEPARATOR = re.compile("[\x1c-\x1f]")
 #: Stands for the end-of-word mark while a word is spelt: the symbol after the bytes.
 END = 256
-#: Bytes that one Python worker spends on remembered words at most, some 190 for each; transitions it keeps at hand (a power of two).
-REMEMBERED, ARCS = 100_000_000, 1 << 20
+#: Bytes that one Python worker spends on remembered words at most: some 190 for an ordinary one, PLACE beside the word and its ids; transitions it keeps at hand (a power of two).
+REMEMBERED, PLACE, ARCS = 100_000_000, 120, 1 << 20
 #: Bytes of a word from which on it is read alone.
 LONG = 200
 
@@ -342,6 +343,7 @@ class Encoder:
         self.starts = np.zeros(1, np.int64)
         self.ids = np.empty(0, np.uint32)
         self.last = np.empty(0, np.int64)
+        self.taken = 0
 
     def _learn(self, new: list[str | tuple[str]]) -> None:
         """The paths of ``new``, numbered last and in this order, and of the words that they consist of; a tuple is a special token."""
@@ -369,6 +371,7 @@ class Encoder:
             found[number[c] - known] = b"".join([path(n) for n in parts])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) // 4 for x in found])])
+        self.taken += sum(map(sys.getsizeof, new)) + sum(map(len, found)) + PLACE * len(new)
 
     def _forget(self) -> None:
         """Keep only what the last batch met."""
@@ -378,11 +381,12 @@ class Encoder:
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.number = Numbers()
         self.number |= {words[i]: k for k, i in enumerate(self.last.tolist())}
+        self.taken = sum(map(sys.getsizeof, self.number)) + self.ids.nbytes + PLACE * len(self.number)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; nulls and empty texts have none."""
         special = self.automaton.special_pattern
-        if len(self.number) * 190 > REMEMBERED:
+        if self.taken > REMEMBERED:
             self._forget()
         number, sizes, numbers = self.number.__getitem__, [], []
         for text in texts:
