@@ -20,7 +20,7 @@ FILE = ["repo", "file_path"]
 def extract_files(changed: DataFrame, parsers: dict[str, Parser] | None, now_ms: int, max_body: int = 2000) -> tuple[Index, DataFrame]:
     """The rows of changed files (repo, file_path, source, hash), and the files among them that a parser took."""
     syntax = cut(parse_sources(changed, parsers).filter(F.col("kind") != ERROR), "syntax")
-    taken = changed.join(syntax.select(*FILE).distinct(), FILE, "left_semi").withColumn("language", language_of(F.col("file_path")))
+    taken = changed.join(syntax.filter("node_id = 0").select(*FILE), FILE, "left_semi").withColumn("language", language_of(F.col("file_path")))
     symbols = cut(extract.symbols(syntax, taken, max_body), "symbols")
     return (
         Index(
@@ -62,12 +62,11 @@ def full_index(index: Index, source_files: DataFrame, parsers: dict[str, Parser]
     new, taken = extract_files(changed, parsers, int(time.time() * 1000) if now_ms is None else now_ms, max_body)
     nodes_new = new.files.agg(F.count(F.lit(1)).alias("files_processed"), F.coalesce(F.sum("node_count"), F.lit(0)).alias("nodes_found"))
     out = maintain.replace_file_rows(index, taken, new)
-    out = out.with_(files=maintain.upsert_files(index.files, new.files), edges=cut(out.edges, "edges"))
-    resolved = maintain.resolve_edges(out.edges, out.nodes)
-    open_ = F.count_if(F.col("callee_id").isNull())
-    counts = out.edges.agg(open_.alias("before")).crossJoin(resolved.agg(open_.alias("after")))  # one row each
-    summary = nodes_new.crossJoin(counts.select((F.col("before") - F.col("after")).alias("edges_resolved")))
-    return out.with_(edges=resolved), summary
+    tried = out.edges.withColumn("_open", F.col("callee_id").isNull())
+    resolved = cut(maintain.resolve_edges(tried, out.nodes), "edges")  # written once, counted and returned
+    found = F.count_if(F.col("_open") & F.col("callee_id").isNotNull())
+    summary = nodes_new.crossJoin(resolved.agg(found.alias("edges_resolved")))  # one row each
+    return out.with_(files=maintain.upsert_files(index.files, new.files), edges=resolved.drop("_open")), summary
 
 
 def reindex_report(index: Index, source_files: DataFrame, parsers: dict[str, Parser] | None = None, now_ms: int | None = None, max_body: int = 2000) -> tuple[Index, DataFrame]:

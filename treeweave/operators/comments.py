@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import WHITE, trim
-from .extract import FILE, classify
+from .extract import FILE
 
 
 def marked(line: Column) -> Column:
@@ -89,8 +89,8 @@ def original_comments(syntax: DataFrame, files: DataFrame, nodes: DataFrame) ->
 
     In Python a docstring counts, even an empty one, before the lines above. Imports and exports have no comments; empty ones are no rows.
     """
-    own = syntax.filter(classify(F.col("kind")).isin("function", "class", "interface", "enum")).select(*FILE, "node_id", "language", "start_row")
+    own = nodes.filter(~F.col("type").isin("import", "export")).select(*FILE, "node_id", "id", "language", (F.col("start_line") - 1).alias("start_row"))
     own = comment_lines(files, own).join(docstrings(syntax), [*FILE, "node_id"], "left")
     text = F.when(F.col("language") == "python", F.coalesce("docstring", "preceding")).otherwise(F.col("preceding"))
-    rows = own.withColumn("text", text).filter(F.coalesce("text", F.lit("")) != "").join(nodes.select(*FILE, "node_id", "id"), [*FILE, "node_id"])
+    rows = own.withColumn("text", text).filter(F.coalesce("text", F.lit("")) != "")
     return rows.select("repo", F.col("id").alias("node_id"), "text", F.lit("original").alias("source"), F.lit(None).cast("bigint").alias("generated_at"))

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import trim
 from ..schemas import NODES, check_range
-from ..tables import cut
+from ..tables import cut, if_small
 
 #: The kinds of syntax nodes that make symbols, by type, and those that are calls.
 KINDS = {
@@ -56,10 +56,10 @@ def child_texts(syntax: DataFrame, fields: list[str]) -> DataFrame:
     return held.groupBy(*FILE, F.col("parent_node_id").alias("node_id")).agg(*[of(f).alias(f"_{f}") for f in fields])
 
 
-def with_children(nodes: DataFrame, texts: DataFrame, fields: list[str], of: str = "node_id", prefix: str = "") -> DataFrame:
+def with_children(nodes: DataFrame, texts: DataFrame, fields: list[str], of: str = "node_id", prefix: str = "", how: str = "left") -> DataFrame:
     """``nodes`` with the fields' first children, out of ``child_texts``, of the node that column ``of`` names."""
     own = texts.select(*FILE, F.col("node_id").alias(of), *(F.col(f"_{f}").alias(f"{prefix}{f}_child") for f in fields))
-    return nodes.join(own, [*FILE, of], "left")
+    return nodes.join(own, [*FILE, of], how)
 
 
 def symbol_names(syntax: DataFrame) -> DataFrame:
@@ -68,20 +68,23 @@ def symbol_names(syntax: DataFrame) -> DataFrame:
     A name is the text of the child ``name``, or of the child ``declarator``'s child ``name``, or of the declarator; an arrow function's is its
     parent's; an export's its declaration's, by these rules; an import's its source or path without quotes, or its first 80 characters.
     """
+    key = [*FILE, "node_id"]
     fields = ["name", "declarator", "declaration", "source", "path"]
     own = syntax.withColumn("type", classify(F.col("kind"))).filter(F.col("type").isNotNull())
-    texts = cut(child_texts(syntax, fields), "children")  # few of a tree's nodes, read five times
-    own = with_children(own, texts, fields)
-    own = own.withColumn("_inner", F.col("declarator_child.node_id")).withColumn("_decl", F.col("declaration_child.node_id"))
-    own = with_children(own, texts, ["name"], "_inner", "inner_")
-    own = with_children(own, texts, ["name"], "parent_node_id", "parent_")
-    direct = F.coalesce("name_child.text", "inner_name_child.text", "declarator_child.text")
+    texts = cut(child_texts(syntax, fields), "children")  # few of a tree's nodes, read several times
+    # what isn't a node's own child is looked up only for the nodes that need it, so all others are shuffled once
+    declarators = if_small(texts.filter("_declarator IS NOT NULL").select(*key, F.col("_declarator.node_id").alias("_inner")))
+    inner = with_children(declarators, texts, ["name"], "_inner", "inner_", "inner").select(*key, "inner_name_child")
+    arrows = if_small(syntax.filter((F.col("kind") == "arrow_function") & F.col("parent_node_id").isNotNull()).select(*key, "parent_node_id"))
+    parents = with_children(arrows, texts, ["name"], "parent_node_id", "parent_", "inner").select(*key, "parent_name_child")
     # an exported declaration is a node of its own: its kind, its children, and (for an arrow function) its parent, the export
-    declared = syntax.select(*FILE, F.col("node_id").alias("_decl"), F.col("kind").alias("_decl_kind"), F.col("text").alias("_decl_text"))
-    own = own.join(declared, [*FILE, "_decl"], "left")
-    own = with_children(own, texts, ["name", "declarator", "source", "path"], "_decl", "decl_")
-    own = own.withColumn("_decl_inner", F.col("decl_declarator_child.node_id"))
-    own = with_children(own, texts, ["name"], "_decl_inner", "decl_inner_")
+    exports = if_small(texts.filter("_declaration IS NOT NULL").select(*key, F.col("_declaration.node_id").alias("_decl")))
+    declared = syntax.filter(F.col("field") == "declaration").select(*FILE, F.col("node_id").alias("_decl"), F.col("kind").alias("_decl_kind"), F.substring("text", 1, 80).alias("_decl_text"))
+    exported = exports.join(declared, [*FILE, "_decl"])
+    exported = with_children(exported, texts, ["name", "declarator", "source", "path"], "_decl", "decl_")
+    exported = exported.join(inner.select(*FILE, F.col("node_id").alias("_decl"), F.col("inner_name_child").alias("decl_inner_name_child")), [*FILE, "_decl"], "left")
+    own = with_children(own, texts, fields).join(inner, key, "left").join(parents, key, "left").join(exported, key, "left")
+    direct = F.coalesce("name_child.text", "inner_name_child.text", "declarator_child.text")
     quotes = lambda c: F.regexp_replace(c, "['\"]", "")
     imported = lambda source, path, text: F.coalesce(quotes(F.coalesce(source, path)), F.substring(text, 1, 80))
     anonymous = F.lit("<anonymous>")
@@ -103,29 +106,40 @@ def symbol_names(syntax: DataFrame) -> DataFrame:
     return own.select(*[F.col(c) for c in syntax.columns], "type", name.alias("name"))
 
 
-def enclosing(syntax: DataFrame, inner: DataFrame, types: list[str]) -> DataFrame:
-    """(repo, file_path, node_id, outer_id) for each row of ``inner`` inside a symbol of these types: the innermost one's node id.
+def innermost(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """(repo, file_path, node_id, inner, outer) for each row of ``inner`` (repo, file_path, node_id, inner) within a node of ``outer`` (repo, file_path, node_id,
+    last_desc, outer): with what the innermost one carries.
 
-    One pass over a file's symbols and inner nodes in page order counts how many symbols are open; of symbols that are equally deep
+    One pass over a file's outer and inner nodes in page order counts how many outer ones are open; of those that are equally deep
     the last one begun is the one still open. So a file costs its nodes, sorted, not their pairs.
     """
-    outer = syntax.withColumn("type", classify(F.col("kind"))).filter(F.col("type").isin(types))
-    event = lambda at, turn, by, outer_id: F.struct(at.cast("long").alias("at"), F.lit(turn).alias("turn"), F.lit(by).alias("by"), outer_id.cast("long").alias("outer_id"))
-    ends = F.explode(F.array(event(F.col("node_id"), 1, 1, F.col("node_id")), event(F.col("last_desc"), 2, -1, F.lit(None))))
-    asked = inner.select(*FILE, event(F.col("node_id"), 0, 0, F.lit(None)).alias("e"))
-    events = outer.select(*FILE, ends.alias("e")).unionByName(asked).select(*FILE, "e.*")
+    event = lambda at, turn, by, of: F.struct(at.cast("long").alias("at"), F.lit(turn).alias("turn"), F.lit(by).alias("by"), of.alias("outer"))
+    none = F.lit(None).cast(outer.schema["outer"].dataType)
+    ends = F.explode(F.array(event(F.col("node_id"), 1, 1, F.col("outer")), event(F.col("last_desc"), 2, -1, none)))
+    asked = inner.select(*FILE, event(F.col("node_id"), 0, 0, none).alias("e"), "inner").select(*FILE, "e.*", "inner")
+    events = asked.unionByName(outer.select(*FILE, ends.alias("e")).select(*FILE, "e.*"), allowMissingColumns=True)
     order = Window.orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     events = events.withColumn("depth", F.sum("by").over(order.partitionBy(*FILE))).filter((F.col("turn") < 2) & (F.col("depth") > 0))
-    events = events.withColumn("outer_id", F.last("outer_id", ignorenulls=True).over(order.partitionBy(*FILE, "depth")))
-    return events.filter("turn = 0").select(*FILE, F.col("at").alias("node_id"), "outer_id")
+    events = events.withColumn("outer", F.last("outer", ignorenulls=True).over(order.partitionBy(*FILE, "depth")))
+    return events.filter("turn = 0").select(*FILE, F.col("at").alias("node_id"), "inner", "outer")
+
+
+def enclosing(syntax: DataFrame, inner: DataFrame, types: list[str]) -> DataFrame:
+    """(repo, file_path, node_id, outer_id) for each row of ``inner`` inside a symbol of these types: the innermost one's node id."""
+    outer = syntax.filter(classify(F.col("kind")).isin(types)).select(*FILE, "node_id", "last_desc", F.col("node_id").cast("long").alias("outer"))
+    return innermost(outer, inner.select(*FILE, "node_id", F.lit(None).cast("string").alias("inner"))).select(*FILE, "node_id", F.col("outer").alias("outer_id"))
+
+
+def methods(syntax: DataFrame) -> DataFrame:
+    """(repo, file_path, node_id, _in) of the functions inside a function, class, interface or enum."""
+    functions = syntax.filter(classify(F.col("kind")) == "function")
+    return enclosing(syntax, functions, ["function", "class", "interface", "enum"]).select(*FILE, "node_id", F.lit(True).alias("_in"))
 
 
 def symbol_types(syntax: DataFrame) -> DataFrame:
     """Symbol nodes with ``type``: a function inside a function, class, interface or enum is a method. Imports and exports enclose nothing."""
     own = syntax.withColumn("type", classify(F.col("kind"))).filter(F.col("type").isNotNull())
-    functions = own.filter(F.col("type") == "function")
-    held = enclosing(syntax, functions, ["function", "class", "interface", "enum"]).select(*FILE, "node_id", F.lit(True).alias("_in"))
-    own = own.join(held, [*FILE, "node_id"], "left")
+    own = own.join(methods(syntax), [*FILE, "node_id"], "left")
     return own.withColumn("type", F.when(F.col("_in"), "method").otherwise(F.col("type"))).drop("_in")
 
 
@@ -135,17 +149,15 @@ def symbol_id(hash_: Column, node_id: Column) -> Column:
 
 
 def symbols(syntax: DataFrame, hashes: DataFrame, max_body: int = 2000) -> DataFrame:
-    """Node rows (``schemas.NODES``) of syntax trees, and ``node_id``; ``hashes``: (repo, file_path, hash)."""
-    named = symbol_names(syntax).drop("type")
-    typed = symbol_types(syntax).select(*FILE, "node_id", "type")
-    rows = named.join(typed, [*FILE, "node_id"]).join(hashes.select(*FILE, "hash"), FILE)
+    """Node rows (``schemas.NODES``) of syntax trees, and ``node_id`` and ``last_desc``; ``hashes``: (repo, file_path, hash)."""
+    rows = symbol_names(syntax).join(methods(syntax), [*FILE, "node_id"], "left").join(hashes.select(*FILE, "hash"), FILE)
     plain = F.col("type").isin("import", "export")
     return rows.select(
         "repo",
         "file_path",
         symbol_id(F.col("hash"), F.col("node_id")).alias("id"),
         "name",
-        "type",
+        F.when(F.col("_in"), "method").otherwise(F.col("type")).alias("type"),
         F.when(plain, F.substring("text", 1, 200)).otherwise(symbol_signature(F.col("text"))).alias("signature"),
         (F.col("start_row") + 1).alias("start_line"),
         (F.col("end_row") + 1).alias("end_line"),
@@ -155,28 +167,34 @@ def symbols(syntax: DataFrame, hashes: DataFrame, max_body: int = 2000) -> DataF
         "language",
         F.when(plain, "").otherwise(symbol_body(F.col("text"), max_body)).alias("body_text"),
         "node_id",
+        "last_desc",
     )
 
 
 def call_names(syntax: DataFrame, call_kinds: list[str] | None = None) -> DataFrame:
-    """Call nodes with ``callee_name``: the child ``function``, or ``method``, or else the first child; of a member access the member."""
-    calls = syntax.filter(F.col("kind").isin(CALLS if call_kinds is None else call_kinds))
-    children = syntax.filter(F.col("parent_node_id").isNotNull())
+    """(repo, file_path, node_id, start_row, callee_name) of call nodes: the child ``function``, or ``method``, or else the first child; of a member access the member.
+
+    Calls and what may be their callees meet in one aggregate; only member accesses are looked up further.
+    """
     rank = F.when(F.col("field") == "function", 0).when(F.col("field") == "method", 1).otherwise(2)
-    callee = children.filter(F.col("field").isin("function", "method") | (F.col("child_index") == 0))
-    callee = callee.groupBy(*FILE, F.col("parent_node_id").alias("node_id")).agg(F.min_by(F.struct(F.col("node_id").alias("at"), "kind", "text"), F.struct(rank, "child_index")).alias("callee"))
-    calls = calls.join(callee, [*FILE, "node_id"], "left").withColumn("_at", F.col("callee.at"))
-    calls = with_children(calls, child_texts(syntax, ["property", "field"]), ["property", "field"], "_at", "callee_")
-    name = F.when(F.col("callee.kind").isin(MEMBERS), F.coalesce("callee_property_child.text", "callee_field_child.text", "callee.text")).otherwise(F.col("callee.text"))
-    return calls.select(*[F.col(c) for c in syntax.columns], name.alias("callee_name"))
+    callees = syntax.filter(F.col("parent_node_id").isNotNull() & (F.col("field").isin("function", "method") | (F.col("child_index") == 0)))
+    callees = callees.select(*FILE, F.col("parent_node_id").alias("node_id"), F.struct(F.col("node_id").alias("at"), "kind", "text").alias("callee"), F.struct(rank.alias("rank"), "child_index").alias("_order"))
+    calls = syntax.filter(F.col("kind").isin(CALLS if call_kinds is None else call_kinds)).select(*FILE, "node_id", F.struct("start_row").alias("_call"))
+    both = calls.unionByName(callees, allowMissingColumns=True).groupBy(*FILE, "node_id").agg(F.max("_call").alias("_call"), F.min_by("callee", "_order").alias("callee"))
+    found = both.filter(F.col("_call").isNotNull()).select(*FILE, "node_id", "_call.start_row", "callee.*")
+    accesses = syntax.filter(F.col("kind").isin(MEMBERS)).select(*FILE, F.col("node_id").alias("at"))
+    members = with_children(if_small(accesses), child_texts(syntax, ["property", "field"]), ["property", "field"], "at", "", "inner")
+    found = found.join(members, [*FILE, "at"], "left")
+    name = F.when(F.col("kind").isin(MEMBERS), F.coalesce("property_child.text", "field_child.text", "text")).otherwise(F.col("text"))
+    return found.select(*FILE, "node_id", "start_row", name.alias("callee_name"))
 
 
 def call_edges(syntax: DataFrame, nodes: DataFrame, call_kinds: list[str] | None = None) -> DataFrame:
-    """Edge rows (``schemas.EDGES``), unresolved: each named call in the innermost function around it. ``nodes``: ``symbols``, with node_id."""
+    """Edge rows (``schemas.EDGES``), unresolved: each named call in the innermost function around it. ``nodes``: ``symbols``, with node_id and last_desc."""
     calls = call_names(syntax, call_kinds).filter(F.coalesce("callee_name", F.lit("")) != "")
-    callers = nodes.select(*FILE, F.col("node_id").alias("outer_id"), F.col("id").alias("caller_id"))
-    held = enclosing(syntax, calls, ["function"]).join(callers, [*FILE, "outer_id"])
-    return calls.join(held, [*FILE, "node_id"]).select("repo", "file_path", "caller_id", F.lit(None).cast("string").alias("callee_id"), "callee_name", (F.col("start_row") + 1).alias("line"))
+    callers = nodes.filter(F.col("type").isin("function", "method")).select(*FILE, "node_id", "last_desc", F.col("id").alias("outer"))
+    held = innermost(callers, calls.select(*FILE, "node_id", F.struct("callee_name", (F.col("start_row") + 1).alias("line")).alias("inner")))
+    return held.select(*FILE, F.col("outer").alias("caller_id"), F.lit(None).cast("string").alias("callee_id"), "inner.callee_name", "inner.line")
 
 
 def file_records(changed: DataFrame, nodes: DataFrame, now_ms: int) -> DataFrame:
