@@ -1,12 +1,14 @@
 """What large tables ask of the operators: cost that follows the rows, with the same results."""
 
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from treeweave.operators import comments, extract
+from treeweave import tables
+from treeweave.operators import comments, extract, graph
 from treeweave.schemas import SYNTAX
 from treeweave.sources.scripts import SCRIPT_TOKEN, masked_script
 
@@ -65,3 +67,16 @@ def test_scanner_reads_a_long_text_by_its_marks():
     text = "return /* why */ /[`{]/.test(a) ? b / c : d;\n" + "a = b + (c, d) * e;\n" * 20_000
     assert masked_script(text).count("`") == 0
     assert len(SCRIPT_TOKEN.findall(text)) < 10
+
+
+@pytest.mark.parametrize("small", [100_000, 20, 0])
+def test_searches_shuffle_what_they_meet_once(spark, monkeypatch, small):
+    """Steps to few nodes are taken where a block's seeds are, without a shuffle for each level; steps to many nodes find the same."""
+    monkeypatch.setattr(tables, "SMALL", small)
+    nodes = spark.range(60).selectExpr("'p' AS repo", "id", "concat('n', id) AS name")
+    edges = spark.range(60).selectExpr("'p' AS repo", "id AS caller_id", "(id * 7) % 5 AS callee_id")
+    found = graph.callees_of_ids(nodes, edges, spark.range(60).selectExpr("'p' AS repo", "id AS seed"), 3)
+    if small > 60:
+        assert not re.search(r"Exchange hashpartitioning\(repo#\d+, (?:id|to)#\d+L, block", found._jdf.queryExecution().executedPlan().toString())
+    step = {k: k * 7 % 5 for k in range(60)}
+    assert sorted((r["seed"], r["id"]) for r in found.collect()) == sorted({(k, t) for k in range(60) for t in (step[k], step[step[k]], step[step[step[k]]])})
